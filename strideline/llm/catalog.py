@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import simhash
+from strideline.llm import packing, simhash
 from strideline.llm.common import table
 
 
@@ -12,8 +13,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op4_packing": op4_packing}
 
 
 def oracle_sql() -> dict:
