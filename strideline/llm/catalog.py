@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideline.llm import packing, simhash
+from strideline.llm import packing, simhash, topk
 from strideline.llm.common import table
 
 
@@ -13,13 +14,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+#: op2_topk by brute force.
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+  FROM s
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op4_packing": op4_packing}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_packing": op4_packing}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_topk": OP2_SQL}
