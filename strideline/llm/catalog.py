@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import packing, pieces, simhash, topk
+from strideline.llm import packing, pieces, simhash, topk, urlfilter
 from strideline.llm.common import table
 
 
@@ -41,6 +41,53 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: host, path, verdict
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules).drop("cause")
+
+
+#: op5_urls: longest rules, then the components of redirects and canonical links as a recursive closure.
+OP5_SQL = r"""
+WITH RECURSIVE rules(rhost, rpath, own) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), p AS (
+  SELECT page_id, html, url,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+         CASE WHEN contains(url, '://') THEN regexp_replace(url, '(?s)#.*$', '') END AS plain
+  FROM pages
+), q AS (
+  SELECT *, translate(regexp_extract(plain, '(?s)^(.*?://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_replace(plain, '(?s)^.*?://[^/?]*', '') AS address
+  FROM p
+), fits AS (
+  SELECT host, path, min((-length(rhost || rpath), own, rhost || rpath)) AS best
+  FROM (SELECT DISTINCT host, path FROM q), rules
+  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY host, path
+), j AS (
+  SELECT q.*, fits.best[3] AS rule, fits.best[2] AS own FROM q LEFT JOIN fits USING (host, path)
+), tags AS (
+  SELECT address AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM q WHERE address IS NOT NULL
+), found AS (
+  SELECT a, CASE WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
+                 WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END AS b
+  FROM tags
+), pairs AS (
+  SELECT a, b FROM found WHERE contains(b, '://') UNION SELECT b, a FROM found WHERE contains(b, '://')
+), reach(a, b) AS (
+  SELECT a, a FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), votes AS (
+  SELECT reach.a AS address, min(j.own) AS alias FROM reach JOIN j ON j.address = reach.b WHERE j.own IS NOT NULL GROUP BY reach.a
+)
+SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict FROM j LEFT JOIN votes USING (address)
+"""
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
@@ -53,8 +100,8 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_packing": op4_packing, "op6_pieces": op6_pieces}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict:
-    return {"op2_topk": OP2_SQL}
+    return {"op2_topk": OP2_SQL, "op5_urls": OP5_SQL}
