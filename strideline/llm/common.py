@@ -54,3 +54,20 @@ def ascii_lower(c: Column | str) -> Column:
 
 def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+class Memory:
+    """A bounded dictionary of two generations: turn() forgets what was not looked up since the one before."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def recall(self, key):
+        found = self.before.get(key)
+        if found is not None:
+            self.now[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self.now) > self.most // 2:
+            self.before, self.now = self.now, {}

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import scratch_path
+from strideline.llm.common import Memory, scratch_path
 
 WINDOW = 2048
-#: Words that a Python worker remembers before it starts over.
-REMEMBERED = 500_000
+#: Words that a Python worker remembers at most.
+REMEMBERED = 1_000_000
 #: Bytes of text that are tokenized at a time.
 AT_ONCE = 2_000_000
 
@@ -47,36 +47,44 @@ class WordTokens:
             added = json.load(f).get("added_tokens", [])
         self.added = [x["content"].lower().encode() for x in added]
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Memory(REMEMBERED)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.width).tobytes() for x in found]
 
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
-        new = [w for w in words if w not in known]
+        known, recall = self.memory.now, self.memory.recall
+        new = [w for w in words if recall(w) is None]
         cut = {w: core for w in new if (core := w.rstrip(b".,")) != w and core.decode().isalpha()}
-        plain = list({*(w for w in new if w not in cut), *(c for c in cut.values() if c not in known), *(w[len(c) :] for w, c in cut.items())})
+        plain = {*(w for w in new if w not in cut), *cut.values(), *(w[len(c) :] for w, c in cut.items())}
+        plain = [w for w in plain if w not in known and recall(w) is None]
         known.update(zip(plain, self._encode(plain), strict=True))
         for w, core in cut.items():
             known[w] = known[core] + known[w[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, packed in self.width."""
-        lowered = [t.lower() for t in texts]
-        odd = {k for k, t in enumerate(lowered) if any(x in t for x in self.added)}
-        split = [[] if k in odd else t.split() for k, t in enumerate(lowered)]
-        words: set[bytes] = set()
-        for each in split:
-            words.update(each)
-        words = {w for w in words if w not in self.known}
+        self.memory.turn()
+        known, out, open_, words = self.memory.now, [], [], set()
+        for k, text in enumerate(texts):
+            lowered = text.lower()
+            if any(x in lowered for x in self.added):
+                out.append(self._encode([text])[0])
+                continue
+            split = lowered.split()
+            found = list(map(known.get, split))
+            if None in found:
+                words.update(w for w, x in zip(split, found) if x is None)
+                open_.append((k, split))
+                out.append(None)
+            else:
+                out.append(b"".join(found))
         if words:
-            self._learn(words if len(self.known) + len(words) <= REMEMBERED else {w for each in split for w in each})
-        get = self.known.__getitem__
-        return [self._encode([texts[k]])[0] if k in odd else b"".join(map(get, each)) for k, each in enumerate(split)]
+            self._learn(words)
+            for k, split in open_:
+                out[k] = b"".join(map(known.__getitem__, split))
+        return out
 
 
 @lru_cache(maxsize=2)

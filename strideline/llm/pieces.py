@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideline.llm.common import Memory
+
 MARK = "▁"
-#: Words that a Python worker remembers before it starts over.
-REMEMBERED = 500_000
+#: Words that a Python worker remembers at most.
+REMEMBERED = 1_000_000
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 2_000_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -54,7 +56,7 @@ class Pieces:
         self.control = {k for k in range(size) if sp.is_control(k)}
         text = {k: sp.id_to_piece(k) for k in range(size) if k not in special}
         self.score = {p: sp.get_score(k) for k, p in text.items()}
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED)
         self.fits: dict[tuple[str, str], bool] = {}
         self.apart = all(MARK not in p.lstrip(MARK) for p in text.values())
         self.touching = {p[i : i + 2] for p in text.values() for i in range(len(p) - 1)}
@@ -85,7 +87,7 @@ class Pieces:
         """Whether b can follow a."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > REMEMBERED:
+            if len(self.fits) > REMEMBERED // 2:
                 self.fits.clear()
             known = self.fits[a, b] = a[-1] + b[0] not in self.touching or self._merged(a + b) == [a, b]
         return known
@@ -128,10 +130,10 @@ class Pieces:
                 at = i
         if not at:
             return np.array(self.table(word), "<i4").tobytes()
-        known = self.known
+        known, recall = self.memory.now, self.memory.recall
         out = b""
         for p in (*parts, word[at:]):
-            found = known.get(p)
+            found = known.get(p) or recall(p)
             if found is None:
                 found = known[p] = np.array(self.table(p), "<i4").tobytes()
             out += found
@@ -139,7 +141,8 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids and the end id as packed little-endian 32-bit integers."""
-        end, known = np.array([self.end], "<i4").tobytes(), self.known
+        self.memory.turn()
+        end, known, recall = np.array([self.end], "<i4").tobytes(), self.memory.now, self.memory.recall
         out = []
         for text in texts:
             if not text:
@@ -154,11 +157,9 @@ class Pieces:
             try:
                 out.append(b"".join([known[w] for w in words]) + end)
             except KeyError:
-                if len(known) > REMEMBERED:
-                    known.clear()
                 found = []
                 for w in words:
-                    x = known.get(w)
+                    x = known.get(w) or recall(w)
                     if x is None:
                         x = self._word(w)
                         if len(w) < 64:
