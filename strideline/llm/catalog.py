@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import packing, pieces, simhash, topk, urlfilter
+from strideline.llm import packing, pieces, shards, simhash, templates, topk, urlfilter
 from strideline.llm.common import table
 
 
@@ -37,6 +37,31 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
 
+#: Bytes of a shard: what a streaming loader fetches at once.
+SHARD_BYTES = 1 << 20
+
+
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+#: op3_shards: the shortest prefix of the key's hash whose documents fit.
+OP3_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), up AS (
+  SELECT *, hash >> (60 - depth) AS prefix FROM d, range(0, 61) AS r(depth)
+), fits AS (
+  SELECT depth, prefix FROM up GROUP BY depth, prefix HAVING sum(n_bytes) <= {SHARD_BYTES} OR count(*) = 1
+)
+SELECT doc_id, n_bytes, min(CASE WHEN depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(prefix), CAST(depth AS INTEGER)) END) AS shard
+FROM up JOIN fits USING (depth, prefix)
+GROUP BY doc_id, n_bytes
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -99,9 +124,50 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.line_dedup(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "dropped_lines", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+#: op9_lines with its default parameters.
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS spot
+  FROM documents WHERE text IS NOT NULL
+), c AS (
+  SELECT *, len(string_split(line, ' ')) AS size,
+         CAST(len(string_split(line, ' ')) AS VARCHAR) || ' ' || regexp_replace(array_to_string(string_split(line, ' ')[1:3], ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS leaf
+  FROM l WHERE len(string_split(line, ' ')) >= 5
+), d AS (
+  SELECT leaf, line, size, count(DISTINCT text) AS texts FROM c GROUP BY leaf, line, size
+), t AS (
+  SELECT leaf, line, size, texts, unnest(string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ')) AS token,
+         unnest(range(size)) AS place
+  FROM d
+), s AS (
+  SELECT leaf, place, token FROM t WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(texts) >= 3
+), k AS (
+  SELECT leaf, line, size, leaf || list(place || ':' || token ORDER BY place)::VARCHAR AS template
+  FROM t JOIN s USING (leaf, place, token)
+  GROUP BY leaf, line, size
+  HAVING count(*) >= 5 AND count(*) >= ceil(size * 0.8)
+), f AS (
+  SELECT c.doc_id, c.text, c.spot, template FROM c JOIN k USING (leaf, line, size)
+), r AS (
+  SELECT template FROM f GROUP BY template HAVING count(DISTINCT text) >= 3
+), o AS (
+  SELECT doc_id, spot, row_number() OVER (PARTITION BY template ORDER BY doc_id, spot) AS turn FROM f JOIN r USING (template)
+)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE turn > 1) AS dropped_lines,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY l.spot) FILTER (WHERE turn IS NULL OR turn = 1), '')) AS kept_md5
+FROM l LEFT JOIN o ON l.doc_id = o.doc_id AND l.spot = o.spot
+GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op9_lines": op9_lines}
 
 
 def oracle_sql() -> dict:
-    return {"op2_topk": OP2_SQL, "op5_urls": OP5_SQL}
+    return {"op2_topk": OP2_SQL, "op3_shards": OP3_SQL, "op5_urls": OP5_SQL, "op9_lines": OP9_SQL}
