@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import packing, pieces, shards, simhash, templates, topk, urlfilter
+from strideline.llm import packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
 from strideline.llm.common import table
+from strideline.llm.linear import fold
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,22 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.RuleEnsemble:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.WordModel:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = templates.line_dedup(table(spark, sf_dir, "documents"), counts=True)
     return out.select("doc_id", "n_lines", "dropped_lines", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
@@ -166,7 +183,7 @@ GROUP BY l.doc_id
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op9_lines": op9_lines}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
