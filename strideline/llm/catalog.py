@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
-from strideline.llm.common import table
+from strideline.llm import media, packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
+from strideline.llm.common import scratch_path, table
 from strideline.llm.linear import fold
 
 
@@ -133,6 +133,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "media")
+    media.write_archives(media.images(table(spark, sf_dir, "documents")), path)
+    back = media.decoded(media.read_archives(spark, path))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.WordModel:
     return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
 
@@ -183,7 +199,7 @@ GROUP BY l.doc_id
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_media": op8_media, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
