@@ -1,11 +1,166 @@
-"""The registry of trajectory queries and their SQL."""
+"""The registry of trajectory queries over the events adapter, with the SQL each is held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideline.functions.geometry import in_disc, in_rectangle, in_tilted
+from strideline.operators import branches, clustering, decisions, enhanced, flows, gaze, intent, metrics
+from strideline.plans.params import Decision, Junction, Zone
+from strideline.plans.sql import QUERIES
+from strideline.sources import points as source
+
+JUNCTIONS = [Junction(0, 0, 0, 60, 120), Junction(1, 100, 0, 60, 100), Junction(2, 0, 150, 60, 100), Junction(3, -150, -50, 60, 120)]
+#: Steps are multiples of 0.01, so this length is never met exactly.
+HOW = Decision(mode="hybrid", path_length=100.005)
+HOME, EAST = Zone("A", circle=(0.0, 0.0, 60.0)), Zone("B", rectangle=(80.0, 300.0, -200.0, 200.0))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.events_as_points(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.frame(_points(spark, sf_dir), JUNCTIONS, HOW)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.directions(_frame(spark, sf_dir), HOW)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers = branches.centers_table(spark, {j.junction: [(1, 0), (0, 1), (-1, 0), (0, -1)] for j in JUNCTIONS})
+    return branches.assign(_vectors(spark, sf_dir), centers, angle_eps=40.0)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("trajectory", "junction", "branch")
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.visits(_points(spark, sf_dir), JUNCTIONS)
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.counts(flows.transitions(_visits(spark, sf_dir)))
+
+
+def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decision_indices(_frame(spark, sf_dir), "hybrid")
+
+
+def _rounded(df: DataFrame, places: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded, as sums in another order differ in their last bits; no negative zeros."""
+    return df.withColumns({c: F.round(F.col(c), other.get(c, places)) + 0.0 for c, t in df.dtypes if t == "double"})
+
+
+def _query(made: Callable[[SparkSession, str], DataFrame], places: int = 6, **other: int):
+    return lambda spark, sf_dir: _rounded(made(spark, sf_dir), places, **other)
+
+
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, z = F.col("x"), F.col("z")
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return _points(spark, sf_dir).agg(n(in_disc(x, z, 0.0, 0.0, 60.0), "in_circle"), n(in_rectangle(x, z, -50.0, 80.0, 0.0, 120.0), "in_rectangle"))
+
+
+def _tilted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = in_tilted(F.col("x"), F.col("z"), -40.0, 80.0, 10.0, 70.0, tilt=30.0, tolerance=0.001)
+    return _points(spark, sf_dir).where(inside).agg(F.count("*").alias("n"))
+
+
+def _silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.silhouette(_labels(spark, sf_dir).join(_vectors(spark, sf_dir), ["trajectory", "junction"]))
+
+
+def _heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaze.pupil_heatmap(_points(spark, sf_dir))
+
+
+def _found(part: int, method: str):
+    return lambda spark, sf_dir: branches.discover(_points(spark, sf_dir), JUNCTIONS, HOW, method=method)[part]
+
+
+def _yaws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaze.head_yaw(_frame(spark, sf_dir), _indices(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intent.labelled(intent.features(_frame(spark, sf_dir), 50.0), _labels(spark, sf_dir)).persist()
+    return intent.predict(intent.train(rows), rows)
+
 
 def queries() -> dict:
-    return {}
+    labels = _labels
+    return {
+        "flow_conditional": _query(lambda s, d: flows.conditional(_flow(s, d))),
+        "scan_filter_scale": lambda s, d: _points(s, d).where("x is not null and z is not null").select("trajectory", "idx", *[(F.col(c) * 0.5).alias(c) for c in ("x", "z")]),
+        "trim_static_prefix": _query(lambda s, d: source.trim_static(_points(s, d), 20.0).select("trajectory", "idx", "x", "z", "t"), 9),
+        "capabilities": lambda s, d: source.capabilities(_points(s, d)),
+        "overview": lambda s, d: source.overview(_points(s, d)),
+        "step_and_path_length": _query(lambda s, d: metrics.totals(_points(s, d))),
+        "junction_entry": lambda s, d: decisions.entries(_frame(s, d)),
+        "circle_rect_membership": _membership,
+        "zone_membership_tilted": _tilted,
+        "radial_decision_index": lambda s, d: decisions.decision_indices(_frame(s, d), "radial").select("trajectory", "junction", "decision_idx"),
+        "pathlen_decision_index": lambda s, d: decisions.decision_indices(_frame(s, d), "pathlen").select("trajectory", "junction", "decision_idx"),
+        "hybrid_decision": _indices,
+        "direction_vectors": _query(_vectors),
+        "decision_points": lambda s, d: decisions.decision_points(f := _frame(s, d), decisions.directions(f, HOW)),
+        "first_within_ring": lambda s, d: decisions.first_within(_frame(s, d)),
+        "near_ring_intercepts": lambda s, d: decisions.near_ring(_frame(s, d), 110.0),
+        "clip_to_area": lambda s, d: decisions.clip_to_area(_frame(s, d)).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
+        "clip_to_ring": lambda s, d: decisions.clip_to_ring(_frame(s, d)).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
+        "assign_fixed_centers": _query(_assigned),
+        "branch_summary": _query(lambda s, d: branches.summary(labels(s, d))),
+        "branch_entropy": _query(lambda s, d: branches.entropy(branches.summary(labels(s, d)))),
+        "split_small_branches": lambda s, d: branches.split_small(labels(s, d), 0.2),
+        "status_counts": lambda s, d: branches.status_counts(labels(s, d), _points(s, d)),
+        "chain_wide": lambda s, d: branches.chain(labels(s, d), [j.junction for j in JUNCTIONS]),
+        "branch_silhouette": _query(_silhouette),
+        "dbscan_branches": _found(0, "dbscan"),
+        "dbscan_centers": _query(_found(1, "dbscan")),
+        "kmeans_branches": _found(0, "auto"),
+        "timing_modes": _query(lambda s, d: metrics.timing(_frame(s, d), "hybrid")),
+        "regions_dt": _query(lambda s, d: metrics.between_regions(_points(s, d), HOME, EAST)),
+        "speed_through_junction": _query(lambda s, d: metrics.speed_through(_frame(s, d), "hybrid")),
+        "transit_speed": _query(lambda s, d: metrics.transit(_frame(s, d))),
+        "junction_estimate": _query(lambda s, d: metrics.estimate_junction(_points(s, d))),
+        "metric_summaries": _query(lambda s, d: metrics.summaries(metrics.timing(_frame(s, d), "hybrid"), "seconds", "junction")),
+        "step_histogram": lambda s, d: metrics.histogram(decisions.with_steps(_points(s, d)), "seg").select("bin", "n"),
+        "step_density": lambda s, d: metrics.density(decisions.with_steps(_points(s, d)), "seg"),
+        "fit_sums": _query(lambda s, d: metrics.fit_sums(decisions.with_steps(_points(s, d)).where("seg > 0"), "seg").select("n", "mean", "var", "n_pos", "mean_log", "var_log"), var=4),
+        "visit_sequence": lambda s, d: _visits(s, d).select("trajectory", "visit", "junction"),
+        "transition_counts": _flow,
+        "flow_overall": _query(lambda s, d: flows.overall(_flow(s, d), _points(s, d)), 9),
+        "flow_fan_out": lambda s, d: flows.fan_out(_flow(s, d)),
+        "flow_strength": _query(lambda s, d: flows.strength(flows.conditional(_flow(s, d)))),
+        "flow_predictions": _query(lambda s, d: flows.predictions(flows.conditional(_flow(s, d))), 9),
+        "flow_threshold": _query(lambda s, d: flows.strong(flows.overall(_flow(s, d), _points(s, d)), 0.1), 9),
+        "direct_flows": _query(lambda s, d: flows.direct(_frame(s, d), labels(s, d)), 9),
+        "second_order_after": _query(lambda s, d: flows.after(_visits(s, d))),
+        "second_order_before": _query(lambda s, d: flows.before(_visits(s, d))),
+        "route_patterns": _query(lambda s, d: flows.routes(branches.chain(labels(s, d).where("branch >= 0"), [j.junction for j in JUNCTIONS])), 9),
+        "zone_flows": lambda s, d: flows.zone_flows(flows.visits_with_zones(_points(s, d), JUNCTIONS, [HOME], [EAST])),
+        "head_yaw": _query(_yaws),
+        "yaw_consistency": lambda s, d: gaze.consistency(_yaws(s, d), "junction"),
+        "physiology_windows": _query(lambda s, d: gaze.physiology(_frame(s, d), _indices(s, d))),
+        "pupil_windows": _query(lambda s, d: gaze.pupil_windows(_frame(s, d), _indices(s, d))),
+        "pupil_heatmap": _query(_heat),
+        "junction_heatmaps": lambda s, d: gaze.junction_heatmaps(_frame(s, d), combine="max"),
+        "heatmap_scale": lambda s, d: gaze.common_scale(_heat(s, d)),
+        "movement_patterns": lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_frame(s, d))),
+        "bottlenecks": _query(lambda s, d: enhanced.bottlenecks(labels(s, d)), 9),
+        "risk": _query(lambda s, d: enhanced.risk(labels(s, d)).select("junction", "risk"), 9),
+        "efficiency": _query(lambda s, d: enhanced.efficiency(labels(s, d)), 9),
+        "recommendations": lambda s, d: enhanced.recommendations(labels(s, d)),
+        "intent_features": lambda s, d: intent.features(_frame(s, d), 50.0),
+        "intent_random_forest": _forest,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(QUERIES)
