@@ -6,7 +6,8 @@ recur across texts and are constant enough are dropped from every document but t
 
 All counting is by distinct line: a line that a third of all documents share is one row with a count, from partial
 aggregations. Leaves with too few lines go before any token is looked at. Where an occurrence must meet its line's
-decision, both sides are freshly exchanged tables, so that adaptive execution can split a hot line.
+decision, both sides are freshly exchanged tables, so that adaptive execution can split a hot line; these joins are
+merged at every size, as their smaller sides grow with the corpus.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leadi
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), _mask(F.substring_index("line", " ", leading))))
     many, _ = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf"), "leaves")
-    held, _ = materialize(lines.join(many, "leaf").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
+    held, _ = materialize(lines.join(many.hint("merge"), "leaf").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
 
     texts = held.select("leaf", "size", "line", "body").distinct().groupBy("leaf", "size", "line").agg(F.count("*").alias("texts"))
     distinct, _ = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -42,12 +43,12 @@ def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leadi
     kept = tokens.join(constant, ["leaf", "place", "token"]).groupBy("id").agg(F.count("*").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
     enough = (F.col("constants") >= min_tokens) & (F.col("constants") >= F.ceil(F.col("size") * similarity))
     shaped, _ = materialize(distinct.join(kept, "id").where(enough).select("leaf", "line", F.xxhash64("leaf", "template").alias("template")), "templates")
-    found, _ = materialize(held.join(shaped, ["leaf", "line"]).select("template", "doc_id", "body", "at"), "occurrences")
+    found, _ = materialize(held.join(shaped.hint("merge"), ["leaf", "line"]).select("template", "doc_id", "body", "at"), "occurrences")
 
     this = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "body", "at")
     across = found.select("template", "body").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts)
     first, _ = materialize(found.groupBy("template").agg(F.min(this).alias("first")).join(across.drop("n"), "template"), "recurring")
-    return found.join(first, "template").where(~this.eqNullSafe(F.col("first"))).select("doc_id", "body", "at")
+    return found.join(first.hint("merge"), "template").where(~this.eqNullSafe(F.col("first"))).select("doc_id", "body", "at")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_tokens: int = 5, leading: int = 3, min_texts: int = 3, similarity: float = 0.8, counts: bool = False) -> DataFrame:
@@ -62,7 +63,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, m
     drops = recurring(docs, doc_id, text, min_tokens=min_tokens, leading=leading, min_texts=min_texts, similarity=similarity)
     drops, _ = materialize(drops.groupBy("doc_id", "body").agg(F.collect_set("at").alias("_drop")), "drops")
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_drop")
-    joined = docs.join(drops, docs[doc_id].eqNullSafe(drops["_id"]) & (F.xxhash64(docs[text]) == drops["_body"]), "left")
+    joined = docs.join(drops.hint("merge"), docs[doc_id].eqNullSafe(drops["_id"]) & (F.xxhash64(docs[text]) == drops["_body"]), "left")
     lines = F.split(F.col(text), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     cut = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
