@@ -15,11 +15,12 @@ def fold(doc_id: Column | str, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, y of at most `most` labelled documents, drawn by a hash of the id; usable is a condition on labels.
 
-    Labels that disagree for one id are averaged and rounded. The ids are few (most is the bound), so they are broadcast.
+    Labels that disagree for one id are averaged and rounded; of several texts with one id the least is taken. The ids
+    are few (most is the bound), so they are broadcast; the texts stay spread over the tasks.
     """
     rows = labels.where(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     picked = rows.orderBy(F.xxhash64(F.col("_id")), "_id").limit(most)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id").limit(2 * most)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -29,18 +30,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def lasso_logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, y: np.ndarray, *, l1: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None, swap_weight: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Intercept and weights for binary features (rows and cols of the ones) by accelerated proximal gradient steps.
 
-    The loss is the mean logistic loss, l1 times the weights' absolute sum, and swap_weight times the mean squared score
-    change of the swaps (row, column, sign; how many): what each counterfactual removes and adds.
+    The loss is the mean logistic loss, l1 times the absolute sum of the weights times their features' deviations (for
+    swapped features with the swaps' curvature), and swap_weight times the mean squared score change of the swaps (row, column, sign; how many): what each counterfactual
+    removes and adds.
     """
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
         return float(np.log(rate / (1 - rate))), np.zeros(d)
-    dot = lambda w: np.bincount(rows, w[cols], n)
-    back = lambda r: np.bincount(cols, r[rows], d)
+    share = np.bincount(cols, minlength=d) / n
+    bend = np.maximum(share * (1 - share), 1 / n)
+    if swaps and swaps[3] and swap_weight:
+        bend = bend + 8 * swap_weight * np.bincount(swaps[1], minlength=d) / swaps[3]
+    scale = 1 / np.sqrt(bend)
+    dot = lambda w: np.bincount(rows, (scale * w)[cols], n)
+    back = lambda r: scale * np.bincount(cols, r[rows], d)
     if swaps and swaps[3] and swap_weight:
         s_rows, s_cols, s_sign, m = swaps
-        change = lambda w: np.bincount(s_rows, s_sign * w[s_cols], m)
-        change_back = lambda r: np.bincount(s_cols, s_sign * r[s_rows], d)
+        change = lambda w: np.bincount(s_rows, s_sign * (scale * w)[s_cols], m)
+        change_back = lambda r: scale * np.bincount(s_cols, s_sign * r[s_rows], d)
     else:
         m = 0
     v, top = np.full(d, 1.0), 1.0
@@ -58,4 +65,4 @@ def lasso_logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, y: np.nda
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         near_w, near_b = new_w + (t - 1) / t_new * (new_w - w), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new_w, new_b, t_new
-    return float(b), w
+    return float(b), scale * w

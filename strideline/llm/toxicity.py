@@ -89,7 +89,7 @@ def _choose(sample: DataFrame, most: int) -> list[str]:
     return [r["feature"] for r in best.select("feature").collect()]  # most is the bound
 
 
-def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, most: int = FEATURES, l1: float = 3e-4, swap_weight: float = 1.0) -> WordModel:
+def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, most: int = FEATURES, l1: float = 5e-4, swap_weight: float = 1.0) -> WordModel:
     """A model from a bounded sample (text, y)."""
     sample = sample.select("text", "y").persist()
     try:
