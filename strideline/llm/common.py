@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,6 +58,18 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+#: Rows of an Arrow batch of texts, which hold a few KB each.
+TEXTS_PER_BATCH = 1000
+
+
+def map_texts(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with at most TEXTS_PER_BATCH rows in a batch (a session setting): a task's JVM and its Python worker each hold a whole batch beside what the executor keeps."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 class Memory:
     """A bounded dictionary of two generations: turn() forgets what was not looked up since the one before."""
 
@@ -71,3 +85,19 @@ class Memory:
     def turn(self) -> None:
         if len(self.now) > self.most // 2:
             self.before, self.now = self.now, {}
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """make(), which a Python worker keeps from task to task until a task asks for another key: workers are reused, and what the operator before remembered must not stay beside this one's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what held() keeps, for tasks that keep nothing themselves."""
+    _held.clear()

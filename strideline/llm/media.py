@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from strideline.llm.common import map_texts
+
 WIDTH = 192
 FORMAT = "strideline_media"
 SCHEMA = "doc_id long, media binary, archive string, offset long"
@@ -95,7 +97,7 @@ def images(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 media = [to_png(t.ljust(max(1, -(-len(t) // WIDTH)) * WIDTH), len(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, "doc_id long, media binary")
+    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")), run, "doc_id long, media binary")
 
 
 def decoded(media: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def decoded(media: DataFrame) -> DataFrame:
                 payload = [None if s is None else s.tobytes() for s, _ in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([n for _, n in found], pa.int64()), pa.array(payload, pa.binary()), pa.array([None if s is None else feature(s) for s, _ in found], pa.string())], names=schema.names)
 
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return map_texts(media.select("doc_id", "media"), run, schema)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import Memory, scratch_path
+from strideline.llm.common import Memory, held, map_texts, scratch_path
 
 WINDOW = 2048
 #: Words that a Python worker remembers at most.
@@ -87,10 +86,9 @@ class WordTokens:
         return out
 
 
-@lru_cache(maxsize=2)
 def _tokens(path: str) -> WordTokens:
     """One for each Python worker, which keeps what it has learnt from task to task."""
-    return WordTokens(path)
+    return held(("tokens", path), lambda: WordTokens(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, end_id: int = 1) -> DataFrame:
@@ -112,7 +110,7 @@ def tokenize(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:until], pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(n), pa.array(ids, pa.binary())], names=schema.names)
                 at = until
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_text")), run, schema)
 
 
 def placed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, end_id: int = 1) -> DataFrame:
@@ -158,7 +156,7 @@ def pieces(documents: DataFrame, *, window: int = WINDOW, digest: bool = False)
             body = pa.array(cut, pa.int64()) if digest else pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(x.astype(np.int64)) for x in (start, length, n[doc], sequence, begin - sequence * window)), body], names=schema.names)
 
-    return documents.select("doc_id", "at", "n", "ids").mapInArrow(run, schema)
+    return map_texts(documents.select("doc_id", "at", "n", "ids"), run, schema)
 
 
 def sequences(documents: DataFrame, *, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import Memory
+from strideline.llm.common import Memory, held, map_texts
 
 MARK = "▁"
 #: Words that a Python worker remembers at most.
@@ -183,10 +182,9 @@ class Pieces:
         return out[1:] if first is not None and self.marked[first] else out
 
 
-@lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
     """One for each Python worker, which keeps what it has found from task to task."""
-    return Pieces(path)
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", *, out: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -210,7 +208,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", *, out: str = "ids",
                 yield pa.RecordBatch.from_arrays([*(batch.column(k)[at:until] for k in range(len(keep))), column], names=schema.names)
                 at = until
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", *, out: str = "decoded") -> DataFrame:
@@ -226,4 +224,4 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", *, out: str = "deco
                 texts = [None if x.values is None else coder.decode(x.values.to_pylist()) for x in part.column(place)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.drop(out).mapInArrow(run, schema)
+    return map_texts(encoded.drop(out), run, schema)

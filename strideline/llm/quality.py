@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideline.llm.common import map_texts, release
 from strideline.llm.linear import fold, labelled_sample, lasso_logistic, sigmoid
 
 #: Labelled rows that a fit uses at most.
@@ -53,13 +54,14 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{s} double" for s in STATISTICS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 found = _describe([t or b"" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c) for c in found.T)], names=names)
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).cast("binary").alias("_text")), run, schema)
 
 
 #: A rule: conditions (statistic, is_above, threshold) that all hold.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import cores, materialize
+from strideline.llm.common import cores, map_texts, materialize, release
 from strideline.llm.components import connected_components
 
 ROWS_PER_TILE = 4096
@@ -72,11 +72,12 @@ def fingerprints(docs: DataFrame, text: str = "text", *, words: int = 5, bits: i
     schema = T.StructType([*fields, T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [fingerprint(t.as_py(), words, bits, seed).hex() for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string())], names=schema.names)
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).cast("binary").alias("_text")), run, schema)
 
 
 def _sections(values: np.ndarray, sections: int) -> np.ndarray:

@@ -11,18 +11,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import Memory
+from strideline.llm.common import Memory, held, map_texts
 from strideline.llm.linear import fold, labelled_sample, lasso_logistic
 
 #: Labelled rows that a fit uses, and features that it chooses from, at most.
 SAMPLE, FEATURES = 12_000, 4096
+#: Words that a Python worker remembers at most.
+REMEMBERED = 250_000
+#: Sentences with identity terms of a sample's text that a fit swaps at most.
+SWAPS = 64
 #: Terms that may stand for one another in a sentence, by kind.
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("mujeres", "hombres"), ("femmes", "hommes"), ("frauen", "männer"),
@@ -82,33 +86,33 @@ def _choose(sample: DataFrame, most: int) -> list[str]:
     n = {r["y"]: r["count"] for r in total}
     if len(n) < 2:
         return []
-    counted = sample.select("text", "y").mapInArrow(run, "feature string, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).where("no + yes >= 4")
+    counted = map_texts(sample.select("text", "y"), run, "feature string, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).where("no + yes >= 4")
     rate = (F.col("no") + F.col("yes")) / F.lit(n[0] + n[1])
     z = (F.col("yes") / F.lit(n[1]) - F.col("no") / F.lit(n[0])) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * F.lit(1 / n[0] + 1 / n[1]))
     best = counted.withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.desc("z"), "feature").limit(most)
     return [r["feature"] for r in best.select("feature").collect()]  # most is the bound
 
 
-def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, most: int = FEATURES, l1: float = 5e-4, swap_weight: float = 1.0) -> WordModel:
-    """A model from a bounded sample (text, y)."""
+def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, most: int = FEATURES, l1: float = 5e-4, swap_weight: float = 1.0, swaps: int = SWAPS) -> WordModel:
+    """A model from a bounded sample (text, y). The first `swaps` sentences with identity terms of each text count for the penalty; the words are those of whole texts."""
     sample = sample.select("text", "y").persist()
     try:
         chosen = sorted({*_choose(sample, most), *(t for kind in identities for t in kind)})
-        at = {f: k for k, f in enumerate(chosen)}
+        at, most_swaps = {f: k for k, f in enumerate(chosen)}, swaps
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, gone, come = [], [], []
                 for text in batch.column(0).to_pylist():
                     code = lambda ws: sorted({at[f] for w in ws for f in features(w) if f in at})
-                    pairs = list(swapped(text or "", identities))
+                    pairs = list(islice(swapped(text or "", identities), most_swaps))
                     ids.append(code(words_of(text or "")))
-                    gone.append([code(a) for a, _ in pairs][:64])
-                    come.append([code(b) for _, b in pairs][:64])
+                    gone.append([code(a) for a, _ in pairs])
+                    come.append([code(b) for _, b in pairs])
                 nested = pa.list_(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(gone, nested), pa.array(come, nested)], names=["y", "ids", "gone", "come"])
 
-        rows = sample.mapInArrow(run, "y int, ids array<int>, gone array<array<int>>, come array<array<int>>").collect()
+        rows = map_texts(sample, run, "y int, ids array<int>, gone array<array<int>>, come array<array<int>>").collect()
     finally:
         sample.unpersist()
     y = np.array([r["y"] for r in rows], float)
@@ -116,8 +120,8 @@ def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITI
     cols = np.array([k for r in rows for k in r["ids"]], int)
     pairs = [(g, c) for r in rows for g, c in zip(r["gone"], r["come"], strict=True)]
     moves = [(i, k, s) for i, (g, c) in enumerate(pairs) for s, ks in ((-1.0, g), (1.0, c)) for k in ks]
-    swaps = (np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], int), np.array([m[2] for m in moves], float), len(pairs))
-    b, w = lasso_logistic(np.repeat(np.arange(len(rows)), lengths), cols, len(rows), len(chosen), y, l1=l1, swaps=swaps, swap_weight=swap_weight)
+    turned = (np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], int), np.array([m[2] for m in moves], float), len(pairs))
+    b, w = lasso_logistic(np.repeat(np.arange(len(rows)), lengths), cols, len(rows), len(chosen), y, l1=l1, swaps=turned, swap_weight=swap_weight)
     return WordModel(b, tuple((f, float(v)) for f, v in zip(chosen, w, strict=True) if v))
 
 
@@ -128,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
 class _Scorer:
     def __init__(self, model: WordModel):
-        self.intercept, self.at, self.memory = model.intercept, dict(model.weights), Memory(1_000_000)
+        self.intercept, self.at, self.memory = model.intercept, dict(model.weights), Memory(REMEMBERED)
 
     def __call__(self, text: str | None) -> float:
         known, recall, at = self.memory.now, self.memory.recall, self.at
@@ -146,9 +150,8 @@ class _Scorer:
         return self.intercept + sum(at[f] for f in sorted(active))
 
 
-@lru_cache(maxsize=2)
 def _scorer(model: WordModel) -> _Scorer:
-    return _Scorer(model)
+    return held(("toxicity", model), lambda: _Scorer(model))
 
 
 def scores(docs: DataFrame, model: WordModel, text: str = "text", *, out: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -163,7 +166,7 @@ def scores(docs: DataFrame, model: WordModel, text: str = "text", *, out: str =
             z = np.array([score(t.as_py()) for t in batch.column(len(keep))], float)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-z)))], names=names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
 def classify(docs: DataFrame, model: WordModel, doc_id: str = "doc_id", text: str = "text", *, threshold: float = 0.3, parts: int = 4, held: int = 2) -> DataFrame:
