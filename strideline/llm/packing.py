@@ -10,6 +10,7 @@ put together through a shuffle, by sequence_id, where each has at most one windo
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would only wait for work on others'
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
