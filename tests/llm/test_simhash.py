@@ -70,6 +70,25 @@ def test_forest_spans_all_links():
     assert all((int(values[i, 0]) ^ int(values[j, 0])).bit_count() <= 4 for i, j in zip(rows, roots))
 
 
+def test_keep_one_keeps_unrelated_short_texts(spark):
+    rng = np.random.default_rng(5)
+    short = lambda k, n: " ".join(f"{chr(97 + w % 26)}{w}" for w in rng.integers(0, 10**9, n))
+    texts = ["", " \n", None, *(short(k, 6 + k % 2 * 2) for k in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {0, *range(3, len(texts))}
+
+
+def test_failed_links_lose_no_others(spark):
+    # the forest of the prints hangs 2 and 3 on 1; 2 and 3 share their shingles, 1 shares none
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(f"x{k}" for k in range(40)), " ".join(words), " ".join([*words, "end"]), "else"]
+    keys = ["0" * 32, "0" * 31 + "1", "0" * 31 + "3", "f" * 32]
+    each = spark.createDataFrame(list(zip(keys, range(4))), "fingerprint string, body_key long")
+    bodies = spark.createDataFrame(list(zip(range(4), texts)), "body_key long, _body string")
+    found = simhash.checked_links(each, bodies, words=5, bits=128, radius=25, seed=42, least=0.5)
+    assert [set(r) for r in found.collect()] == [set(keys[1:3])]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (5, 4), (9, 9), (None, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(49, 70), (70, 71)]])
 def test_components(spark, edges):
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
