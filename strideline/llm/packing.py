@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,11 @@ REMEMBERED = 1_000_000
 AT_ONCE = 2_000_000
 
 
+def _letters(core: str) -> bool:
+    """Whether a word stays letters when it is normalised: a mark at its end would form one token with punctuation after it."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", core).lower()).isalpha())
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizers file that drops white space, lower-cases and parts letters from punctuation.
 
@@ -57,7 +63,7 @@ class WordTokens:
     def _learn(self, words: set[bytes]) -> None:
         known, recall = self.memory.now, self.memory.recall
         new = [w for w in words if recall(w) is None]
-        cut = {w: core for w in new if (core := w.rstrip(b".,")) != w and core.decode().isalpha()}
+        cut = {w: core for w in new if (core := w.rstrip(b".,")) != w and _letters(core.decode())}
         plain = {*(w for w in new if w not in cut), *cut.values(), *(w[len(c) :] for w, c in cut.items())}
         plain = [w for w in plain if w not in known and recall(w) is None]
         known.update(zip(plain, self._encode(plain), strict=True))

@@ -74,3 +74,11 @@ def test_forgetting(monkeypatch):
     texts = [f"some words, number{k} and wörd{k}. again" for k in range(50)]
     for t in texts:
         assert [*np.frombuffer(coder.encode([t.encode()])[0], coder.width)] == expected(t)[:-1]
+
+
+def test_every_letter_before_punctuation():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = [f"a{chr(k)}{end}" for k in range(0x10000) if chr(k).isalpha() for end in (".", ",")]
+    found = packing.WordTokens(path).encode([w.encode() for w in words])
+    library = Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)
+    assert [w for w, x, y in zip(words, found, library) if np.frombuffer(x, "<u2").tolist() != y.ids] == []
