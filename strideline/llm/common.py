@@ -58,15 +58,20 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-#: Rows of an Arrow batch of texts, which hold a few KB each.
-TEXTS_PER_BATCH = 1000
+#: Bytes of an Arrow batch of texts (one text at least).
+BATCH_BYTES = 8 << 20
 
 
 def map_texts(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) with at most TEXTS_PER_BATCH rows in a batch (a session setting): a task's JVM and its Python worker each hold a whole batch beside what the executor keeps."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXTS_PER_BATCH:
-        conf.set(key, str(TEXTS_PER_BATCH))
+    """df.mapInArrow(run, schema) in batches of BATCH_BYTES at most: a task's JVM and its Python worker each hold a whole batch beside what the executor keeps.
+
+    Spark reads the bound when the DataFrame is run, so it is set for the session, if it is not lower there. It cuts
+    batches and changes no result.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(key).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

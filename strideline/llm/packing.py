@@ -28,21 +28,47 @@ from strideline.llm.common import Memory, held, map_texts, scratch_path
 WINDOW = 2048
 #: Words that a Python worker remembers at most.
 REMEMBERED = 1_000_000
+#: Bytes of a word that is remembered at most.
+LONGEST = 64
 #: Bytes of text that are tokenized at a time.
-AT_ONCE = 2_000_000
+AT_ONCE = 8_000_000
+# The word pattern of the tokenizer files that are encoded word by word, punctuation that its last
+# alternative matches alone or after letters alike, and the first byte of marks that compose with ASCII letters (their
+# case matters before they do).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+MARKS = b"\xcc"
 
 
 def _letters(core: str) -> bool:
-    """Whether a word stays letters when it is normalised: a mark at its end would form one token with punctuation after it."""
+    """Whether a word is letters only and stays so when it is normalised: one token run for the tokenizer, also before punctuation."""
     return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", core).lower()).isalpha())
 
 
+def _by_words(spec: dict) -> bool:
+    """Whether a tokenizers file drops white space and encodes what lies between piece by piece, so that words can be encoded one by one."""
+    normalizer, cutter, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [x.get("type") for x in normalizer.get("normalizers", [])]
+    split, *rest = cutter.get("pretokenizers", [{}])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and normalizer["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+        and normalizer["normalizers"][1].get("content") == " "
+        and (split.get("type"), split.get("behavior"), split.get("invert"), split.get("pattern", {}).get("Regex")) == ("Split", "Removed", True, WORD_PATTERN)
+        and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+        and (model.get("type"), model.get("dropout"), model.get("fuse_unk")) == ("BPE", None, False)
+        and bool(model.get("end_of_word_suffix"))
+    )
+
+
 class WordTokens:
-    """Ids of whole texts by a tokenizers file that drops white space, lower-cases and parts letters from punctuation.
+    """Ids of whole texts by a tokenizers file.
 
-    Such a tokenizer encodes a text as its space-separated words one after another, so each distinct word goes through
-    the library once for as long as it is remembered. Texts that hold an added token's string, in any case, go through
-    it whole.
+    A file of the make-up that _by_words() checks encodes a text as its space-separated words one after another. Then a
+    chunk of texts is cut into words and reduced to its distinct ones in Arrow, only words that the worker doesn't
+    remember go through the library (plain letters all at once, told apart by their word ends), and Arrow puts the ids
+    of the words back in the texts' order. Texts that hold an added token's string, in any case, go through the library
+    whole, and with a file of any other make-up all texts do.
     """
 
     def __init__(self, path: str):
@@ -51,46 +77,86 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
-            added = json.load(f).get("added_tokens", [])
-        self.added = [x["content"].lower().encode() for x in added]
-        self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+            spec = json.load(f)
+        self.by_words = _by_words(spec)
+        self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
+        vocab = self.library.get_vocab()
+        most = max(vocab.values(), default=0) + 1
+        self.width = np.dtype("<u2" if most <= 1 << 16 else "<u4")
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(most, bool)
+        self.ends[[k for piece, k in vocab.items() if suffix and piece.endswith(suffix)]] = True
         self.memory = Memory(REMEMBERED)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.width).tobytes() for x in found]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _letter_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, each of which ends in the only piece with the word end."""
+        if not words:
+            return []
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.width)
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width.itemsize
+        if len(ends) != len(words) or ends[-1] != ids.nbytes:
+            return self._encode(words)
+        data, last = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *last], last)]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; those short enough are remembered."""
+        known, recall = self.memory.now, self.memory.recall
+        cut = {w: core for w in new if len(core := w.rstrip(TAIL)) != len(w) and core and _letters(core.decode())}
+        plain = dict.fromkeys(w for w in new if w not in cut)
+        plain |= dict.fromkeys(x for w, core in cut.items() for x in (core, w[len(core) :]))
+        found = {w: ids for w in plain if (ids := known.get(w) or recall(w)) is not None}
+        letters: list[bytes] = []
+        others: list[bytes] = []
+        for w in plain:
+            if w not in found:
+                (letters if _letters(w.decode()) else others).append(w)
+        found.update(zip(letters, self._letter_words(letters), strict=True))
+        found.update(zip(others, self._encode(others), strict=True))
+        found.update([(w, found[core] + found[w[len(core) :]]) for w, core in cut.items()])
+        known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
+        return found
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        self.memory.turn()
         known, recall = self.memory.now, self.memory.recall
-        new = [w for w in words if recall(w) is None]
-        cut = {w: core for w in new if (core := w.rstrip(b".,")) != w and _letters(core.decode())}
-        plain = {*(w for w in new if w not in cut), *cut.values(), *(w[len(c) :] for w, c in cut.items())}
-        plain = [w for w in plain if w not in known and recall(w) is None]
-        known.update(zip(plain, self._encode(plain), strict=True))
-        for w, core in cut.items():
-            known[w] = known[core] + known[w[len(core) :]]
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = words.flatten().view(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(known.get, distinct))
+        open_ = [k for k, x in enumerate(ids) if x is None]
+        for k in open_:
+            ids[k] = recall(distinct[k])
+        new = {distinct[k] for k in open_ if ids[k] is None}
+        if new:
+            found = self._learn(sorted(new))
+            for k in open_:
+                if ids[k] is None:
+                    ids[k] = found[distinct[k]]
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        places = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False))))[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        data = b"".join(joined.to_pylist()) if not len(joined) else joined.buffers()[2].to_pybytes()
+        return [data[a:b] for a, b in zip(places, places[1:])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, packed in self.width."""
-        self.memory.turn()
-        known, out, open_, words = self.memory.now, [], [], set()
+        out: list[bytes | None] = [None] * len(texts)
+        some, lowered = [], []
         for k, text in enumerate(texts):
-            lowered = text.lower()
-            if any(x in lowered for x in self.added):
-                out.append(self._encode([text])[0])
-                continue
-            split = lowered.split()
-            found = list(map(known.get, split))
-            if None in found:
-                words.update(w for w, x in zip(split, found) if x is None)
-                open_.append((k, split))
-                out.append(None)
+            low = text.lower()
+            if not self.by_words or any(x in low for x in self.added):
+                out[k] = self._encode([text])[0]
             else:
-                out.append(b"".join(found))
-        if words:
-            self._learn(words)
-            for k, split in open_:
-                out[k] = b"".join(map(known.__getitem__, split))
+                some.append(k)
+                lowered.append(text if MARKS in text else low)
+        if some:
+            for k, ids in zip(some, self._words(lowered), strict=True):
+                out[k] = ids
         return out
 
 

@@ -134,7 +134,9 @@ class Pieces:
         for p in (*parts, word[at:]):
             found = known.get(p) or recall(p)
             if found is None:
-                found = known[p] = np.array(self.table(p), "<i4").tobytes()
+                found = np.array(self.table(p), "<i4").tobytes()
+                if len(p) < 64:
+                    known[p] = found
             out += found
         return out
 

@@ -82,3 +82,21 @@ def test_every_letter_before_punctuation():
     found = packing.WordTokens(path).encode([w.encode() for w in words])
     library = Tokenizer.from_file(path).encode_batch(words, add_special_tokens=False)
     assert [w for w, x, y in zip(words, found, library) if np.frombuffer(x, "<u2").tolist() != y.ids] == []
+
+
+def test_other_tokenizer_files_go_through_the_library_whole(tmp_path):
+    tokens = packing.WordTokens(PATH)
+    assert tokens.by_words
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, library = packing.WordTokens(other), Tokenizer.from_file(other)
+    assert not tokens.by_words
+    texts = ["a  b\n c", "", "word word.  word"]
+    assert [np.frombuffer(x, tokens.width).tolist() for x in tokens.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    tokens = packing.WordTokens(PATH)
+    texts = [x.encode() for x in ODD if x is not None]
+    for k in range(0, len(texts), 3):
+        assert [np.frombuffer(x, tokens.width).tolist() for x in tokens.encode(texts[k : k + 3])] == [expected(t.decode())[:-1] for t in texts[k : k + 3]]
