@@ -27,29 +27,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def lasso_logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, y: np.ndarray, *, l1: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None, swap_weight: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
+def lasso_logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, y: np.ndarray, *, l1: float, swaps: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None, swap_weight: float = 0.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Intercept and weights for binary features (rows and cols of the ones) by accelerated proximal gradient steps.
 
     The loss is the mean logistic loss, l1 times the absolute sum of the weights times their features' deviations (for
-    swapped features with the swaps' curvature), and swap_weight times the mean squared score change of the swaps (row, column, sign; how many): what each counterfactual
-    removes and adds.
+    swapped features with the swaps' curvature), and swap_weight times the mean squared score change of the swaps (row,
+    column, sign, and each row's count): what each counterfactual removes and adds.
     """
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
         return float(np.log(rate / (1 - rate))), np.zeros(d)
     share = np.bincount(cols, minlength=d) / n
     bend = np.maximum(share * (1 - share), 1 / n)
-    if swaps and swaps[3] and swap_weight:
-        bend = bend + 8 * swap_weight * np.bincount(swaps[1], minlength=d) / swaps[3]
+    m = swaps[3].sum() if swaps and swap_weight else 0
+    if m:
+        s_rows, s_cols, s_sign, times = swaps
+        bend = bend + 8 * swap_weight * np.bincount(s_cols, times[s_rows], d) / m
     scale = 1 / np.sqrt(bend)
     dot = lambda w: np.bincount(rows, (scale * w)[cols], n)
     back = lambda r: scale * np.bincount(cols, r[rows], d)
-    if swaps and swaps[3] and swap_weight:
-        s_rows, s_cols, s_sign, m = swaps
-        change = lambda w: np.bincount(s_rows, s_sign * (scale * w)[s_cols], m)
-        change_back = lambda r: scale * np.bincount(s_cols, s_sign * r[s_rows], d)
-    else:
-        m = 0
+    change = lambda w: np.bincount(s_rows, s_sign * (scale * w)[s_cols], len(times))
+    change_back = lambda r: scale * np.bincount(s_cols, (s_sign * (times * r)[s_rows]), d)
     v, top = np.full(d, 1.0), 1.0
     for _ in range(20):  # the largest curvature, by power iteration
         u = back(dot(v)) / (4 * n) + (2 * swap_weight / m * change_back(change(v)) if m else 0)

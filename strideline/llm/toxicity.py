@@ -2,16 +2,19 @@
 
 A text's features are its distinct words and their beginnings. The features that tell labelled texts apart are chosen
 by aggregation over a bounded sample, and their weights fitted by lasso logistic regression with a penalty on how much
-the score moves when a sentence's identity terms are swapped for others of their kind, so that naming a group is no
-evidence by itself.
+the score moves when a labelled sentence's identity terms are swapped for others of their kind, so that naming a group
+is no evidence by itself. A labelled sentence without such a term stands for itself with a neutral mention of a group put
+into it, beside the same with another group of the kind: few corpora name groups often enough in labelled sentences.
+All sentences of the sampled texts count; equal swaps are counted together in Spark.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +24,21 @@ from pyspark.sql import functions as F
 from strideline.llm.common import Memory, held, map_texts
 from strideline.llm.linear import fold, labelled_sample, lasso_logistic
 
-#: Labelled rows that a fit uses, and features that it chooses from, at most.
-SAMPLE, FEATURES = 12_000, 4096
+#: Labelled rows that a fit uses at most.
+SAMPLE = 12_000
 #: Words that a Python worker remembers at most.
 REMEMBERED = 250_000
-#: Sentences with identity terms of a sample's text that a fit swaps at most.
-SWAPS = 64
 #: Terms that may stand for one another in a sentence, by kind.
 IDENTITIES = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("mujeres", "hombres"), ("femmes", "hommes"), ("frauen", "männer"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("musulmanes", "cristianos", "judíos"), ("musulmans", "chrétiens", "juifs"), ("muslime", "christen", "juden"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("mothers", "fathers"),
+    ("mujeres", "hombres"), ("femmes", "hommes"), ("frauen", "männer"), ("madres", "padres"), ("mères", "pères"), ("mütter", "väter"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
     ("black", "white", "asian", "latino", "arab"), ("africans", "europeans", "asians", "americans", "mexicans"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"), ("immigrants", "locals", "refugees"), ("old", "young"),
+    ("africanos", "europeos", "asiáticos", "americanos"), ("africains", "européens", "asiatiques", "américains"), ("afrikaner", "europäer", "asiaten", "amerikaner"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender"), ("gais", "lesbianas", "bisexuales", "transexuales"), ("schwule", "lesben", "bisexuelle", "transsexuelle"),
+    ("immigrants", "locals", "refugees", "foreigners"), ("inmigrantes", "vecinos", "refugiados", "extranjeros"), ("immigrés", "voisins", "réfugiés", "étrangers"), ("einwanderer", "nachbarn", "flüchtlinge", "ausländer"),
+    ("old", "young"), ("elderly", "teenagers"), ("deaf", "blind", "disabled"), ("sordos", "ciegos"), ("sourds", "aveugles"), ("gehörlose", "blinde"),
 )
 _EDGES = " \t\n\r\x0b\x0c.,;:!?'\"()[]{}<>|%$#&*+-=_/\\~`@^…«»„“”‘’¡¿"
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -55,22 +60,35 @@ def words_of(text: str) -> set[str]:
 
 @dataclass(frozen=True)
 class WordModel:
+    """Weights of features; swaps is how many counterfactual pairs of sentences the fit had, change their scores' mean squared difference (before the logistic function)."""
+
     intercept: float
     weights: tuple[tuple[str, float], ...]
+    swaps: int = 0
+    change: float = 0.0
+
 
+def swapped(text: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES, *, plant: bool = False) -> Iterator[tuple[set[str], set[str]]]:
+    """For each sentence with identity terms: the features that swapping each for the next of its kind takes away and brings.
 
-def swapped(text: str, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> Iterator[tuple[set[str], set[str]]]:
-    """For each sentence with identity terms: the words that swapping each for the next of its kind takes away and brings."""
+    plant puts a term into each other sentence with words first; its kind and place there come from the sentence's CRC-32.
+    """
     turn = {t: kind[(k + 1) % len(kind)] for kind in identities for k, t in enumerate(kind)}
     for sentence in _SENTENCE.findall(text.lower()):
-        found = {w for w in words_of(sentence) if w in turn}
+        words = words_of(sentence)
+        found = {w for w in words if w in turn}
+        if not found and plant and words and identities:
+            pick = zlib.crc32(sentence.encode())
+            kind = identities[pick % len(identities)]
+            found = {kind[pick // len(identities) % len(kind)]}
         if found:
-            new = {turn[w] for w in found}
-            yield found - new, new - found
+            rest = {f for w in words - found for f in features(w)}
+            old, new = ({f for w in ws for f in features(w)} | rest for ws in (found, {turn[w] for w in found}))
+            yield old - new, new - old
 
 
-def _choose(sample: DataFrame, most: int) -> list[str]:
-    """The features whose presence differs most between the two labels, at least 4 standard errors."""
+def _choose(sample: DataFrame) -> list[str]:
+    """The features of 4 texts or more whose presence differs between the two labels by at least 4 standard errors. The sample bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,40 +107,48 @@ def _choose(sample: DataFrame, most: int) -> list[str]:
     counted = map_texts(sample.select("text", "y"), run, "feature string, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).where("no + yes >= 4")
     rate = (F.col("no") + F.col("yes")) / F.lit(n[0] + n[1])
     z = (F.col("yes") / F.lit(n[1]) - F.col("no") / F.lit(n[0])) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * F.lit(1 / n[0] + 1 / n[1]))
-    best = counted.withColumn("z", F.abs(z)).where("z >= 4").orderBy(F.desc("z"), "feature").limit(most)
-    return [r["feature"] for r in best.select("feature").collect()]  # most is the bound
+    return [r["feature"] for r in counted.where(F.abs(z) >= 4).select("feature").collect()]
+
+
+def counterfactuals(sample: DataFrame, at: dict[str, int], identities: tuple[tuple[str, ...], ...] = IDENTITIES, *, plant: bool = True) -> DataFrame:
+    """gone, come, n: the swaps of all sentences of a sample's texts, as sorted numbers of the features that they take away and bring (those of at), and how many sentences have each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = lambda fs: tuple(sorted(at[f] for f in fs if f in at))
+        for batch in batches:
+            found = Counter((code(a), code(b)) for text in batch.column(0).to_pylist() for a, b in swapped(text or "", identities, plant=plant))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], kind), pa.array([k[1] for k in found], kind), pa.array(list(found.values()), pa.int64())], names=["gone", "come", "n"])
+
+    return map_texts(sample.select("text"), run, "gone array<int>, come array<int>, n long").groupBy("gone", "come").agg(F.sum("n").alias("n"))
 
-def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, most: int = FEATURES, l1: float = 5e-4, swap_weight: float = 1.0, swaps: int = SWAPS) -> WordModel:
-    """A model from a bounded sample (text, y). The first `swaps` sentences with identity terms of each text count for the penalty; the words are those of whole texts."""
+
+def fit(sample: DataFrame, *, identities: tuple[tuple[str, ...], ...] = IDENTITIES, l1: float = 5e-4, swap_weight: float = 1.0, plant: bool = True) -> WordModel:
+    """A model from a bounded sample (text, y); swaps are those of all its sentences, planted mentions among them unless plant is false."""
     sample = sample.select("text", "y").persist()
     try:
-        chosen = sorted({*_choose(sample, most), *(t for kind in identities for t in kind)})
-        at, most_swaps = {f: k for k, f in enumerate(chosen)}, swaps
+        chosen = sorted({*_choose(sample), *(f for kind in identities for t in kind for f in features(t))})
+        at = {f: k for k, f in enumerate(chosen)}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, gone, come = [], [], []
-                for text in batch.column(0).to_pylist():
-                    code = lambda ws: sorted({at[f] for w in ws for f in features(w) if f in at})
-                    pairs = list(islice(swapped(text or "", identities), most_swaps))
-                    ids.append(code(words_of(text or "")))
-                    gone.append([code(a) for a, _ in pairs])
-                    come.append([code(b) for _, b in pairs])
-                nested = pa.list_(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(gone, nested), pa.array(come, nested)], names=["y", "ids", "gone", "come"])
-
-        rows = map_texts(sample, run, "y int, ids array<int>, gone array<array<int>>, come array<array<int>>").collect()
+                ids = [sorted({at[f] for w in words_of(text or "") for f in features(w) if f in at}) for text in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["y", "ids"])
+
+        rows = map_texts(sample, run, "y int, ids array<int>").collect()
+        pairs = counterfactuals(sample, at, identities, plant=plant).orderBy("gone", "come").collect()
     finally:
         sample.unpersist()
     y = np.array([r["y"] for r in rows], float)
     lengths = [len(r["ids"]) for r in rows]
     cols = np.array([k for r in rows for k in r["ids"]], int)
-    pairs = [(g, c) for r in rows for g, c in zip(r["gone"], r["come"], strict=True)]
-    moves = [(i, k, s) for i, (g, c) in enumerate(pairs) for s, ks in ((-1.0, g), (1.0, c)) for k in ks]
-    turned = (np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], int), np.array([m[2] for m in moves], float), len(pairs))
+    moves = [(i, k, s) for i, r in enumerate(pairs) for s, ks in ((-1.0, r["gone"]), (1.0, r["come"])) for k in ks]
+    turned = (np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], int), np.array([m[2] for m in moves], float), np.array([r["n"] for r in pairs], float))
     b, w = lasso_logistic(np.repeat(np.arange(len(rows)), lengths), cols, len(rows), len(chosen), y, l1=l1, swaps=turned, swap_weight=swap_weight)
-    return WordModel(b, tuple((f, float(v)) for f, v in zip(chosen, w, strict=True) if v))
+    total = int(turned[3].sum())
+    moved = np.bincount(turned[0], turned[2] * w[turned[1]], len(pairs)) if total else np.zeros(0)
+    change = float((turned[3] * moved**2).sum() / total) if total else 0.0
+    return WordModel(b, tuple((f, float(v)) for f, v in zip(chosen, w, strict=True) if v), total, change)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", *, sample: int = SAMPLE, **settings) -> WordModel:

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -78,4 +79,53 @@ def test_swapping_identities_hardly_moves_the_score(spark):
         move[weight] = abs(sum(w.get(f, 0) for f in toxicity.features("muslims")) - sum(w.get(f, 0) for f in toxicity.features("christians")))
         assert w["idiot"] + w.get("idio-", 0) > 1
     assert move[0.0] > 1 and move[20.0] < move[0.0] / 4
-    assert list(toxicity.swapped("Muslims came. Nobody else.")) == [({"muslims"}, {"christians"})]
+    away = {"muslims", "musl-", "musli-", "muslim-"}
+    assert list(toxicity.swapped("Muslims came. Nobody else.")) == [(away, {"christians", "chri-", "chris-", "christ-", "christi-"})]
+    assert list(toxicity.swapped("Muslim muslims. . ", plant=True))[0][0] >= away - {"musl-", "musli-", "muslim-"}
+
+
+def test_every_sentence_of_labelled_texts_has_a_counterfactual(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fits = {w: toxicity.train(docs, labels, fold("doc_id", 4) != 2, swap_weight=w) for w in (0.0, 1.0)}
+    known = {r["doc_id"] for r in labels.where("toxic is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    texts = [r["text"].lower() for r in docs.collect() if r["doc_id"] in known and r["text"]]
+    assert fits[1.0].swaps == sum(1 for t in texts for part in re.split(r"[.!?\n]", t) if toxicity.words_of(part))
+    assert fits[0.0].change > 0.1 and fits[1.0].change < fits[0.0].change / 100
+
+
+def test_counterfactuals_are_counted_over_whole_texts(spark):
+    text = "the women met. " * 300 + "old men came."
+    at = {f: k for k, f in enumerate(("women", "men", "old", "young", "wome-", "youn-"))}
+    found = toxicity.counterfactuals(spark.createDataFrame([(text, 1), (None, 0), ("", 0)], "text string, y int"), at, plant=False)
+    assert {(tuple(r["gone"]), tuple(r["come"]), r["n"]) for r in found.collect()} == {((0, 4), (1,), 300), ((1, 2), (0, 3, 4, 5), 1)}
+
+
+def test_scores_equal_a_plain_rescoring(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "idiot " + "z" * 500)], "doc_id long, text string"), allowMissingColumns=True)
+    model = catalog.toxicity_model(spark, "/root/testdata/sf0.01")
+    weights, edges = dict(model.weights), toxicity._EDGES
+
+    def score(text):
+        active = set()
+        for word in (text or "").lower().split():
+            bare = word.strip(edges)
+            active |= {bare} | {bare[:k] + "-" for k in (4, 5, 6, 7) if len(bare) > k}
+        return 1 / (1 + np.exp(-model.intercept - sum(w for f, w in weights.items() if f in active)))
+
+    found = toxicity.classify(docs, model).select("doc_id", "score").join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(found) == docs.count() and weights
+    assert all(abs(r["score"] - score(r["text"])) < 1e-9 for r in found)
+
+
+def test_quality_statistics_by_hand(spark):
+    texts = ["", "A b! 12\n\nA b! 12", "the the cat. the", "é ÉÉ#$ x?\t", "\n\n", "word\n" * 3000]
+    of = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "symbols": "#$%&*+/<=>@\\^_`|~{}[]", "marks": "!?", "digits": "0123456789", "spaces": " \t\n\r\x0b\x0c", "stops": ".,;:'\"()-"}
+    found = quality.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    for k, text in enumerate(texts):
+        raw, words, lines = text.encode(), text.split(), text.split("\n")
+        size, n = len(raw), len(words)
+        shares = [sum(c in chars for c in text) / max(1, size) for chars in of.values()] + [sum(b > 127 for b in raw) / max(1, size)]
+        more = [0.0] * 5
+        if n:
+            more = [min(64, sum(len(w.encode()) for w in words) / n), min(4096, n / len(lines)), sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, 1 - len(set(lines)) / len(lines)]
+        assert np.allclose(found.loc[k].to_numpy(), [np.log1p(size), *shares, *more]), text

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,9 @@ def test_damaged_image():
         media.from_png(png[:60] + bytes([png[60] ^ 1]) + png[61:])
     with pytest.raises(ValueError):
         media.from_png(b"GIF89a" + png)
+
+
+def test_feature_by_hand():
+    for raw in (b" " * 192, bytes(range(256)) * 3, b"abc" * 64 + b"\xff" * 192):
+        bins = [1000 * sum(b // 16 == k for b in raw) // len(raw) for k in range(16)]
+        assert media.feature(np.frombuffer(raw, np.uint8).reshape(-1, 192)) == f"rows={len(raw) // 192};mean={1000 * sum(raw) // len(raw)};bins={','.join(map(str, bins))}"
