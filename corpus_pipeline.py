@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared folder and reads back
 as the next stage's docs. All stages but the last return the columns of documents.
+
+Every stage takes null and empty texts as empty ones, null ids as ids like others, repeated rows each for itself (the
+fourth keeps one of them) and an empty table as an empty result; other columns of docs, whatever their names, stay as
+they are. Without labels the classifiers score 0.5: all documents count as good and as toxic, so none remain.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose fingerprints (128 bits over five-word shingles) are 0.8 similar or more."""
+    """Keeps one document of each group whose sets of five-word shingles have a cosine of 0.8 or more, candidates by SimHash."""
     return simhash.keep_one(docs)
 
 

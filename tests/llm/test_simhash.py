@@ -85,7 +85,7 @@ def test_failed_links_lose_no_others(spark):
     keys = ["0" * 32, "0" * 31 + "1", "0" * 31 + "3", "f" * 32]
     each = spark.createDataFrame(list(zip(keys, range(4))), "fingerprint string, body_key long")
     bodies = spark.createDataFrame(list(zip(range(4), texts)), "body_key long, _body string")
-    found = simhash.checked_links(each, bodies, words=5, bits=128, radius=25, seed=42, least=0.5)
+    found = simhash.checked_links(each, bodies, words=5, bits=128, radius=25, seed=42, least=0.7)
     assert [set(r) for r in found.collect()] == [set(keys[1:3])]
 
 
