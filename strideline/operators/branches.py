@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.geometry import circular_mean, direction, length
+from strideline.functions.geometry import circular_mean, length
 from strideline.operators import clustering
-from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decision_points, directions, frame
+from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decided, directions, frame
 from strideline.plans.params import Decision, Junction
 
 
@@ -86,19 +85,19 @@ def discover(points: DataFrame, at: Sequence[Junction], how: Decision = Decision
     (k by silhouette) on one row per trajectory in a group.
     """
     how = how.checked(at)
-    rows = frame(points, at, how)
-    vectors = directions(rows, how)
-    usable = vectors.where("usable")
+    found = decided(frame(points, at, how), how)
     if method == "dbscan":
-        labels = clustering.dbscan(usable, eps=eps, min_samples=min_samples)
+        labels = clustering.dbscan(found, eps=eps, min_samples=min_samples)
     elif method in ("kmeans", "auto"):
-        labels = clustering.kmeans(usable, k=k, k_range=k_range if method == "auto" else None, seed=seed, min_separation=min_separation)
+        labels = clustering.kmeans(found.where("usable"), k=k, k_range=k_range if method == "auto" else None, seed=seed, min_separation=min_separation)
     else:
         raise ValueError("method must be dbscan, kmeans or auto")
     labels, centers = clustering.by_angle(labels)
+    if method != "dbscan":
+        labels = found.select(*KEYS, "entered").join(labels.select(*KEYS, "branch"), list(KEYS), "left")
     rest = F.when(~F.col("entered"), NO_ENTRY).otherwise(NO_BRANCH)
-    assigned = vectors.join(labels.select(*KEYS, F.col("branch").alias("found")), list(KEYS), "left")
-    return assigned.select(*KEYS, F.coalesce("found", rest).cast("int").alias("branch")), centers, decision_points(rows, vectors)
+    assigned = labels.select(*KEYS, F.when(F.col("branch") >= 0, F.col("branch")).otherwise(rest).cast("int").alias("branch"))
+    return assigned, centers, found.drop("entered", "usable", "vx", "vz")
 
 
 def rediscover(points: DataFrame, known: DataFrame, at: Sequence[Junction], assigned: DataFrame, how: Decision, **settings) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -111,20 +110,44 @@ def rediscover(points: DataFrame, known: DataFrame, at: Sequence[Junction], assi
     return discover(known.unionByName(points), at, how, **settings)
 
 
-def normalized(chains: DataFrame, decisions: DataFrame | None = None, junction: int = 0, *, least: float = 0.95, strict: bool = False) -> DataFrame:
-    """Rows of a chain table with a branch of 0 or more at the junction, as trajectory and branch, with the decision point beside.
+def numbered(assignments: DataFrame) -> DataFrame:
+    """trajectory, number: trajectory ids that are whole numbers, numbered from 0 in their order. Other ids have none."""
+    ids = assignments.select("trajectory", F.col("trajectory").try_cast("long").alias("_id")).where("_id is not null").distinct()
+    # The place within blocks of 2^16 ids, after the ids of the blocks before: no window over all ids.
+    block = F.floor(F.col("_id") / 65536)
+    blocks = ids.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("_id", "trajectory")) - 1
+    return ids.withColumn("_block", block).withColumn("_place", place).join(before, "_block").select("trajectory", (F.col("_before") + F.col("_place")).alias("number"))
 
-    strict raises when fewer than a share of least of the rows remain.
+
+def normalized(chains: DataFrame, decisions: DataFrame | None = None, junction: int | None = 0, *, junctions: Sequence[int] | None = None, known: DataFrame | None = None, outliers: bool = False, strict: bool = False, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """Assignments for later analysis, and a report: input_rows, kept, dropped, has_decisions.
+
+    The rows are those of a chain table (branch_j0, ... of the given junctions; a plain branch column counts as the
+    junction's) whose trajectory is among known (all, without it), and unless outliers is set have a branch of 0 or more
+    at every one of the junctions. decisions adds decision_idx, intercept_x and intercept_z, of the junction or of all.
+    strict raises when fewer than a share of least of the rows is known.
     """
-    column = f"branch_j{junction}" if f"branch_j{junction}" in chains.columns else "branch"
-    kept = chains.where(F.col(column) >= 0).select("trajectory", F.col(column).cast("int").alias("branch"))
+    junctions = [junction or 0] if junctions is None else list(junctions)
+    rows = chains
+    if len(junctions) == 1 and f"branch_j{junctions[0]}" not in rows.columns:
+        rows = rows.withColumn(f"branch_j{junctions[0]}", F.col("branch") if "branch" in rows.columns else F.lit(None).cast("int"))
+    kept = rows if known is None else rows.join(known.select("trajectory").distinct(), "trajectory", "left_semi")
+    report = rows.agg(F.count("*").alias("input_rows")).crossJoin(kept.agg(F.count("*").alias("kept")))  # a row each
+    report = report.select("input_rows", "kept", (F.col("input_rows") - F.col("kept")).alias("dropped"), F.lit(decisions is not None).alias("has_decisions"))
     if strict:
-        have, of = kept.count(), chains.count()
-        if of and have < least * of:
-            raise ValueError(f"{have} of {of} rows have a branch")
-    if decisions is None:
-        return kept
-    return kept.join(decisions.where(F.col("junction") == junction).drop("junction"), "trajectory", "left")
+        said = report.first()
+        if said["kept"] < least * max(1, said["input_rows"]):
+            raise ValueError(f"{said['kept']} of {said['input_rows']} rows have a known trajectory")
+    out = kept
+    if decisions is not None:
+        some = decisions if junction is None else decisions.where(F.col("junction") == junction)
+        out = out.join(some.select("trajectory", "decision_idx", "intercept_x", "intercept_z"), "trajectory", "left")
+    for j in [] if outliers else junctions:
+        if f"branch_j{j}" in out.columns:
+            out = out.where(F.col(f"branch_j{j}") >= 0)
+    return out, report
 
 
 def inconsistencies(assignments: DataFrame) -> DataFrame:
@@ -140,14 +163,3 @@ def branch_directions(assignments: DataFrame, points: DataFrame, at: DataFrame)
     size = length(F.col("mx"), F.col("mz"))
     turn = F.row_number().over(Window.partitionBy("junction").orderBy("mean_yaw", "branch")) - 1
     return g.select("junction", "branch", (F.col("mx") / F.when(size > 0, size)).alias("ux"), (F.col("mz") / F.when(size > 0, size)).alias("uz"), turn.alias("turn"))
-
-
-def compass(k: int = 4) -> list[tuple[float, float]]:
-    """k unit vectors evenly about the circle, from the x axis."""
-    return [(float(np.cos(2 * np.pi * i / k)), float(np.sin(2 * np.pi * i / k))) for i in range(k)]
-
-
-def sorted_by_angle(centers: DataFrame) -> DataFrame:
-    """centers numbered anew by direction."""
-    order = F.row_number().over(Window.partitionBy("junction").orderBy(direction(F.col("ux"), F.col("uz")), "branch")) - 1
-    return centers.withColumn("branch", order)

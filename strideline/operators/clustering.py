@@ -1,7 +1,7 @@
 """Clusters of unit direction vectors, junction by junction.
 
-dbscan() is relational: on a circle, a density cluster is an island of core angles, found by range windows over angles
-that are repeated beyond the seam. kmeans() works on one vector for each trajectory in a group of its own.
+dbscan() counts directions in cells of the circle and finds the clusters, islands of core angles, from the cells. kmeans()
+works on one vector for each trajectory in a group of its own.
 """
 
 from __future__ import annotations
@@ -15,38 +15,88 @@ from pyspark.sql import functions as F
 
 from strideline.functions.geometry import direction, length
 from strideline.operators.decisions import KEYS
+from strideline.sources.scratch import settled
 
 
-def _wrapped(rows: DataFrame, reach: float) -> DataFrame:
-    """rows with those within reach of the seam repeated on its other side; copy is -1, 0 or 1."""
-    turns = F.filter(F.array(*[F.struct(F.lit(k).alias("copy"), (F.col("angle") + 2 * math.pi * k).alias("at")) for k in (-1, 0, 1)]), lambda s: (s["at"] >= -math.pi - reach) & (s["at"] <= math.pi + reach))
-    return rows.withColumn("turn", F.explode(turns)).select("*", "turn.copy", "turn.at").drop("turn")
+#: Cells of the circle in one eps.
+CELLS_PER_EPS = 8
+
+
+def _labels(rows: pd.DataFrame, reach: float, cells: int, least: int) -> pd.DataFrame:
+    """Clusters of one junction from the summary of its cells: for each cell its label if it is dense, else the label of each of its trajectories.
+
+    rows: cell, n, first (the cell's first trajectory; null but in one row for each cell) and the least and greatest
+    directions of each cell (trajectory, angle), all of them where there are fewer than least.
+    """
+    heads = rows[rows["n"].notna()].set_index("cell")
+    ends = rows[rows["n"].isna()].drop_duplicates(["cell", "trajectory", "angle"]).sort_values(["cell", "angle", "trajectory"])
+    n, first = heads["n"].astype(int).to_dict(), heads["first"].to_dict()
+    angles = {c: g["angle"].to_numpy() for c, g in ends.groupby("cell")}
+    names = {c: g["trajectory"].to_numpy() for c, g in ends.groupby("cell")}
+    sure, most = int(reach / (2 * math.pi / cells)) - 1, math.ceil(reach / (2 * math.pi / cells))
+    apart = lambda a, b: np.minimum(np.abs(a - b), 2 * math.pi - np.abs(a - b))
+    around = lambda c, lo, hi: {(c + s * d) % cells for d in range(lo, hi + 1) for s in (-1, 1)}
+    inner = {c: sum(n.get(k, 0) for k in around(c, 0, sure)) for c in n}
+    points: list[tuple] = []  # cell, trajectory (None: the whole cell), angle, first trajectory of a core
+    loose: list[tuple] = []
+    for c in n:
+        if inner[c] >= least:
+            points += [(c, None, a, first[c]) for a in (angles[c].min(), angles[c].max())]
+            continue
+        for a, t in zip(angles[c], names[c], strict=True):
+            near = inner[c] + sum(int((apart(angles[k], a) <= reach).sum()) for k in around(c, sure + 1, most) if k in angles)
+            (points if near >= least else loose).append((c, t, a, t))
+    points.sort(key=lambda p: p[2])
+    at = np.array([p[2] for p in points])
+    island = np.concatenate(([0], np.cumsum(np.diff(at) > reach))) if len(at) else np.zeros(0, int)
+    if len(at) and at[0] + 2 * math.pi - at[-1] <= reach:
+        island[island == island[-1]] = 0
+    start = {k: min(p[3] for p, i in zip(points, island, strict=True) if i == k) for k in set(island.tolist())}
+    label = {k: place for place, k in enumerate(sorted(start, key=start.get))}
+    out = {(p[0], p[1]): label[i] for p, i in zip(points, island.tolist(), strict=True)}
+    for c, t, a, _ in loose:
+        near = island[apart(at, a) <= reach]
+        out[c, t] = min((label[i] for i in near.tolist()), default=-1)
+    one: dict[int, dict] = {}
+    for (c, t), k in out.items():
+        if t is not None:
+            one.setdefault(c, {})[t] = k
+    return pd.DataFrame({"cell": list(n), "whole": [out.get((c, None)) for c in n], "single": [list(one.get(c, {}).items()) for c in n]})
 
 
 def dbscan(vectors: DataFrame, *, eps: float = 15.0, min_samples: int = 5) -> DataFrame:
-    """trajectory, junction, vx, vz, branch: density clusters of the directions, -1 for noise.
+    """vectors (trajectory, junction, vx, vz and any other columns) with branch: density clusters of the directions, -1 for noise and for rows without a direction.
 
     A direction is core with min_samples or more (itself included) within eps degrees; cores within eps of one another
     are one cluster, clusters are numbered by their first core in trajectory order, and another direction belongs to
-    the lowest-numbered cluster with a core within eps. The windows are by junction: a junction's directions are sorted
-    in one task (a dozen bytes for each trajectory).
+    the lowest-numbered cluster with a core within eps.
+
+    The circle is cut into cells of an eighth of eps. All directions of a cell are core where the cells that lie whole
+    within eps hold min_samples; elsewhere a cell holds fewer than min_samples directions. So a junction's clusters
+    follow from its cells' counts and the min_samples least and greatest directions of each: a few thousand rows at any
+    size, which are one group. eps is at most 120.
     """
+    if not 0 < eps <= 120:
+        raise ValueError("eps must be over 0 and at most 120 degrees")
     reach = math.radians(eps) * (1 + 1e-12)
-    rows = vectors.select(*KEYS, "vx", "vz", direction(F.col("vx"), F.col("vz")).alias("angle"))
-    band = f"over (partition by junction order by at range between {reach!r}D preceding and {reach!r}D following)"
-    counted = _wrapped(rows, reach).withColumn("near", F.expr(f"count(*) {band}")).where("copy = 0").drop("copy", "at")
-    counted = counted.withColumn("core", F.col("near") >= min_samples)
-    line, all_ = Window.partitionBy("junction").orderBy("angle", "trajectory"), Window.partitionBy("junction")
-    cores = counted.where("core").withColumn("gap", F.col("angle") - F.lag("angle").over(line))
-    cores = cores.withColumn("island", F.sum(F.when(F.col("gap") > reach, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    seam = (F.min("angle").over(all_) + 2 * math.pi - F.max("angle").over(all_)) <= reach
-    last = F.max("island").over(all_)
-    cores = cores.withColumn("island", F.when(seam & (F.col("island") == last), 0).otherwise(F.col("island")))
-    first = F.min("trajectory").over(Window.partitionBy("junction", "island"))
-    cores = cores.withColumn("first", first).withColumn("label", F.dense_rank().over(Window.partitionBy("junction").orderBy("first")) - 1)
-    known = counted.join(cores.select(*KEYS, "label"), list(KEYS), "left")
-    around = _wrapped(known, reach).withColumn("borders", F.expr(f"min(label) {band}")).where("copy = 0")
-    return around.select(*KEYS, "vx", "vz", F.coalesce("label", "borders", F.lit(-1)).cast("int").alias("branch"))
+    cells = math.ceil(2 * math.pi / (reach / CELLS_PER_EPS))
+    angle = direction(F.col("vx"), F.col("vz"))
+    cell = F.when(angle.isNotNull(), F.least(F.floor((angle + math.pi) / (2 * math.pi / cells)), F.lit(cells - 1))).cast("int")
+    rows = settled(vectors.withColumns({"_angle": angle, "_cell": cell}), "directions")
+    named = rows.where("_angle is not null").select("junction", F.col("_cell").alias("cell"), "trajectory", F.col("_angle").alias("angle"))
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = named.groupBy("junction", "cell").agg(F.count("*").alias("n"), F.min("trajectory").alias("first")).select("junction", "cell", none("string").alias("trajectory"), none("double").alias("angle"), "n", "first")
+    w = Window.partitionBy("junction", "cell")
+    ends = [named.withColumn("_k", F.row_number().over(w.orderBy(*order))).where(F.col("_k") <= min_samples).drop("_k") for order in ((F.asc("angle"), F.asc("trajectory")), (F.desc("angle"), F.asc("trajectory")))]
+    both = ends[0].unionByName(ends[1]).select("*", none("long").alias("n"), none("string").alias("first"))
+
+    def label(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return _labels(group, reach, cells, min_samples).assign(junction=key[0])[["junction", "cell", "whole", "single"]].astype({"whole": "Int32"})
+
+    found = heads.unionByName(both).groupBy("junction").applyInPandas(label, "junction int, cell int, whole int, single array<struct<trajectory:string,label:int>>")
+    out = rows.join(found.withColumnsRenamed({"cell": "_cell", "whole": "_whole", "single": "_single"}), ["junction", "_cell"], "left")
+    own = F.get(F.filter("_single", lambda p: p["trajectory"] == F.col("trajectory")), F.lit(0))["label"]
+    return out.select(*vectors.columns, F.coalesce("_whole", own, F.lit(-1)).cast("int").alias("branch"))
 
 
 def _lloyd(v: np.ndarray, k: int, seed: int, steps: int = 100) -> np.ndarray:
@@ -110,12 +160,13 @@ def kmeans(vectors: DataFrame, *, k: int = 3, k_range: tuple[int, int] | None =
 
 def by_angle(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """labels with branches numbered by their centres' angles (noise stays -1), and the centres: junction, branch, ux, uz (the normalised mean, (1, 0) if it is null)."""
+    labels = settled(labels, "labels")
     g = labels.where("branch >= 0").groupBy("junction", "branch").agg(F.avg("vx").alias("mx"), F.avg("vz").alias("mz"))
     size = length(F.col("mx"), F.col("mz"))
     g = g.select("junction", F.col("branch").alias("old"), F.coalesce(F.col("mx") / F.when(size > 0, size), F.lit(1.0)).alias("ux"), F.coalesce(F.col("mz") / F.when(size > 0, size), F.lit(0.0)).alias("uz"))
     g = g.withColumn("branch", (F.row_number().over(Window.partitionBy("junction").orderBy(direction(F.col("ux"), F.col("uz")), "old")) - 1).cast("int"))
-    named = labels.withColumnRenamed("branch", "old").join(F.broadcast(g.select("junction", "old", "branch")), ["junction", "old"], "left")
-    return named.select(*KEYS, "vx", "vz", F.coalesce("branch", F.lit(-1)).alias("branch")), g.select("junction", "branch", "ux", "uz")
+    named = labels.withColumnRenamed("branch", "old").join(g.select("junction", "old", F.col("branch").alias("_new")), ["junction", "old"], "left")
+    return named.withColumn("branch", F.coalesce("_new", F.lit(-1))).select(*labels.columns), g.select("junction", "branch", "ux", "uz")
 
 
 def silhouette(labels: DataFrame) -> DataFrame:

@@ -30,20 +30,26 @@ def junction_table(spark: SparkSession, at: Sequence[Junction]) -> DataFrame:
 
 
 def with_steps(points: DataFrame) -> DataFrame:
-    """points with dx, dz and seg (the step that ends at the point; null for the first) and n, the trajectory's points."""
+    """points with dx, dz and seg (the step that ends at the point; null for the first), n, the trajectory's points, and total, its length."""
     w = Window.partitionBy("trajectory").orderBy("idx")
-    d = points.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dz": F.col("z") - F.lag("z").over(w), "n": F.count("*").over(Window.partitionBy("trajectory"))})
-    return d.withColumn("seg", length(F.col("dx"), F.col("dz")))
+    whole = Window.partitionBy("trajectory")
+    d = points.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dz": F.col("z") - F.lag("z").over(w), "n": F.count("*").over(whole)})
+    d = d.withColumn("seg", length(F.col("dx"), F.col("dz")))
+    return d.withColumn("total", F.coalesce(F.sum("seg").over(whole), F.lit(0.0)))
 
 
-def frame(points: DataFrame, at: Sequence[Junction], how: Decision = Decision()) -> DataFrame:
+def frame(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, path_length: Column | None = None, ring: Column | None = None) -> DataFrame:
     """A row for each point and junction: steps, dist, entered, start, path (the length since start), and the indices radial_idx, trend_idx (without the one-sample rule) and pathlen_idx.
 
     start is the first point inside, else the nearest. A point crosses the ring when it is on or beyond it and the
-    distance has not fallen over the last samples after start (window of them at most).
+    distance has not fallen over the last samples after start (window of them at most). path_length and ring replace those
+    of how and of the junctions by columns, of total (the trajectory's length) for instance; a ring within the radius is r + 10.
     """
     spark = points.sparkSession
     both = with_steps(points).crossJoin(F.broadcast(junction_table(spark, at)))
+    if ring is not None:
+        both = both.withColumn("ring", F.when(ring > F.col("r"), ring).otherwise(F.col("r") + 10.0))
+    far = F.lit(how.path_length) if path_length is None else path_length
     whole = Window.partitionBy(*KEYS)
     inner = whole.orderBy("idx")
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
@@ -67,7 +73,7 @@ def frame(points: DataFrame, at: Sequence[Junction], how: Decision = Decision())
     return both.withColumns({
         "radial_idx": F.min(F.when(crossing, F.col("idx"))).over(whole),
         "trend_idx": F.min(F.when(crossing & (F.col("idx") > F.col("start") + 1), F.col("idx"))).over(whole),
-        "pathlen_idx": F.min(F.when(after & (F.col("path") >= how.path_length), F.col("idx"))).over(whole),
+        "pathlen_idx": F.min(F.when(after & (F.col("path") >= far), F.col("idx"))).over(whole),
     })
 
 
@@ -87,20 +93,15 @@ def decision_indices(rows: DataFrame, mode: str = "hybrid") -> DataFrame:
     return found.withColumn("decision_idx", decision_index(mode))
 
 
-def directions(rows: DataFrame, how: Decision) -> DataFrame:
-    """trajectory, junction, entered, usable, vx, vz, mode_used: the unit direction in which each junction is left.
-
-    radial: the sum of the steps of epsilon or more in the window up to the crossing, else the longest of them. pathlen: the
-    first step of epsilon or more from the path length on that starts clear of the junction, else the longest step if it
-    does, else the last ten steps together if the last but one point does. hybrid: radial, else pathlen.
-    """
+def _direction_sums(how: Decision) -> list[Column]:
+    """The aggregates that a direction is made of."""
     idx, seg, start = F.col("idx"), F.col("seg"), F.col("start")
     step = F.struct(seg, (-idx).alias("turn"), "dx", "dz", "prev_dist")
     clear = F.col("prev_dist") >= F.col("r") + max(5.0, how.linger_delta)
     near = (idx > F.greatest(start, F.col("radial_idx") - how.window)) & (idx <= F.col("radial_idx"))
     big, late = seg >= how.epsilon, (idx > start) & (idx > F.col("n") - 1 - 10)
     total = lambda c, when: F.sum(F.when(when, F.col(c)))
-    g = rows.groupBy(*KEYS).agg(
+    return [
         F.first("entered").alias("entered"),
         F.first("r").alias("r"),
         total("dx", near & big).alias("rx"), total("dz", near & big).alias("rz"),
@@ -109,7 +110,11 @@ def directions(rows: DataFrame, how: Decision) -> DataFrame:
         F.max(F.when(idx > start, step)).alias("t2"),
         total("dx", late).alias("lx"), total("dz", late).alias("lz"),
         F.max(F.when((idx == F.col("n") - 1) & (idx > start), F.col("prev_dist"))).alias("end_dist"),
-    )
+    ]
+
+
+def _with_directions(g: DataFrame, how: Decision) -> DataFrame:
+    """g, with the columns of _direction_sums(), and usable, vx, vz, mode_used."""
     unit = lambda x, z: F.when(length(x, z) > 0, F.struct((x / F.when(length(x, z) > 0, length(x, z))).alias("vx"), (z / F.when(length(x, z) > 0, length(x, z))).alias("vz")))
     far = F.col("r") + max(5.0, how.linger_delta)
     radial = F.when(F.col("rx").isNotNull(), unit(F.col("rx"), F.col("rz"))).otherwise(unit(F.col("near.dx"), F.col("near.dz")))
@@ -118,26 +123,81 @@ def directions(rows: DataFrame, how: Decision) -> DataFrame:
     pathlen = F.coalesce(unit(F.col("t1.dx"), F.col("t1.dz")), t2, t3)
     v = {"radial": radial, "pathlen": pathlen, "hybrid": F.coalesce(radial, pathlen)}[how.mode]
     used = F.when(radial.isNotNull(), "radial").otherwise("pathlen") if how.mode == "hybrid" else F.lit(how.mode)
-    found = g.withColumns({"v": v, "used": used})
-    usable = F.col("entered") & F.col("v").isNotNull()
-    return found.select(*KEYS, "entered", usable.alias("usable"), F.when(usable, F.col("v.vx")).alias("vx"), F.when(usable, F.col("v.vz")).alias("vz"), F.when(usable, F.col("used")).alias("mode_used"))
+    found = g.withColumns({"_v": v, "_used": used}).withColumn("usable", F.col("entered") & F.col("_v").isNotNull())
+    usable = F.col("usable")
+    return found.withColumns({"vx": F.when(usable, F.col("_v.vx")), "vz": F.when(usable, F.col("_v.vz")), "mode_used": F.when(usable, F.col("_used"))})
+
+
+def directions(rows: DataFrame, how: Decision) -> DataFrame:
+    """trajectory, junction, entered, usable, vx, vz, mode_used: the unit direction in which each junction is left.
+
+    radial: the sum of the steps of epsilon or more in the window up to the crossing, else the longest of them. pathlen: the
+    first step of epsilon or more from the path length on that starts clear of the junction, else the longest step if it
+    does, else the last ten steps together if the last but one point does. hybrid: radial, else pathlen.
+    """
+    g = rows.groupBy(*KEYS).agg(*_direction_sums(how))
+    return _with_directions(g, how).select(*KEYS, "entered", "usable", "vx", "vz", "mode_used")
 
 
-def decision_points(rows: DataFrame, vectors: DataFrame, *, approx: bool = False) -> DataFrame:
+def decided(rows: DataFrame, how: Decision, *, approx: bool = False) -> DataFrame:
+    """directions() and decision_points() in one aggregation: trajectory, junction, entered, usable, vx, vz, mode_used, decision_idx, intercept_x, intercept_z, reason."""
+    median = F.percentile_approx("seg", 0.5) if approx else F.percentile("seg", 0.5)  # of one trajectory
+    pick = lambda which: F.max(F.when(F.col("idx") == F.col(f"{which}_idx"), F.struct("idx", "x", "z", "dist")))
+    g = rows.groupBy(*KEYS).agg(*_direction_sums(how), median.alias("median"), F.first("ring").alias("ring"), pick("radial").alias("radial"), pick("pathlen").alias("pathlen"))
+    both = _with_directions(g, how).withColumn("at", F.when(F.col("mode_used") == "radial", F.col("radial")).when(F.col("mode_used") == "pathlen", F.col("pathlen")))
+    near = F.coalesce(F.col("at.dist") <= F.col("ring") + F.greatest(2 * F.coalesce("median", F.lit(0.0)), F.lit(1.0)), F.lit(False))
+    reason = F.when(~F.col("entered"), "no_junction_entry").when(~F.col("usable"), "no_vector").when(near, F.col("mode_used")).otherwise("no_decision_point")
+    at = F.when(near, F.col("at"))
+    return both.select(*KEYS, "entered", "usable", "vx", "vz", at["idx"].alias("decision_idx"), at["x"].alias("intercept_x"), at["z"].alias("intercept_z"), "mode_used", reason.alias("reason"))
+
+
+def decision_points(rows: DataFrame, how: Decision, *, approx: bool = False) -> DataFrame:
     """trajectory, junction, decision_idx, intercept_x, intercept_z, mode_used, reason.
 
     The index is that of the mode a direction came from. Points further out than the ring plus twice the trajectory's
     median step (at least 1) are rejected; reason is the mode, no_junction_entry, no_vector or no_decision_point. approx
     takes the median by approximation, for trajectories that do not fit in memory.
     """
-    median = F.percentile_approx("seg", 0.5) if approx else F.percentile("seg", 0.5)
-    pick = lambda which: F.max(F.when(F.col("idx") == F.col(f"{which}_idx"), F.struct("idx", "x", "z", "dist")))
-    g = rows.groupBy(*KEYS).agg(median.alias("median"), F.first("ring").alias("ring"), pick("radial").alias("radial"), pick("pathlen").alias("pathlen"))
-    both = vectors.join(g, list(KEYS)).withColumn("at", F.when(F.col("mode_used") == "radial", F.col("radial")).when(F.col("mode_used") == "pathlen", F.col("pathlen")))
-    near = F.col("at.dist") <= F.col("ring") + F.greatest(2 * F.coalesce("median", F.lit(0.0)), F.lit(1.0))
-    reason = F.when(~F.col("entered"), "no_junction_entry").when(~F.col("usable"), "no_vector").when(F.coalesce(near, F.lit(False)), F.col("mode_used")).otherwise("no_decision_point")
-    at = F.when(F.coalesce(near, F.lit(False)), F.col("at"))
-    return both.select(*KEYS, at["idx"].alias("decision_idx"), at["x"].alias("intercept_x"), at["z"].alias("intercept_z"), "mode_used", reason.alias("reason"))
+    return decided(rows, how, approx=approx).drop("entered", "usable", "vx", "vz")
+
+
+def diagnostics(points: DataFrame) -> DataFrame:
+    """trajectory, junction, used, reason of decision_points(): two rows where a direction was used and its decision point rejected."""
+    reason = F.when(F.col("reason") == "no_decision_point", F.array("mode_used", "reason")).otherwise(F.array("reason"))
+    each = points.select(*KEYS, F.explode(reason).alias("reason"))
+    return each.select(*KEYS, F.col("reason").isin("radial", "pathlen").alias("used"), "reason")
+
+
+def searched(rows: DataFrame, how: Decision, within: Column | float = 50.0) -> DataFrame:
+    """trajectory, junction, decision_idx: the first point within a distance (and epsilon) near the closest approach, else that approach.
+
+    It is looked for up to path_length samples (rounded down), a tenth of the trajectory or 50 samples on each side,
+    whichever is least.
+    """
+    reach = F.least(F.lit(int(how.path_length)), F.floor(F.col("n") / 10), F.lit(50))
+    idx, nearest = F.col("idx"), F.col("nearest")
+    inside = (idx >= nearest - reach) & (idx < nearest + reach) & (F.col("dist") <= (F.lit(within) if isinstance(within, (int, float)) else within) + how.epsilon)
+    g = rows.groupBy(*KEYS).agg(F.min(F.when(inside, idx)).alias("found"), F.first("nearest").alias("nearest"))
+    return g.select(*KEYS, F.coalesce("found", "nearest").alias("decision_idx"))
+
+
+def first_decisions(rows: DataFrame, how: Decision, wide: float = 50.0) -> DataFrame:
+    """trajectory, junction, decision_idx: the quick choice of a decision point.
+
+    In radial mode, and in hybrid mode at rings over wide, the first point within the ring, or none; else searched().
+    """
+    entry = rows.groupBy(*KEYS).agg(F.first("ring").alias("ring"), F.min(F.when(F.col("dist") <= F.col("ring"), F.col("idx"))).alias("decision_idx"))
+    if how.mode == "radial":
+        return entry.drop("ring")
+    if how.mode == "pathlen":
+        return searched(rows, how)
+    near = searched(rows.where(F.col("ring") <= wide), how)
+    return entry.where(F.col("ring") > wide).drop("ring").unionByName(near)
+
+
+def nearest_points(rows: DataFrame) -> DataFrame:
+    """trajectory, junction, decision_idx: the closest approach."""
+    return rows.groupBy(*KEYS).agg(F.first("nearest").alias("decision_idx"))
 
 
 def first_within(rows: DataFrame, reach: str = "ring") -> DataFrame:
@@ -163,3 +223,9 @@ def clip_to_area(rows: DataFrame, factor: float = 1.5) -> DataFrame:
 def clip_to_ring(rows: DataFrame) -> DataFrame:
     """Points within the outer radius of each junction; trajectories without any drop out."""
     return rows.where(F.col("dist") <= F.col("ring"))
+
+
+def clip_to_window(rows: DataFrame, window_radius: float) -> DataFrame:
+    """Points in the square of half-size window_radius about each junction's centre."""
+    near = lambda c: F.abs(F.col(c) - F.col(f"c{c}")) <= window_radius
+    return rows.where(near("x") & near("z"))

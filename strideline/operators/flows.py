@@ -159,12 +159,24 @@ def next_choice(second: DataFrame, origin: int, via: int) -> tuple[str, float]:
     return (f"J{top['dest']}", top["percent"] / 100.0) if top else ("Unknown", 0.0)
 
 
-def routes(chains: DataFrame, most: int = 10) -> DataFrame:
-    """route, n, share: the branches of a chain table before the first null, of two or more, that several trajectories share; the most frequent."""
+def _prefixes(chains: DataFrame) -> DataFrame:
+    """route: the branches of each row of a chain table before the first null, where there are two or more."""
     columns = [c for c in chains.columns if c.startswith("branch_j")]
     cells = F.array(*[F.col(c).cast("int") for c in columns])
     prefix = F.slice(cells, 1, F.coalesce(F.nullif(F.array_position(F.transform(cells, lambda b: b.isNull()), True), F.lit(0)) - 1, F.size(cells)).cast("int"))
-    some = chains.select(prefix.alias("route")).where(F.size("route") > 1)
+    return chains.select(prefix.alias("route")).where(F.size("route") > 1)
+
+
+def routes(chains: DataFrame, most: int = 10) -> DataFrame:
+    """route, n, share: the branches of a chain table before the first null, of two or more, that several trajectories share; the most frequent."""
+    some = _prefixes(chains)
     grouped = some.groupBy("route").agg(F.count("*").alias("n"))
     total = some.agg(F.count("*").alias("total"))
     return grouped.where("n > 1").crossJoin(F.broadcast(total)).select(F.array_join("route", "-").alias("route"), "n", (F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("n"), "route").limit(most)
+
+
+def route_statistics(chains: DataFrame) -> DataFrame:
+    """sequences, different (routes), mean_length (0 without any), lengths (length to count, as JSON) of routes."""
+    g = _prefixes(chains).groupBy("route").agg(F.count("*").alias("n")).groupBy(F.size("route").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("different"))
+    out = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sequences"), F.coalesce(F.sum("different"), F.lit(0)).alias("different"), F.coalesce(F.sum(F.col("k") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean_length"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("lengths"))
+    return out.withColumn("lengths", F.to_json("lengths"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import length, wrapped, yaw
-from strideline.operators.decisions import KEYS
+from strideline.operators.decisions import KEYS, decision_index
+from strideline.operators.metrics import quantiles
 
 
 def _mean_pupil() -> Column:
@@ -15,11 +16,14 @@ def _mean_pupil() -> Column:
     return F.when(n > 0, (F.coalesce("pupil_l", F.lit(0.0)) + F.coalesce("pupil_r", F.lit(0.0))) / F.when(n > 0, n))
 
 
-def _decided(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+def _decided(rows: DataFrame, decisions: DataFrame | str) -> DataFrame:
+    """rows with decision_idx: of a table of them, or a mode's own from the frame, which needs no join. Without one, rows drop out."""
+    if isinstance(decisions, str):
+        return rows.drop("branch").withColumn("decision_idx", decision_index(decisions)).where("decision_idx is not null")
     return rows.drop("branch", "decision_idx").join(decisions.where("decision_idx is not null").select(*KEYS, "decision_idx"), list(KEYS))
 
 
-def head_yaw(rows: DataFrame, decisions: DataFrame, assignments: DataFrame, *, within: int = 200) -> DataFrame:
+def head_yaw(rows: DataFrame, decisions: DataFrame | str, assignments: DataFrame, *, within: int = 200) -> DataFrame:
     """trajectory, junction, branch, decision_idx, valid_idx, head_yaw, movement_yaw, yaw_difference, heart_rate, pupil at the decisions of assigned trajectories.
 
     The head's sample is the nearest one with a forward vector, at most `within` rows away, the earlier of two; the
@@ -38,7 +42,7 @@ def head_yaw(rows: DataFrame, decisions: DataFrame, assignments: DataFrame, *, w
     return g.select(*KEYS, "branch", "decision_idx", F.col("s.idx").alias("valid_idx"), head.alias("head_yaw"), movement.alias("movement_yaw"), wrapped(head - movement).alias("yaw_difference"), F.col("s.heart_rate").alias("heart_rate"), F.col("s.pupil").alias("pupil"))
 
 
-def physiology(rows: DataFrame, decisions: DataFrame, *, near: float = 2.0, far: float = 5.0) -> DataFrame:
+def physiology(rows: DataFrame, decisions: DataFrame | str, *, near: float = 2.0, far: float = 5.0) -> DataFrame:
     """trajectory, junction and baseline, decision and change of heart rate and pupil: means over [entry - far, entry - near] and over entry to decision."""
     both = _decided(rows, decisions)
     whole = Window.partitionBy(*KEYS)
@@ -49,7 +53,7 @@ def physiology(rows: DataFrame, decisions: DataFrame, *, near: float = 2.0, far:
     return g.withColumns({f"{c}_change": F.col(f"{c}_decision") - F.col(f"{c}_baseline") for c in ("heart_rate", "pupil")})
 
 
-def pupil_windows(rows: DataFrame, decisions: DataFrame, *, window: float = 3.0, last: int = 10) -> DataFrame:
+def pupil_windows(rows: DataFrame, decisions: DataFrame | str, *, window: float = 3.0, last: int = 10) -> DataFrame:
     """trajectory, junction, pupil_baseline, pupil_decision, pupil_change: means over the decision's time plus and minus window, and over the last ten valid samples before that."""
     both = _decided(rows, decisions).withColumn("pupil", _mean_pupil())
     both = both.withColumn("t_dec", F.max(F.when(F.col("idx") == F.col("decision_idx"), F.col("t"))).over(Window.partitionBy(*KEYS)))
@@ -77,21 +81,41 @@ def mismatches(points: DataFrame, assignments: DataFrame, centers: DataFrame, at
 
 def quartiles(values: DataFrame, column: str, *by: str) -> DataFrame:
     """q1, median, q3 of a column by group."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return values.where(F.col(column).isNotNull()).groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(values, column, [0.25, 0.5, 0.75], *by)
+    return q.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
 
 
-def movement(rows: DataFrame, indices: DataFrame) -> DataFrame:
-    """trajectory, junction, decision_idx, movement_yaw, approach_yaw, exit_yaw, distance, progress, t at given indices; steps under 1e-3 have no heading."""
+def _marked(rows: DataFrame) -> DataFrame:
+    """rows with movement_yaw, approach_yaw and exit_yaw; steps of 1e-3 or less have no heading."""
     w = Window.partitionBy(*KEYS).orderBy("idx")
-    step = lambda a, b: F.when(length(a[0] - b[0], a[1] - b[1]) >= 1e-3, yaw(a[0] - b[0], a[1] - b[1]))
+    step = lambda a, b: F.when(length(a[0] - b[0], a[1] - b[1]) > 1e-3, yaw(a[0] - b[0], a[1] - b[1]))
     here, prev, following = [(F.col("x"), F.col("z"))] + [(f("x").over(w), f("z").over(w)) for f in (F.lag, F.lead)]
-    marked = rows.withColumns({"movement_yaw": step(following, prev), "approach_yaw": step(here, prev), "exit_yaw": step(following, here)})
-    both = _decided(marked, indices).where("idx = decision_idx")
+    return rows.withColumns({"movement_yaw": step(following, prev), "approach_yaw": step(here, prev), "exit_yaw": step(following, here)})
+
+
+def movement(rows: DataFrame, indices: DataFrame | str) -> DataFrame:
+    """trajectory, junction, decision_idx, movement_yaw, approach_yaw, exit_yaw, distance, progress, t at given indices."""
+    both = _decided(_marked(rows), indices).where("idx = decision_idx")
     return both.select(*KEYS, "decision_idx", "movement_yaw", "approach_yaw", "exit_yaw", F.col("dist").alias("distance"), (F.col("idx") / F.col("n")).alias("progress"), "t")
 
 
-def sample_timing(rows: DataFrame, decisions: DataFrame, window: float = 3.0) -> DataFrame:
+def movement_of_visits(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """movement() and visit, x, z for every visit of flows.visits(): each visit to a junction is described at the trajectory's first point within reach there."""
+    at = F.min(F.when(F.col("dist") <= F.col("reach"), F.col("idx"))).over(Window.partitionBy(*KEYS))
+    first = _marked(rows).withColumn("decision_idx", at).where("idx = decision_idx")
+    both = seen.select(*KEYS, "visit").join(first, list(KEYS))
+    return both.select(*KEYS, "visit", "decision_idx", "n", (F.col("idx") / F.col("n")).alias("progress"), "movement_yaw", "approach_yaw", "exit_yaw", F.col("dist").alias("distance"), "x", "z", "t")
+
+
+def headlines(yaws: DataFrame, physio: DataFrame, pupils: DataFrame) -> DataFrame:
+    """Plain means over all rows with a value, also of angles: heart_rate_change, pupil_change, pupil_baseline, pupil_decision, head_yaw, yaw_difference; and measurements, the rows of physio."""
+    a = physio.agg(F.avg("heart_rate_change").alias("heart_rate_change"), F.count("*").alias("measurements"))
+    b = pupils.agg(*[F.avg(c).alias(c) for c in ("pupil_baseline", "pupil_decision", "pupil_change")])
+    c = yaws.agg(F.avg("head_yaw").alias("head_yaw"), F.avg("yaw_difference").alias("yaw_difference"))
+    return a.crossJoin(b).crossJoin(c)  # a row each
+
+
+def sample_timing(rows: DataFrame, decisions: DataFrame | str, window: float = 3.0) -> DataFrame:
     """trajectory, junction, before, after, difference: samples in the window of time before and after the decision."""
     both = _decided(rows, decisions).withColumn("t_dec", F.max(F.when(F.col("idx") == F.col("decision_idx"), F.col("t"))).over(Window.partitionBy(*KEYS)))
     t = F.col("t") - F.col("t_dec")
@@ -99,7 +123,7 @@ def sample_timing(rows: DataFrame, decisions: DataFrame, window: float = 3.0) ->
     return g.withColumn("difference", F.col("after") - F.col("before"))
 
 
-def values_at(rows: DataFrame, decisions: DataFrame, *columns: str) -> DataFrame:
+def values_at(rows: DataFrame, decisions: DataFrame | str, *columns: str) -> DataFrame:
     """trajectory, junction, decision_idx and columns' values there."""
     return _decided(rows, decisions).where("idx = decision_idx").select(*KEYS, "decision_idx", *columns)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strideline.functions.geometry import length, turn
 from strideline.operators.decisions import KEYS
 from strideline.operators.gaze import _mean_pupil
+from strideline.sources.scratch import settled
 
 FEATURES = ("distance", "approach_angle", "lateral_offset", "speed", "acceleration", "curvature", "sinuosity", "time_to_junction", "gaze_angle", "gaze_alignment", "head_variability", "heart_rate", "heart_rate_trend", "pupil", "pupil_trend", "previous_choice")
 #: Distances before the junction's edge at which models are trained by default.
@@ -115,10 +116,15 @@ def importances(model: PipelineModel) -> dict[str, float]:
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """trajectory, junction, predicted, confidence (the greatest probability; null for boosted trees)."""
+    """trajectory, junction, predicted, confidence (the greatest probability) and probabilities (branch to probability); the last two are null for boosted trees."""
     out = model.transform(rows.fillna(0.0, list(FEATURES)))
-    confidence: Column = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
-    return out.select(*KEYS, F.col("prediction").cast("int").alias("predicted"), confidence.alias("confidence"))
+    if "probability" not in out.columns:
+        out = out.withColumns({"_p": F.lit(None).cast("array<double>")})
+    else:
+        out = out.withColumn("_p", vector_to_array("probability"))
+    confidence: Column = F.array_max("_p")
+    by_branch = F.map_from_arrays(F.sequence(F.lit(0), F.size("_p") - 1), "_p")
+    return out.select(*KEYS, F.col("prediction").cast("int").alias("predicted"), confidence.alias("confidence"), F.when(F.col("_p").isNotNull(), by_branch).alias("probabilities"))
 
 
 def train_by_distance(rows: DataFrame, assignments: DataFrame, distances: Sequence[float] = DISTANCES, model: str = "random_forest") -> dict[float, PipelineModel]:
@@ -127,6 +133,39 @@ def train_by_distance(rows: DataFrame, assignments: DataFrame, distances: Sequen
     return {d: m for d, m in found.items() if m is not None}
 
 
+def analyze(rows: DataFrame, assignments: DataFrame, *, distances: Sequence[float] = DISTANCES, model: str = "random_forest", folds_of: int = 5) -> DataFrame:
+    """junction, distance, accuracy and deviation (of the folds, in percent), samples, band: how well each junction's branch is foreseen from each distance, where ten rows or more have a branch.
+
+    A driver's loop over junctions and distances, which are few; each fit is a Spark job.
+    """
+    spark, found = rows.sparkSession, []
+    for d in distances:
+        known = settled(labelled(features(rows, d), assignments), "features")
+        for j, n in sorted(map(tuple, known.groupBy("junction").count().collect())):
+            if n >= LEAST:
+                scores = [100 * a for a in cross_validate(known.where(F.col("junction") == j), model, folds_of)]
+                mean = sum(scores) / len(scores)
+                found.append((j, float(d), mean, (sum((a - mean) ** 2 for a in scores) / len(scores)) ** 0.5, n))
+    out = spark.createDataFrame(found, "junction int, distance double, accuracy double, deviation double, samples long")
+    return out.withColumn("band", band(F.col("accuracy") / 100))
+
+
+def junction_summary(found: DataFrame) -> DataFrame:
+    """junction, accuracy (the mean over distances), samples (those of the greatest distance) of analyze()."""
+    return found.groupBy("junction").agg(F.avg("accuracy").alias("accuracy"), F.max_by("samples", "distance").alias("samples"))
+
+
+def sample_predictions(models: dict[float, PipelineModel], rows: DataFrame, assignments: DataFrame, most: int = 10) -> DataFrame:
+    """trajectory, junction, actual, distance, predicted, confidence, correct for the first trajectories, by id, that have a branch."""
+    actual = assignments.where("branch >= 0").select(*KEYS, F.col("branch").alias("actual"))
+    some = actual.join(actual.select("trajectory").distinct().orderBy("trajectory").limit(most), "trajectory", "left_semi")
+    out = None
+    for d, m in models.items():
+        one = predict(m, features(rows, d)).join(some, list(KEYS)).select(*KEYS, "actual", F.lit(float(d)).alias("distance"), "predicted", "confidence", (F.col("predicted") == F.col("actual")).alias("correct"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def save_models(models: dict[float, PipelineModel], path: str) -> None:
     for d, m in models.items():
         m.write().overwrite().save(f"{path}/distance={d:g}")

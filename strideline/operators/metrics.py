@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import in_disc, in_tilted
-from strideline.operators.decisions import KEYS, with_steps
-from strideline.plans.params import Zone
+from strideline.operators.decisions import KEYS, frame, with_steps
+from strideline.plans.params import Decision, Junction, Zone
 
 
 def in_zone(zone: Zone, x: Column | None = None, z: Column | None = None) -> Column:
@@ -95,33 +96,97 @@ def transit(rows: DataFrame, near: float = 2.0, far: float = 5.0) -> DataFrame:
 
 
 def table(points: DataFrame, rows: DataFrame, mode: str = "pathlen", regions: tuple[Zone, Zone] | None = None) -> DataFrame:
-    """All metrics of each trajectory and junction in one row, with region times if two regions are given."""
-    out = timing(rows, mode).join(speed_through(rows, mode), list(KEYS)).join(transit(rows), list(KEYS)).join(totals(points), "trajectory")
+    """All metrics of each trajectory and junction in one row (speed_through is that of speed_through(), speed that of totals()), with region times if two regions are given."""
+    out = timing(rows, mode).join(speed_through(rows, mode).withColumnRenamed("speed", "speed_through"), list(KEYS)).join(transit(rows), list(KEYS)).join(totals(points), "trajectory")
     return out.join(between_regions(points, *regions), "trajectory", "left") if regions else out
 
 
-def adaptive(points: DataFrame) -> DataFrame:
-    """trajectory, path_length, ring_extra and their retries: distances scaled to how far a trajectory goes."""
+def adaptive(points: DataFrame, at: Sequence[Junction], how: Decision) -> DataFrame:
+    """trajectory, junction, seconds, mode_used, speed, speed_mode, entry_speed, exit_speed, average_speed, with distances scaled to how far a trajectory goes.
+
+    pathlen: a twentieth of its length, from 0.1 to 10, and a hundredth (at least 0.01) where that gives no time; radial: a
+    ring of a tenth, from 5 to 50, and a twentieth (at least 2); hybrid: as it is. Where a trajectory doesn't enter, the
+    values are null and the modes no_entry.
+    """
+    total, mode = F.col("total"), how.mode
     clamp = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-    d = F.col("distance")
-    return totals(points).select("trajectory", clamp(0.05 * d, 0.1, 10.0).alias("path_length"), clamp(0.10 * d, 5.0, 50.0).alias("ring_extra"), F.greatest(0.01 * d, F.lit(0.01)).alias("path_retry"), F.greatest(0.05 * d, F.lit(2.0)).alias("ring_retry"))
+    first = {"pathlen": {"path_length": clamp(0.05 * total, 0.1, 10.0)}, "radial": {"ring": clamp(0.10 * total, 5.0, 50.0)}, "hybrid": {}}[mode]
+    again = {"pathlen": {"path_length": F.greatest(0.01 * total, F.lit(0.01))}, "radial": {"ring": F.greatest(0.05 * total, F.lit(2.0))}, "hybrid": {}}[mode]
+    rows = frame(points, at, how, **first)
+    entered = rows.groupBy(*KEYS).agg(F.first("entered").alias("entered"))
+    speed = speed_through(rows, mode).withColumnRenamed("status", "speed_mode")
+    out = entered.join(timing(rows, mode), list(KEYS)).join(speed, list(KEYS)).join(transit(rows), list(KEYS))
+    if again:
+        retry = timing(frame(points, at, how, **again), mode).select(*KEYS, F.col("seconds").alias("_again"))
+        out = out.join(retry, list(KEYS)).withColumn("seconds", F.coalesce("seconds", "_again")).drop("_again")
+    here = lambda c: F.when(F.col("entered"), F.col(c)).alias(c)
+    named = lambda c: F.when(F.col("entered"), F.col(c)).otherwise("no_entry").alias(c)
+    return out.select(*KEYS, here("seconds"), named("mode_used"), here("speed"), named("speed_mode"), here("entry_speed"), here("exit_speed"), here("average_speed"))
+
+
+def junction_means(found: DataFrame) -> DataFrame:
+    """junction, time and speed (means over rows with both a time and an average speed), entry_speed and exit_speed (means, where both have any), seconds (mean of all times), of table() or adaptive()."""
+    both = F.col("seconds").isNotNull() & F.col("average_speed").isNotNull()
+    g = found.groupBy("junction").agg(F.avg(F.when(both, F.col("seconds"))).alias("time"), F.avg(F.when(both, F.col("average_speed"))).alias("speed"), F.avg("entry_speed").alias("_in"), F.avg("exit_speed").alias("_out"), F.avg("seconds").alias("seconds"))
+    pair = F.col("_in").isNotNull() & F.col("_out").isNotNull()
+    return g.select("junction", "time", "speed", F.when(pair, F.col("_in")).alias("entry_speed"), F.when(pair, F.col("_out")).alias("exit_speed"), "seconds")
+
+
+#: Relative rank error of the sketches that bracket exact quantiles.
+SKETCH = 100_000
+
+
+def quantiles(values: DataFrame, column: str, ps: Sequence[float], *by: str) -> DataFrame:
+    """by and q0, q1, ...: the exact quantiles (linearly interpolated) of a column's values, null without any.
+
+    A sketch brackets each quantile; what lies below a bracket is only counted, and the distinct values inside, a few in a
+    hundred thousand of the rows, are ranked. So no task holds or sorts a whole group.
+    """
+    v = values.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    cut = lambda sign: F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, p + sign * 2 / SKETCH))) for p in ps]), SKETCH)
+    known = v.groupBy(*by).agg(F.count("*").alias("_n"), cut(-1).alias("_low"), cut(1).alias("_high"))
+    join = lambda left, right: left.join(right, list(by)) if by else left.crossJoin(F.broadcast(right))
+    near = join(v, known)
+    low, high = (lambda k: F.col("_low")[k]), (lambda k: F.col("_high")[k])
+    outside = near.groupBy(*by, "_n").agg(*[f for k in range(len(ps)) for f in (F.count(F.when(F.col("_v") < low(k), 1)).alias(f"_below{k}"), F.max(F.when(F.col("_v") < low(k), F.col("_v"))).alias(f"_under{k}"), F.min(F.when(F.col("_v") > high(k), F.col("_v"))).alias(f"_over{k}"))])
+    inside = F.filter(F.array(*[F.when((F.col("_v") >= low(k)) & (F.col("_v") <= high(k)), F.lit(k)) for k in range(len(ps))]), lambda k: k.isNotNull())
+    ranked = near.select(*by, "_v", F.explode(inside).alias("_k")).groupBy(*by, "_k", "_v").agg(F.count("*").alias("_m"))
+    ranked = ranked.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*by, "_k").orderBy("_v")))
+    spots = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(p).alias("_p"), *[F.col(f"_{c}{k}").alias(f"_{c}") for c in ("below", "under", "over")]) for k, p in enumerate(ps)])
+    at = outside.select(*by, "_n", F.explode(spots).alias("_s")).select(*by, "_s.*", (F.col("_s._p") * (F.col("_n") - 1)).alias("_at"))
+    rows = at.join(ranked, [*by, "_k"])
+    value = lambda rank: F.min(F.when(F.col("_below") + F.col("_upto") > rank, F.col("_v")))  # noqa: E731  the value at a rank from 0
+    floor, ceil = F.floor("_at"), F.ceil("_at")
+    g = rows.groupBy(*by, "_k", "_at", "_below", "_under", "_over").agg(value(floor).alias("_lo"), value(ceil).alias("_hi"))
+    lo, hi = F.when(floor < F.col("_below"), F.col("_under")).otherwise(F.coalesce("_lo", "_over")), F.when(ceil < F.col("_below"), F.col("_under")).otherwise(F.coalesce("_hi", "_over"))
+    exact = g.select(*by, "_k", (lo + (hi - lo) * (F.col("_at") - floor)).alias("_q"))
+    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("_k") == k, F.col("_q"))).alias(f"q{k}") for k in range(len(ps))])
 
 
 def estimate_junction(points: DataFrame, *, approx: bool = False, least: float = 20.0, outer: float = 3.0) -> DataFrame:
-    """cx, cz, r, r_outer: a junction at the median of all points, as wide as three quarters of them are near (at least 20)."""
-    q = (lambda c, p: F.percentile_approx(c, p, 100_000)) if approx else F.percentile
-    centre = points.agg(q("x", 0.5).alias("cx"), q("z", 0.5).alias("cz"))
+    """cx, cz, r, r_outer: a junction at the median of all points, as wide as three quarters of them are near (at least 20). approx takes sketched medians, in fewer passes."""
+
+    def at(values: DataFrame, column: str, p: float, name: str) -> DataFrame:
+        if approx:
+            return values.agg(F.percentile_approx(column, p, SKETCH).alias(name))
+        return quantiles(values, column, [p]).select(F.col("q0").alias(name))
+
+    centre = at(points, "x", 0.5, "cx").crossJoin(at(points, "z", 0.5, "cz"))
     far = points.select("x", "z").crossJoin(F.broadcast(centre))  # one row
     d = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("z") - F.col("cz")) * (F.col("z") - F.col("cz")))
-    r = far.withColumn("d", d).groupBy("cx", "cz").agg(F.greatest(q("d", 0.75), F.lit(least)).alias("r"))
-    return r.withColumn("r_outer", outer * F.col("r"))
+    r = at(far.select(d.alias("d")), "d", 0.75, "d").select(F.greatest("d", F.lit(least)).alias("r"))
+    return centre.crossJoin(r).withColumn("r_outer", outer * F.col("r"))
 
 
 def summaries(values: DataFrame, column: str, *by: str, approx: bool = False) -> DataFrame:
     """Mean, median, extremes, sample deviation and counts of a column, with and without a value, by group."""
     c = F.col(column)
-    median = F.percentile_approx(c, 0.5) if approx else F.median(c)
-    return values.groupBy(*by).agg(F.avg(c).alias("mean"), median.alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"), F.count(c).alias("valid"), (F.count("*") - F.count(c)).alias("missing"))
+    sketch = [F.percentile_approx(c, 0.5, SKETCH).alias("median")] if approx else []
+    g = values.groupBy(*by).agg(F.avg(c).alias("mean"), *sketch, F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"), F.count(c).alias("valid"), (F.count("*") - F.count(c)).alias("missing"))
+    if approx:
+        return g
+    median = quantiles(values, column, [0.5], *by).withColumnRenamed("q0", "median")
+    return g.join(median, list(by), "left") if by else g.join(median, how="left")
 
 
 def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -140,14 +205,15 @@ def density(values: DataFrame, column: str, grid: int = 200) -> DataFrame:
     Values are first counted in 4096 bins over their range, so that the work is grid times bins at any size.
     """
     v = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    s = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.percentile_approx("v", F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    s = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     spark = values.sparkSession
     if not s["n"] or not s["sd"]:
         return spark.createDataFrame([], "at double, density double")
     h, fine = 1.06 * s["sd"] * s["n"] ** -0.2, (s["hi"] - s["lo"]) / 4096 or 1.0
     binned = v.groupBy(F.floor((F.col("v") - s["lo"]) / fine).alias("b")).agg(F.count("*").alias("n"), F.avg("v").alias("v"))
-    step = (s["p"][1] - s["p"][0]) / (grid - 1)
-    at = spark.range(grid).select((F.lit(s["p"][0]) + F.col("id") * step).alias("at"))
+    p = quantiles(v, "v", [0.01, 0.99]).first()
+    step = (p["q1"] - p["q0"]) / (grid - 1)
+    at = spark.range(grid).select((F.lit(p["q0"]) + F.col("id") * step).alias("at"))
     u = (F.col("at") - F.col("v")) / h
     return binned.crossJoin(F.broadcast(at)).groupBy("at").agg((F.sum(F.col("n") * F.exp(-0.5 * u * u)) / (s["n"] * h * math.sqrt(2 * math.pi))).alias("density"))
 
@@ -158,15 +224,24 @@ def fit_sums(values: DataFrame, column: str, *by: str) -> DataFrame:
     return values.where(c.isNotNull()).groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("var"), F.count(positive).alias("n_pos"), F.avg(F.log(positive)).alias("mean_log"), F.var_pop(F.log(positive)).alias("var_log"), F.avg(positive).alias("mean_pos"), F.var_pop(positive).alias("var_pos"))
 
 
-def best_fit(sums: dict) -> tuple[str | None, dict[str, float]]:
-    """Akaike's criterion (4 - 2 log-likelihood) of a normal, a log-normal and a gamma distribution from one row of fit_sums(), and the least."""
-    found, tau = {}, 2 * math.pi
-    if sums["n"] and sums["var"]:
-        found["normal"] = 4 + sums["n"] * (math.log(tau * sums["var"]) + 1)
-    n = sums["n_pos"]
-    if n and sums["var_log"]:
-        found["lognormal"] = 4 + n * (math.log(tau * sums["var_log"]) + 1) + 2 * n * sums["mean_log"]
-    if n and sums["var_pos"]:
-        shape, scale = sums["mean_pos"] ** 2 / sums["var_pos"], sums["var_pos"] / sums["mean_pos"]
-        found["gamma"] = 4 - 2 * n * ((shape - 1) * sums["mean_log"] - sums["mean_pos"] / scale - shape * math.log(scale) - math.lgamma(shape))
-    return (min(found, key=found.get) if found else None), found
+def _lgamma(x: Column) -> Column:
+    """ln of the gamma function of positive x, by Stirling's series at x + 8."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12.0 * y) - 1 / (360.0 * y * y * y) + 1 / (1260.0 * F.pow(y, F.lit(5.0)))
+    product = x
+    for k in range(1, 8):
+        product = product * (x + float(k))
+    return series - F.log(product)
+
+
+def best_fit(sums: DataFrame) -> DataFrame:
+    """The groups of fit_sums() with normal, lognormal and gamma: Akaike's criterion (4 - 2 log-likelihood) of each, null where it can't be fitted, and best, the name of the least."""
+    tau, n, m = 2 * math.pi, F.col("n"), F.col("n_pos")
+    normal = F.when(F.col("var") > 0, 4 + n * (F.log(tau * F.col("var")) + 1))
+    lognormal = F.when(F.col("var_log") > 0, 4 + m * (F.log(tau * F.col("var_log")) + 1) + 2 * m * F.col("mean_log"))
+    some = F.col("var_pos") > 0
+    shape, scale = F.col("mean_pos") * F.col("mean_pos") / F.when(some, F.col("var_pos")), F.col("var_pos") / F.col("mean_pos")
+    gamma = F.when(some, 4 - 2 * m * ((shape - 1) * F.col("mean_log") - F.col("mean_pos") / scale - shape * F.log(scale) - _lgamma(shape)))
+    found = sums.withColumns({"normal": normal, "lognormal": lognormal, "gamma": gamma})
+    fits = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("aic"), F.lit(c).alias("name"))) for c in ("normal", "lognormal", "gamma")]), lambda f: f.isNotNull())
+    return found.withColumn("best", F.array_min(fits)["name"])

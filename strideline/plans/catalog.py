@@ -12,6 +12,7 @@ from strideline.operators import branches, clustering, decisions, enhanced, flow
 from strideline.plans.params import Decision, Junction, Zone
 from strideline.plans.sql import QUERIES
 from strideline.sources import points as source
+from strideline.sources.scratch import settled
 
 JUNCTIONS = [Junction(0, 0, 0, 60, 120), Junction(1, 100, 0, 60, 100), Junction(2, 0, 150, 60, 100), Junction(3, -150, -50, 60, 120)]
 #: Steps are multiples of 0.01, so this length is never met exactly.
@@ -32,8 +33,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centers = branches.centers_table(spark, {j.junction: [(1, 0), (0, 1), (-1, 0), (0, -1)] for j in JUNCTIONS})
-    return branches.assign(_vectors(spark, sf_dir), centers, angle_eps=40.0)
+    return branches.assign(_vectors(spark, sf_dir), _centers(spark), angle_eps=40.0)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.decision_indices(_frame(spark, sf_dir), "hybrid")
 
 
+def _points_of_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.decision_points(_frame(spark, sf_dir), HOW)
+
+
+def _centers(spark: SparkSession) -> DataFrame:
+    return branches.centers_table(spark, {j.junction: [(1, 0), (0, 1), (-1, 0), (0, -1)] for j in JUNCTIONS})
+
+
 def _rounded(df: DataFrame, places: int = 6, **other: int) -> DataFrame:
     """Doubles rounded, as sums in another order differ in their last bits; no negative zeros."""
     return df.withColumns({c: F.round(F.col(c), other.get(c, places)) + 0.0 for c, t in df.dtypes if t == "double"})
@@ -85,14 +93,44 @@ def _found(part: int, method: str):
 
 
 def _yaws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaze.head_yaw(_frame(spark, sf_dir), _indices(spark, sf_dir), _labels(spark, sf_dir))
+    return gaze.head_yaw(_frame(spark, sf_dir), "hybrid", _labels(spark, sf_dir))
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intent.labelled(intent.features(_frame(spark, sf_dir), 50.0), _labels(spark, sf_dir)).persist()
+    rows = settled(intent.labelled(intent.features(_frame(spark, sf_dir), 50.0), _labels(spark, sf_dir)), "features")
     return intent.predict(intent.train(rows), rows)
 
 
+def _accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intent.analyze(_frame(spark, sf_dir), _labels(spark, sf_dir), distances=(50.0,), folds_of=3)
+    return intent.junction_summary(found)
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.table(_points(spark, sf_dir), _frame(spark, sf_dir), "hybrid", (HOME, EAST))
+
+
+def _adaptive(mode: str):
+    return lambda spark, sf_dir: metrics.adaptive(_points(spark, sf_dir), JUNCTIONS, Decision(mode=mode))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branches.chain(_labels(spark, sf_dir), [j.junction for j in JUNCTIONS])
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _labels(spark, sf_dir)
+    return branches.inconsistencies(found.unionByName(found.where("junction = 1")))
+
+
+def _at(spark: SparkSession) -> DataFrame:
+    return decisions.junction_table(spark, JUNCTIONS)
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.with_steps(_points(spark, sf_dir))
+
+
 def queries() -> dict:
     labels = _labels
     return {
@@ -109,7 +147,7 @@ def queries() -> dict:
         "pathlen_decision_index": lambda s, d: decisions.decision_indices(_frame(s, d), "pathlen").select("trajectory", "junction", "decision_idx"),
         "hybrid_decision": _indices,
         "direction_vectors": _query(_vectors),
-        "decision_points": lambda s, d: decisions.decision_points(f := _frame(s, d), decisions.directions(f, HOW)),
+        "decision_points": _points_of_decision,
         "first_within_ring": lambda s, d: decisions.first_within(_frame(s, d)),
         "near_ring_intercepts": lambda s, d: decisions.near_ring(_frame(s, d), 110.0),
         "clip_to_area": lambda s, d: decisions.clip_to_area(_frame(s, d)).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
@@ -131,7 +169,7 @@ def queries() -> dict:
         "junction_estimate": _query(lambda s, d: metrics.estimate_junction(_points(s, d))),
         "metric_summaries": _query(lambda s, d: metrics.summaries(metrics.timing(_frame(s, d), "hybrid"), "seconds", "junction")),
         "step_histogram": lambda s, d: metrics.histogram(decisions.with_steps(_points(s, d)), "seg").select("bin", "n"),
-        "step_density": lambda s, d: metrics.density(decisions.with_steps(_points(s, d)), "seg"),
+        "step_density": _query(lambda s, d: metrics.density(_steps(s, d), "seg"), 6, density=9),
         "fit_sums": _query(lambda s, d: metrics.fit_sums(decisions.with_steps(_points(s, d)).where("seg > 0"), "seg").select("n", "mean", "var", "n_pos", "mean_log", "var_log"), var=4),
         "visit_sequence": lambda s, d: _visits(s, d).select("trajectory", "visit", "junction"),
         "transition_counts": _flow,
@@ -144,20 +182,61 @@ def queries() -> dict:
         "second_order_after": _query(lambda s, d: flows.after(_visits(s, d))),
         "second_order_before": _query(lambda s, d: flows.before(_visits(s, d))),
         "route_patterns": _query(lambda s, d: flows.routes(branches.chain(labels(s, d).where("branch >= 0"), [j.junction for j in JUNCTIONS])), 9),
-        "zone_flows": lambda s, d: flows.zone_flows(flows.visits_with_zones(_points(s, d), JUNCTIONS, [HOME], [EAST])),
+        "zone_flows": _query(lambda s, d: flows.zone_flows(flows.visits_with_zones(_points(s, d), JUNCTIONS, [HOME], [EAST])), 9),
         "head_yaw": _query(_yaws),
-        "yaw_consistency": lambda s, d: gaze.consistency(_yaws(s, d), "junction"),
-        "physiology_windows": _query(lambda s, d: gaze.physiology(_frame(s, d), _indices(s, d))),
-        "pupil_windows": _query(lambda s, d: gaze.pupil_windows(_frame(s, d), _indices(s, d))),
+        "yaw_consistency": _query(lambda s, d: gaze.consistency(_yaws(s, d), "junction")),
+        "physiology_windows": _query(lambda s, d: gaze.physiology(_frame(s, d), "hybrid")),
+        "pupil_windows": _query(lambda s, d: gaze.pupil_windows(_frame(s, d), "hybrid")),
         "pupil_heatmap": _query(_heat),
-        "junction_heatmaps": lambda s, d: gaze.junction_heatmaps(_frame(s, d), combine="max"),
+        "junction_heatmaps": _query(lambda s, d: gaze.junction_heatmaps(_frame(s, d), combine="max")),
         "heatmap_scale": lambda s, d: gaze.common_scale(_heat(s, d)),
-        "movement_patterns": lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_frame(s, d))),
-        "bottlenecks": _query(lambda s, d: enhanced.bottlenecks(labels(s, d)), 9),
-        "risk": _query(lambda s, d: enhanced.risk(labels(s, d)).select("junction", "risk"), 9),
+        "movement_patterns": _query(lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_frame(s, d)))),
+        "bottlenecks": _query(lambda s, d: enhanced.bottlenecks(labels(s, d), narrow=0.2, severe=0.3), 9),
+        "balanced_routes": _query(lambda s, d: enhanced.balanced(labels(s, d)), 9),
+        "flow_analysis": _query(lambda s, d: enhanced.flow_analysis(labels(s, d)).select("junction", "total", "entropy", F.to_json("flow").alias("flow")), 9),
+        "risk": _query(lambda s, d: enhanced.risk(labels(s, d)), 9),
+        "overall_risk": _query(lambda s, d: enhanced.overall_risk(labels(s, d)), 9),
         "efficiency": _query(lambda s, d: enhanced.efficiency(labels(s, d)), 9),
-        "recommendations": lambda s, d: enhanced.recommendations(labels(s, d)),
-        "intent_features": lambda s, d: intent.features(_frame(s, d), 50.0),
+        "overall_efficiency": _query(lambda s, d: enhanced.overall_efficiency(labels(s, d)), 9),
+        "recommendations": lambda s, d: enhanced.recommendations(labels(s, d), narrow=0.2, severe=0.3),
+        "enhanced_overview": _query(lambda s, d: enhanced.overview(labels(s, d)).drop("analysed_at"), 9),
+        "directions_radial": _query(lambda s, d: decisions.directions(_frame(s, d), Decision(mode="radial"))),
+        "directions_pathlen": _query(lambda s, d: decisions.directions(_frame(s, d), Decision(mode="pathlen"))),
+        "diagnostics": lambda s, d: decisions.diagnostics(_points_of_decision(s, d)),
+        "first_decisions": lambda s, d: decisions.first_decisions(_frame(s, d), Decision(mode="pathlen")),
+        "first_decisions_hybrid": lambda s, d: decisions.first_decisions(_frame(s, d), HOW, wide=110.0),
+        "searched_decisions": lambda s, d: decisions.searched(_frame(s, d), HOW, F.col("r")),
+        "nearest_points": lambda s, d: decisions.nearest_points(_frame(s, d)),
+        "clip_to_window": lambda s, d: decisions.clip_to_window(_frame(s, d), 70.0).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
+        "thinned": lambda s, d: source.thinned(_points(s, d), 20).select("trajectory", "idx", "x", "z"),
+        "with_signals": lambda s, d: source.with_signals(_points(s, d)).groupBy("trajectory").agg(F.count("*").alias("n")),
+        "timing_pathlen": _query(lambda s, d: metrics.timing(_frame(s, d), "pathlen")),
+        "timing_radial": _query(lambda s, d: metrics.timing(_frame(s, d), "radial")),
+        "metrics_table": _query(_table),
+        "adaptive_pathlen": _query(_adaptive("pathlen")),
+        "adaptive_radial": _query(_adaptive("radial")),
+        "junction_means": _query(lambda s, d: metrics.junction_means(_adaptive("radial")(s, d)), 4),
+        "best_fit": _query(lambda s, d: metrics.best_fit(metrics.fit_sums(_steps(s, d).where("seg > 0"), "seg")).select("n", "normal", "lognormal", "gamma", "best"), 1),
+        "head_yaw_histogram": lambda s, d: metrics.histogram(_yaws(s, d), "head_yaw", 20).select("bin", "n"),
+        "label_summary": _query(lambda s, d: branches.summary(labels(s, d), every=True)),
+        "summary_with_entropy": _query(lambda s, d: branches.summary_with_entropy(branches.summary(labels(s, d)))),
+        "normalized_assignments": lambda s, d: branches.normalized(_chains(s, d), _points_of_decision(s, d), 1)[0].select("trajectory", "branch_j1", "decision_idx", "intercept_x", "intercept_z"),
+        "assignment_coverage": lambda s, d: branches.normalized(_chains(s, d), known=_points(s, d).where("cast(trajectory as int) % 2 = 0"))[1],
+        "numbered_trajectories": lambda s, d: branches.numbered(labels(s, d)),
+        "repeated_assignments": _twice,
+        "branch_directions": _query(lambda s, d: branches.branch_directions(labels(s, d), _points_of_decision(s, d), _at(s))),
+        "center_mismatches": _query(lambda s, d: gaze.mismatches(_points_of_decision(s, d), labels(s, d), _centers(s), _at(s))),
+        "heart_rate_quartiles": _query(lambda s, d: gaze.quartiles(_yaws(s, d), "heart_rate", "junction", "branch")),
+        "sample_timing": lambda s, d: gaze.sample_timing(_frame(s, d), "hybrid"),
+        "values_at_decisions": lambda s, d: gaze.values_at(_frame(s, d), "hybrid", "gaze_x", "gaze_y", "heart_rate"),
+        "visit_movement": _query(lambda s, d: gaze.movement_of_visits(_frame(s, d), _visits(s, d))),
+        "gaze_headlines": _query(lambda s, d: gaze.headlines(_yaws(s, d), gaze.physiology(_frame(s, d), "hybrid"), gaze.pupil_windows(_frame(s, d), "hybrid"))),
+        "heatmap_statistics": _query(lambda s, d: gaze.heatmap_statistics(_heat(s, d))),
+        "zone_points": lambda s, d: flows.zone_points(_points(s, d), [HOME], [EAST]),
+        "flow_results": lambda s, d: flows.results(_flow(s, d), _visits(s, d)),
+        "route_statistics": _query(lambda s, d: flows.route_statistics(branches.chain(labels(s, d).where("branch >= 0"), [j.junction for j in JUNCTIONS])), 9),
+        "intent_accuracy": _accuracies,
+        "intent_features": _query(lambda s, d: intent.features(_frame(s, d), 50.0), 5),
         "intent_random_forest": _forest,
     }
 

@@ -43,7 +43,7 @@ if __name__ == "__main__":
 
     from strideline.plans import catalog
 
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", "file:///tmp/strideline-compare").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf, q, o = sys.argv[1], catalog.queries(), catalog.oracle_sql()
     c = views(sf)

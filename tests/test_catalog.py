@@ -5,8 +5,6 @@ from strideline.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 SQL = catalog.oracle_sql()
-#: At this scale no branch is a bottleneck; test_enhanced.py has cases.
-EMPTY = {"bottlenecks"}
 
 
 @pytest.fixture(scope="module")
@@ -17,10 +15,9 @@ def duck():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
     said = compare(spark, duck, catalog.queries()[name], SQL[name], SF)
-    assert said is None or name in EMPTY and said == "both are empty", said
+    assert said is None, said
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL) - {"intent_random_forest"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_runs(spark, name):
-    df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
-    assert df.columns and df.count() >= 0
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.01").collect()
