@@ -75,7 +75,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, limit:
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", *, limit: int = 128 << 20) -> None:
-    """Writes docs (ids unique) as Parquet, one folder for each shard; a task writes whole shards, each of which fits the limit."""
-    homes = shard(docs, doc_id, text, limit=limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard"))
+    """Writes docs as Parquet, one folder for each shard; a task writes whole shards, each of which fits the limit. Rows of one id lie in one shard."""
+    homes = shard(docs, doc_id, text, limit=limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
     joined = docs.drop("shard").join(homes, docs[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)

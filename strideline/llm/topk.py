@@ -6,8 +6,8 @@ least of these is a cutoff that no true result falls below. Phase two hands the
 to all blocks: a sum reaches the cutoff only if some slice reaches the cutoff's uniform share, and only if known and bounded parts together reach it. Phase three adds up
 what is left and keeps the sums at the cutoff or above; a handful of rows per query is ranked in the end.
 
-Queries and rows meet in a grid of blocks of bounded size, each pair in a task of its own; nothing is broadcast but the
-numbers of blocks.
+Queries and rows meet in a grid of blocks of bounded size. The blocks of rows stay where they are dealt once; a copy of
+each block of queries, an eighth as many rows, goes to each of them. Nothing is broadcast but the numbers of blocks.
 """
 
 from __future__ import annotations
@@ -56,12 +56,11 @@ def _blocks(rows: DataFrame, count: int, cut: Column | None = None) -> DataFrame
 
 
 def _grid(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int) -> DataFrame:
-    """Every block of rows beside every block of queries, dealt by the pair."""
-    tasks = max(cores(rows.sparkSession), min(4000, n_rows * n_queries))
+    """Every block of rows beside every block of queries, dealt by the block of rows."""
+    tasks = max(cores(rows.sparkSession), n_rows)
     named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    left = named(rows, "r").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).repartition(tasks, "r_block", "q_block")
-    right = named(queries, "q").withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).repartition(tasks, "r_block", "q_block")
-    return left.join(right, ["r_block", "q_block"])
+    left = named(queries, "q").withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).repartition(tasks, "r_block")
+    return left.join(named(rows, "r").repartition(tasks, "r_block").hint("merge"), "r_block")
 
 
 def _matrix(cells: bytes, wide: bool, width: int, to: int) -> np.ndarray:

@@ -87,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     placed = named.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.when(F.col("url").contains("://"), address(F.col("url"))).alias("address"))
     own, _ = materialize(match(placed.select("host", "path").distinct(), rules), "rules")
-    judged = placed.join(own, ["host", "path"], "left")
+    judged = placed.join(own.hint("merge"), ["host", "path"], "left")  # grows with the pages
 
     found = connected_components(links(named))
     nodes, _ = materialize(found.select(F.col("node").alias("address"), "component"), "aliases")
@@ -96,9 +96,9 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
         out = judged
     else:
         known = judged.where("own is not null and address is not null").select("address", "own").distinct()
-        votes = known.join(nodes, "address").groupBy("component").agg(F.min("own").alias("alias"))  # an explicit allow comes first
-        votes, _ = materialize(nodes.join(votes, "component").select("address", "alias"), "votes")
-        out, alias = judged.join(votes, "address", "left"), F.col("alias")
+        votes = known.join(nodes.hint("merge"), "address").groupBy("component").agg(F.min("own").alias("alias"))  # an explicit allow comes first
+        votes, _ = materialize(nodes.join(votes.hint("merge"), "component").select("address", "alias"), "votes")
+        out, alias = judged.join(votes.hint("merge"), "address", "left"), F.col("alias")
     verdict = F.coalesce("own", alias, F.lit(default))
     cause = F.when(F.col("own").isNotNull(), "rule").when(alias.isNotNull(), "alias").otherwise("default")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), cause.alias("cause"))

@@ -1,4 +1,6 @@
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from llm.oracle import rows, spark_rows
@@ -64,3 +66,19 @@ def test_native(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", canonical("http://b.org/"))], "page_id long, url string, html string")
     plan = urlfilter.judge(pages, spark.createDataFrame(catalog.RULES, RULES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_links_planted_into_real_pages_equal_sql(spark, tmp_path):
+    """Every seventh page names another page's address (one that is its own normal form) as canonical, every eleventh refreshes to one."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    urls = [r["url"] for r in pages.select("url").where("url rlike '^[a-z]+://[^#&A-Z\"\\\\s<>]+$'").orderBy("page_id").collect()]
+    pick = spark.createDataFrame(list(enumerate(urls)), "k long, target string")
+    named = pages.join(F.broadcast(pick), F.pmod(F.xxhash64("page_id"), F.lit(len(urls))) == pick.k, "left").drop("k")
+    link = F.when(F.col("page_id") % 7 == 0, F.format_string('<link rel="canonical" href="%s">', "target")).when(F.col("page_id") % 11 == 0, F.format_string('<meta http-equiv="refresh" content="0; url=%s">', "target")).otherwise("")
+    named.withColumn("html", F.concat(link, F.coalesce("html", F.lit("")))).drop("target").write.parquet(f"{tmp_path}/pages.parquet")
+    found = urlfilter.judge(spark.read.parquet(f"{tmp_path}/pages.parquet"), spark.createDataFrame(catalog.RULES, RULES))
+    assert found.where("cause = 'alias'").count() > 3
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rel = c.sql(catalog.OP5_SQL)
+    assert sorted(map(str, found.select(*rel.columns).collect())) == sorted(map(str, (Row(**dict(zip(rel.columns, r))) for r in rel.fetchall())))
