@@ -9,8 +9,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.geometry import length, number, seconds
-from strideline.plans.params import from_pairs
+from strideline.functions.geometry import length, number
+from strideline.plans.params import Junction, from_pairs, junctions
+from strideline.sources.files import parsed
 
 SIGNALS = ("head_forward_x", "head_forward_y", "head_forward_z", "head_up_x", "head_up_y", "head_up_z", "gaze_x", "gaze_y", "heart_rate", "pupil_l", "pupil_r")
 FIELDS = ("x", "z", "t", *SIGNALS)
@@ -41,39 +42,46 @@ class ColumnMapping:
 
 
 def detect_columns(columns: Sequence[str]) -> dict[str, str]:
-    """Signals that column names suggest: the first name with all of a signal's parts."""
-    rules = {"pupil_l": ("pupil", ".l"), "pupil_r": ("pupil", ".r"), "heart_rate": ("heart",), "gaze_x": ("gaze", "x"), "gaze_y": ("gaze", "y"), "head_forward_x": ("forward", "x"), "head_forward_z": ("forward", "z")}
-    found = {k: next((c for c in columns if all(p in c.lower().replace("_", ".") for p in parts)), None) for k, parts in rules.items()}
+    """Signals that column names suggest: for each the first name that holds one of each of its groups of parts, in any case."""
+    rules = {
+        "pupil_l": (("pupil",), ("l", "left")), "pupil_r": (("pupil",), ("r", "right")), "heart_rate": (("heart", "hr"),),
+        "gaze_x": (("gaze",), ("x", "horizontal")), "gaze_y": (("gaze",), ("y", "vertical")),
+        "head_forward_x": (("head",), ("forward",), ("x",)), "head_forward_z": (("head",), ("forward",), ("z", "depth")),
+    }
+    found = {k: next((c for c in columns if all(any(p in c.lower() for p in parts) for parts in groups)), None) for k, groups in rules.items()}
     return {k: c for k, c in found.items() if c}
 
 
-def _reader(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """CSV (comma), TSV (tab) or Parquet by the pattern's ending; anything else is tried as CSV."""
-    read = spark.read.option("pathGlobFilter", pattern)
-    if pattern.endswith((".parquet", ".pq")):
-        return read.parquet(path)
-    return read.csv(path, header=True, sep="\t" if pattern.endswith(".tsv") else ",", enforceSchema=False)
+def load_points(spark: SparkSession, path: str, pattern: str = "*.csv", mapping: ColumnMapping | None = None, *, require_time: bool = False, scale: float = 1.0, motion_threshold: float = 0.001, trim: bool = True, positional: bool = False, full_name: bool = False, count_time: bool = False) -> DataFrame:
+    """A folder of files, one trajectory each (the id is the file's stem, or with full_name its name), as points.
 
+    Tab-separated (.tsv), Parquet (.parquet, .pq) or else comma-separated files; rows keep their order in the file. Rows
+    without both coordinates go, and what lies before the first motion unless trim is off. Files without columns for x and
+    z, with texts in them, empty or broken ones are left out; file_problems() lists them, and it is an error if no file is
+    good. With positional, missing x, z and t columns are the first three; with count_time a missing time is the row's number.
+    """
+    raw = parsed(spark, path, pattern, asdict(mapping or ColumnMapping()), FIELDS, positional=positional, count_time=count_time)
+    good = raw.where("problem is null")
+    if good.limit(1).isEmpty() and (first := raw.first()):
+        raise ValueError(f"no usable file; {first['file']}: {first['problem']}")
+    stem = F.col("file") if full_name else F.regexp_replace("file", r"(.)\.[^.]*$", "$1")
+    return clean(good.withColumn("trajectory", stem), require_time=require_time, scale=scale, motion_threshold=motion_threshold, trim=trim)
 
-def load_points(spark: SparkSession, path: str, pattern: str = "*.csv", mapping: ColumnMapping | None = None, *, order: str | None = None, require_time: bool = False, scale: float = 1.0, motion_threshold: float = 0.001, trim: bool = True, positional: bool = False) -> DataFrame:
-    """A folder of files, one trajectory each (the id is the file's stem), as points.
 
-    Rows keep their order in the file, or follow a column. With positional, missing x, z and t columns are the first
-    three. Rows without both coordinates go, and what lies before the first motion unless trim is off.
-    """
-    mapping = mapping or ColumnMapping()
-    raw = _reader(spark, path, pattern)
-    names = {k: v for k, v in asdict(mapping).items() if v in raw.columns}
-    if positional:
-        for k, c in zip(("x", "z", "t"), raw.columns):
-            names.setdefault(k, c)
-    if "x" not in names or "z" not in names:
-        raise ValueError(f"no column for x or z among {raw.columns}")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]*?)(\.[^.]*)?$", 1)
-    place = F.col(f"`{order}`") if order else F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    value = lambda k: seconds(F.col(f"`{names[k]}`").cast("string")) if k == "t" else F.col(f"`{names[k]}`").try_cast("double")
-    cells = [value(k).alias(k) if k in names else F.lit(None).cast("double").alias(k) for k in FIELDS]
-    return clean(raw.select(stem.alias("trajectory"), place.alias("_place"), *cells), require_time=require_time, scale=scale, motion_threshold=motion_threshold, trim=trim)
+def file_problems(spark: SparkSession, path: str, pattern: str = "*.csv", mapping: ColumnMapping | None = None, *, positional: bool = False) -> DataFrame:
+    """file and problem of the files that load_points() leaves out (but for those of no bytes, which Spark doesn't list)."""
+    return parsed(spark, path, pattern, asdict(mapping or ColumnMapping()), FIELDS, positional=positional).where("problem is not null").select("file", "problem")
+
+
+def cleaned_times(rows: DataFrame, text: str, out: str = "t") -> DataFrame:
+    """rows with out: seconds of a text column, chosen for each trajectory's whole column: some numbers, else some HH:MM:SS.mmm, else the first number in each."""
+    whole = Window.partitionBy("trajectory")
+    number_, stamp = F.col(text).try_cast("double"), r"^\s*(\d{2}):(\d{2}):(\d{2})\.(\d{3})"
+    part = lambda k: F.regexp_extract(text, stamp, k).try_cast("double")
+    stamps = part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000
+    first = F.regexp_extract(text, r"(\d+\.?\d*)", 1).try_cast("double")
+    chosen = F.when(F.count(number_).over(whole) > 0, number_).when(F.count(stamps).over(whole) > 0, stamps).otherwise(first)
+    return rows.withColumn(out, chosen)
 
 
 def clean(rows: DataFrame, *, require_time: bool = False, scale: float = 1.0, motion_threshold: float = 0.001, trim: bool = True) -> DataFrame:
@@ -122,9 +130,19 @@ def thinned(points: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def sampled(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Points of k trajectories, drawn by a seeded hash of their ids."""
-    ids = points.select("trajectory").distinct().orderBy(F.xxhash64(F.lit(seed), "trajectory"), "trajectory").limit(k)
-    return points.join(ids, "trajectory", "left_semi")
+    """Points of k trajectories (all, if there are fewer), spread evenly over a seeded order of their ids; of one alone, the first in that order."""
+    ids = points.select("trajectory").distinct().withColumn("_h", F.xxhash64(F.lit(seed), "trajectory"))
+    # Evenly spaced places of the order, from its first to its last: each id's share of the 64-bit range stands for its place.
+    n = ids.agg(F.count("*").alias("_all"))
+    block = F.shiftright("_h", 48)
+    before = ids.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 65,536 rows at most
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("_h", "trajectory")) - 1
+    placed = ids.withColumn("_block", block).withColumn("_place", place).join(before, "_block").crossJoin(F.broadcast(n)).withColumn("_place", F.col("_before") + F.col("_place"))
+    step = (F.col("_all") - 1) / max(1, k - 1)
+    turn = F.ceil(F.col("_place") / F.when(step > 0, step))
+    taken = F.when(F.col("_all") <= k, True).when(F.lit(k <= 1), F.col("_place") < k).otherwise(F.floor(turn * step) == F.col("_place"))
+    return points.join(placed.where(taken).select("trajectory"), "trajectory", "left_semi")
 
 
 def events_as_points(events: DataFrame) -> DataFrame:
@@ -157,14 +175,32 @@ def events_as_points(events: DataFrame) -> DataFrame:
     return cast.withColumns(cells).select("trajectory", "idx", *FIELDS)
 
 
-def demo_points(spark: SparkSession, walkers: int = 10, steps: int = 1000, seed: int = 42) -> DataFrame:
-    """Gaussian random walks from (500, 200)."""
-    grid = spark.range(walkers * steps).select((F.col("id") / steps).cast("int").cast("string").alias("trajectory"), (F.col("id") % steps).cast("int").alias("_place"), F.randn(seed).alias("a"), F.randn(seed + 1).alias("b"))
+def demo_points(spark: SparkSession, walkers: int = 10, steps: tuple[int, int] = (1000, 5000), seed: int = 42) -> DataFrame:
+    """Gaussian random walks from (500, 200), each of a number of steps from the first up to below the second."""
+    n = steps[0] + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, steps[1] - steps[0])))
+    walk = spark.range(walkers).select(F.col("id").cast("string").alias("trajectory"), F.posexplode(F.sequence(F.lit(1), n)).alias("_place", "_k"))
+    grid = walk.select("trajectory", "_place", F.randn(seed).alias("a"), F.randn(seed + 1).alias("b"))
     run = Window.partitionBy("trajectory").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     cells = {"x": 500.0 + F.sum("a").over(run), "z": 200.0 + F.sum("b").over(run), "t": F.col("_place") * 0.1, **{k: F.lit(None).cast("double") for k in SIGNALS}}
     return clean(grid.withColumns(cells))
 
 
+def demo_junctions() -> list[Junction]:
+    """Seven junctions of the demonstration plan. Fixed values."""
+    discs = [(685, 170, 30), (550, -90, 30), (730, 440, 20), (520, 340, 40), (500, 515, 20), (575, 430, 15), (500, 205, 20)]
+    return junctions(discs, [100.0, 50.0, 45.0, 45.0, 45.0, 30.0, 45.0])
+
+
+#: Names of the same quantity in other tables. Fixed values.
+ALIASES = {"hr_baseline": "heart_rate_baseline", "hr_decision": "heart_rate_decision", "hr_change": "heart_rate_change", "baseline_pupil": "pupil_baseline", "decision_pupil": "pupil_decision", "pupil_dilation_change": "pupil_change", "yaw": "head_yaw", "yaw_diff": "yaw_difference"}
+
+
+def renamed(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """df with columns named alike whatever table they come from; an alias stays where the name is taken."""
+    names = ALIASES if aliases is None else aliases
+    return df.withColumnsRenamed({a: n for a, n in names.items() if a in df.columns and n not in df.columns})
+
+
 def load_centers(spark: SparkSession, path: str) -> DataFrame:
     """Branch centres (junction, branch, ux, uz) from Parquet."""
     return spark.read.parquet(path).select(F.col("junction").cast("int").alias("junction"), F.col("branch").cast("int").alias("branch"), F.col("ux").cast("double").alias("ux"), F.col("uz").cast("double").alias("uz"))

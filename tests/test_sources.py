@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from strideline.operators import enhanced, flows, gaze
 from strideline.plans import params
 from strideline.plans.params import Decision, Junction, Zone
 from strideline.sources import points as source
+from strideline.sources.files import column_seconds
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -58,6 +60,8 @@ def test_parameters():
     assert params.regions('{"A": {"rect": [0, 1, 0, 2]}, "B": {"circle": [1, 2, 3]}}')["B"].circle == (1, 2, 3)
     assert params.config({"defaults": {"a": {"b": 1, "c": 2}}, "run": {"a": {"c": 3}}}, "run") == {"a": {"b": 1, "c": 3}}
     assert source.detect_columns(["Headset.PupilDilation.L", "Headset.HeartRate", "Gaze_X"]) == {"pupil_l": "Headset.PupilDilation.L", "heart_rate": "Headset.HeartRate", "gaze_x": "Gaze_X"}
+    named = source.detect_columns(["HR", "PupilLeft", "PupilRight", "gaze_horizontal", "gaze_vertical", "HeadForwardX", "head.forward.depth"])
+    assert named == {"heart_rate": "HR", "pupil_l": "PupilLeft", "pupil_r": "PupilRight", "gaze_x": "gaze_horizontal", "gaze_y": "gaze_vertical", "head_forward_x": "HeadForwardX", "head_forward_z": "head.forward.depth"}
 
 
 def walk(spark, spots):
@@ -95,3 +99,48 @@ def test_heatmap_edges(spark):
     assert top == {(0, 0): 1, (1, 1): 1}
     scale = gaze.common_scale(gaze.pupil_heatmap(df, cells=2, box=box)).first()
     assert tuple(scale) == (-50.0, 50.0) and math.isclose(sum(mean.values()), -100 / 6)
+
+
+def test_a_bad_file_spoils_no_other(spark, tmp_path):
+    files = {
+        "good.csv": "t,x,z\n0,0,0\n1,1,1\n2,2,", "other.csv": "a,b\n1,2\n", "text.csv": "x,z\n1,here\n", "empty.csv": "\n \n", "nothing.csv": "", "head.csv": "x,z\n", "wide.csv": "x,z\n1,2,3,4\n", "moved.csv": "z,Extra,x\n5,a,1\n6,b,2\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no")
+    found = {(r["trajectory"], r["idx"]): (r["x"], r["z"]) for r in source.load_points(spark, str(tmp_path), trim=False).collect()}
+    assert found == {("good", 0): (0, 0), ("good", 1): (1, 1), ("moved", 0): (1, 5), ("moved", 1): (2, 6)}
+    assert {r["file"] for r in source.file_problems(spark, str(tmp_path)).collect()} == {"other.csv", "text.csv", "empty.csv", "wide.csv"}
+    assert [r["file"] for r in source.file_problems(spark, str(tmp_path), "*.parquet").collect()] == ["broken.parquet"]
+    with pytest.raises(ValueError, match="broken"):
+        source.load_points(spark, str(tmp_path), "*.parquet")
+    (tmp_path / "tabs.tsv").write_text("x\tz\tt\n1\t2\t0 days 00:00:01.5\n3\t4\t00:00:02\n")
+    assert [r["t"] for r in source.load_points(spark, str(tmp_path), "*.tsv", trim=False).orderBy("idx").collect()] == [1.5, 2.0]
+    spark.range(3).selectExpr("cast(id as double) x", "id z", "'7s' t").coalesce(1).write.parquet(f"{tmp_path}/pq")
+    assert source.load_points(spark, f"{tmp_path}/pq", "*.parquet").count() == 3
+    assign = dict(mapping=source.ColumnMapping(x="X", z="Z", t="T"), positional=True, trim=False, full_name=True, count_time=True)
+    with pytest.raises(ValueError, match="Extra"):  # its second column holds texts
+        source.load_points(spark, str(tmp_path), "moved.csv", **assign)
+    (tmp_path / "plain.csv").write_text("p,q\n5,6\n5,6\n7,8\n")
+    assigned = source.load_points(spark, str(tmp_path), "plain.csv", **assign).orderBy("idx").collect()
+    assert [(r["trajectory"], r["idx"], r["x"], r["z"], r["t"]) for r in assigned] == [("plain.csv", 0, 5, 6, 0), ("plain.csv", 1, 5, 6, 1), ("plain.csv", 2, 7, 8, 2)]
+
+
+def test_columns_of_times(spark):
+    columns = {"a": ["1", "2.5", None], "b": ["00:00:01.250", "x", "01:00:00.000"], "c": ["Time: 1.23", "4s", "none"], "d": ["3", "x", "00:00:01.000"]}
+    rows = [(k, i, v) for k, vs in columns.items() for i, v in enumerate(vs)]
+    got = source.cleaned_times(spark.createDataFrame(rows, "trajectory string, idx int, text string"), "text").orderBy("trajectory", "idx").collect()
+    expected = {"a": [1.0, 2.5, None], "b": [1.25, None, 3600.0], "c": [1.23, 4.0, None], "d": [3.0, None, None]}
+    assert {k: [r["t"] for r in got if r["trajectory"] == k] for k in columns} == expected
+    for k, vs in columns.items():
+        assert [None if v != v else v for v in column_seconds(pd.Series(vs, dtype=object)).astype(float)] == expected[k]
+
+
+def test_demo_and_samples(spark):
+    p = source.demo_points(spark, 6, (20, 60))
+    sizes = {r["trajectory"]: r["count"] for r in p.groupBy("trajectory").count().collect()}
+    assert len(sizes) == 6 and all(10 < n < 60 for n in sizes.values()) and len(set(sizes.values())) > 1
+    for k, n in ((0, 0), (1, 1), (3, 3), (5, 5), (6, 6), (9, 6)):
+        assert source.sampled(p, k).select("trajectory").distinct().count() == n
+    assert len(source.demo_junctions()) == 7 and source.demo_junctions()[3].ring == 45.0
+    assert source.renamed(spark.createDataFrame([(1, 2)], "hr_change int, yaw int")).columns == ["heart_rate_change", "head_yaw"]
