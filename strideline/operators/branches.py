@@ -52,16 +52,21 @@ def summary_with_entropy(summaries: DataFrame) -> DataFrame:
     return summaries.select("junction", F.col("branch").cast("string").alias("branch"), "count", "percent").unionByName(more)
 
 
-def split_small(assignments: DataFrame, min_frac: float = 0.05, least: int = 1) -> DataFrame:
+def split_small(assignments: DataFrame, min_frac: float = 0.05, least: int = 1, *, outlier_min: int | None = None) -> DataFrame:
     """assignments with is_small and main_branch: branches under max(least, ceil(min_frac * n)) members are small, the others are numbered anew from 0 in order.
 
-    n counts the branches 0 and up of the junction; the codes below 0 keep their value and are never small.
+    n counts the branches 0 and up of the junction; the codes below 0 keep their value and are never small. Where a
+    junction has such a branch, those under outlier_min members are small too.
     """
-    n, size = F.count(F.when(F.col("branch") >= 0, 1)).over(Window.partitionBy("junction")), F.count("*").over(Window.partitionBy("junction", "branch"))
-    flagged = assignments.withColumn("is_small", (F.col("branch") >= 0) & (size < F.greatest(F.lit(least), F.ceil(n * min_frac))))
+    whole = Window.partitionBy("junction")
+    n, size = F.count(F.when(F.col("branch") >= 0, 1)).over(whole), F.count("*").over(Window.partitionBy("junction", "branch"))
+    flagged = assignments.withColumns({"_size": size, "is_small": (F.col("branch") >= 0) & (size < F.greatest(F.lit(least), F.ceil(n * min_frac)))})
+    if outlier_min is not None:
+        some = F.max(F.col("is_small").cast("int")).over(whole) == 1
+        flagged = flagged.withColumn("is_small", F.col("is_small") | (some & (F.col("branch") >= 0) & (F.col("_size") < outlier_min)))
     main = F.when(~F.col("is_small") & (F.col("branch") >= 0), F.col("branch"))
     order = F.dense_rank().over(Window.partitionBy("junction").orderBy(main.asc_nulls_last()))
-    return flagged.withColumn("main_branch", F.when(main.isNotNull(), order - 1).when(F.col("branch") < 0, F.col("branch")).cast("int"))
+    return flagged.withColumn("main_branch", F.when(main.isNotNull(), order - 1).when(F.col("branch") < 0, F.col("branch")).cast("int")).drop("_size")
 
 
 def status_counts(assignments: DataFrame, trajectories: DataFrame) -> DataFrame:
@@ -155,6 +160,13 @@ def inconsistencies(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def missing_columns(chains: DataFrame, junctions: Sequence[int]) -> list[str]:
+    """The columns branch_j0, ... of the junctions that a chain table lacks; for one junction a plain branch column will do."""
+    if len(junctions) == 1 and "branch" in chains.columns:
+        return []
+    return [c for c in (f"branch_j{j}" for j in junctions) if c not in chains.columns]
+
+
 def branch_directions(assignments: DataFrame, points: DataFrame, at: DataFrame) -> DataFrame:
     """junction, branch, ux, uz, turn: the mean direction of each branch's decision points, and its place in their order by angle."""
     both = assignments.where("branch >= 0").join(points.where("decision_idx is not null"), list(KEYS)).join(F.broadcast(at.select("junction", "cx", "cz")), "junction")

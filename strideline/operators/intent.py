@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.geometry import length, turn
+from strideline.functions.geometry import length, number, turn
 from strideline.operators.decisions import KEYS
 from strideline.operators.gaze import _mean_pupil
 from strideline.sources.scratch import settled
@@ -69,6 +69,12 @@ def features(rows: DataFrame, before: float, previous: DataFrame | None = None)
     return named.join(previous.select(*KEYS, F.col("branch").cast("double").alias("previous_choice")), list(KEYS), "left").fillna(-1.0, ["previous_choice"])
 
 
+def vectors(found: DataFrame) -> DataFrame:
+    """found with vector, the FEATURES in their order: NaN for nulls and infinities, -1 for an unknown previous choice."""
+    whole = found.fillna(-1.0, ["previous_choice"]).withColumns({f"_{c}": F.coalesce(number(F.col(c)), F.lit(float("nan"))) for c in FEATURES})
+    return VectorAssembler(inputCols=[f"_{c}" for c in FEATURES], outputCol="vector", handleInvalid="keep").transform(whole).drop(*[f"_{c}" for c in FEATURES])
+
+
 def _filled(rows: DataFrame) -> DataFrame:
     """Columns without any value get 0, as no median can be taken."""
     counts = rows.agg(*[F.count(c).alias(c) for c in FEATURES]).first()

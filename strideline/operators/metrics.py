@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.geometry import in_disc, in_tilted
+from strideline.functions.geometry import direction, in_disc, in_tilted, turn
 from strideline.operators.decisions import KEYS, frame, with_steps
 from strideline.plans.params import Decision, Junction, Zone
 
@@ -55,6 +55,14 @@ def totals(points: DataFrame) -> DataFrame:
     return g.select("trajectory", d.alias("distance"), s.alias("duration"), F.when((d > 0) & (s > 0), d / F.when(s > 0, s)).otherwise(0.0).alias("speed"))
 
 
+def turns(steps: DataFrame) -> DataFrame:
+    """trajectory, sharpest: the greatest smallest angle (radians) between two steps of with_steps() that follow one another; steps of no length have no direction."""
+    w = Window.partitionBy("trajectory").orderBy("idx")
+    moved = steps.where("seg > 0").withColumn("_course", direction(F.col("dx"), F.col("dz")))
+    bend = F.abs(turn(F.col("_course"), F.lag("_course").over(w)))
+    return moved.withColumn("_bend", bend).groupBy("trajectory").agg(F.max("_bend").alias("sharpest"))
+
+
 def speed_through(rows: DataFrame, mode: str = "pathlen") -> DataFrame:
     """trajectory, junction, speed, status: path over time from start to the decision, or why there is none.
 

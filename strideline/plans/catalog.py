@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.functions.geometry import in_disc, in_rectangle, in_tilted
+from strideline.functions.geometry import circular_mean, direction, in_disc, in_rectangle, in_tilted
 from strideline.operators import branches, clustering, decisions, enhanced, flows, gaze, intent, metrics
 from strideline.plans.params import Decision, Junction, Zone
 from strideline.plans.sql import QUERIES
@@ -188,6 +188,10 @@ def queries() -> dict:
         "physiology_windows": _query(lambda s, d: gaze.physiology(_frame(s, d), "hybrid")),
         "pupil_windows": _query(lambda s, d: gaze.pupil_windows(_frame(s, d), "hybrid")),
         "pupil_heatmap": _query(_heat),
+        "pupil_heatmap_max": _query(lambda s, d: gaze.pupil_heatmap(_points(s, d), how="zscore", combine="max")),
+        "mean_headings": _query(lambda s, d: _steps(s, d).where("seg > 0").groupBy("trajectory").agg(circular_mean(direction(F.col("dx"), F.col("dz"))).alias("heading"))),
+        "sharpest_turns": _query(lambda s, d: metrics.turns(_steps(s, d))),
+        "split_outliers": lambda s, d: branches.split_small(labels(s, d), 0.2, outlier_min=200).where("branch >= 0").groupBy("junction", "branch").agg(F.max("is_small").alias("is_small"), F.max("main_branch").alias("main_branch")),
         "junction_heatmaps": _query(lambda s, d: gaze.junction_heatmaps(_frame(s, d), combine="max")),
         "heatmap_scale": lambda s, d: gaze.common_scale(_heat(s, d)),
         "movement_patterns": _query(lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_frame(s, d)))),

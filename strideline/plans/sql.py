@@ -467,6 +467,26 @@ QUERIES["pupil_heatmap"] = _with(
     POINTS,
 )
 
+QUERIES["pupil_heatmap_max"] = _with(
+    """
+    , b AS (SELECT *, avg(pupil) OVER w AS mean, stddev_pop(pupil) OVER w AS sd, count(pupil) OVER w AS valid FROM pts WHERE pupil IS NOT NULL WINDOW w AS (PARTITION BY trajectory)),
+    v AS (SELECT x, z, (pupil - mean) / sd AS value FROM b WHERE valid >= 2 AND sd <> 0),
+    e AS (SELECT min(x) - 0.05 * (max(x) - min(x)) AS x0, max(x) + 0.05 * (max(x) - min(x)) AS x1, min(z) - 0.05 * (max(z) - min(z)) AS z0, max(z) + 0.05 * (max(z) - min(z)) AS z1 FROM v)
+    SELECT CAST(floor((x - x0) / (x1 - x0) * 10) AS INTEGER) AS ix, CAST(floor((z - z0) / (z1 - z0) * 10) AS INTEGER) AS iz, round((max((abs(value), value)))[2], 6) AS value, count(*) AS n FROM v, e GROUP BY 1, 2
+    """,
+    POINTS,
+)
+QUERIES["mean_headings"] = _with("SELECT trajectory, round(atan2(avg(sin(atan2(dz, dx))), avg(cos(atan2(dz, dx)))), 6) AS heading FROM st WHERE seg > 0 GROUP BY trajectory", POINTS)
+QUERIES["sharpest_turns"] = _with(", c AS (SELECT trajectory, idx, atan2(dz, dx) AS a FROM st WHERE seg > 0), d AS (SELECT trajectory, a - lag(a) OVER (PARTITION BY trajectory ORDER BY idx) AS b FROM c) SELECT trajectory, round(max(abs(atan2(sin(b), cos(b)))), 6) AS sharpest FROM d GROUP BY trajectory", POINTS)
+QUERIES["split_outliers"] = _with(
+    """
+    , c AS (SELECT junction, branch, n, n < ceil(0.2 * total) AS a, total FROM sh),
+    s AS (SELECT *, a OR (bool_or(a) OVER (PARTITION BY junction) AND n < 200) AS is_small FROM c)
+    SELECT junction, branch, is_small, CAST(CASE WHEN NOT is_small THEN count(CASE WHEN NOT is_small THEN 1 END) OVER (PARTITION BY junction ORDER BY branch) - 1 END AS INTEGER) AS main_branch FROM s
+    """,
+    *ASG, SHARES,
+)
+
 
 def _of(name: str) -> str:
     """A query's statement as a table."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -202,10 +204,28 @@ def renamed(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
 
 
 def load_centers(spark: SparkSession, path: str) -> DataFrame:
-    """Branch centres (junction, branch, ux, uz) from Parquet."""
+    """Branch centres (junction, branch, ux, uz) from a folder of Parquet files, or of save_centers()."""
+    if path.endswith(".npy"):
+        files = spark.read.format("binaryFile").load(path).select("path", "content").collect()  # a few dozen bytes for each junction
+        found = [(int(f["path"].rsplit("_j", 1)[1][:-4]), k, float(u[0]), float(u[1])) for f in files for k, u in enumerate(np.load(io.BytesIO(f["content"])))]
+        return spark.createDataFrame(found, "junction int, branch int, ux double, uz double")
     return spark.read.parquet(path).select(F.col("junction").cast("int").alias("junction"), F.col("branch").cast("int").alias("branch"), F.col("ux").cast("double").alias("ux"), F.col("uz").cast("double").alias("uz"))
 
 
+def save_centers(centers: DataFrame, path: str) -> None:
+    """A file branch_centers_j<junction>.npy for each junction, with a row (ux, uz) for each branch; load_centers(path/*.npy) reads them."""
+    spark, by = centers.sparkSession, {}
+    for r in centers.orderBy("junction", "branch").collect():  # a junction has few branches
+        by.setdefault(r["junction"], []).append((r["ux"], r["uz"]))
+    for junction, rows in by.items():
+        data = io.BytesIO()
+        np.save(data, np.array(rows))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/branch_centers_j{junction}.npy")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+
+
 def load_assignments(spark: SparkSession, path: str) -> DataFrame | None:
     """trajectory and branch from CSV files, or None where a column is missing (then branches have to be discovered)."""
     raw = spark.read.csv(path, header=True)
@@ -222,6 +242,20 @@ def save(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+#: Artefacts of a discovery by name. Fixed values.
+ARTEFACTS = ("branch_assignments", "branch_assignments_all", "branch_summary", "branch_summary_all", "decision_points", "decision_mode_used", "discover_diagnostics", "vectors", "timing_and_speed_metrics", "gaze_analysis", "physiological_analysis", "pupil_trajectory_analysis", "intent_recognition_summary", "intent_recognition_junction_summary")
+
+
+def save_results(results: dict[str, DataFrame], path: str, kind: str = "csv") -> list[str]:
+    """Each result in a folder of its name (one of ARTEFACTS, or branch_assignments_j0 and the like) under path; the folders written."""
+    odd = [n for n in results if not n.startswith(ARTEFACTS)]
+    if odd:
+        raise ValueError(f"unknown artefacts: {', '.join(odd)}")
+    for name, df in results.items():
+        save(df, f"{path}/{name}", kind)
+    return [f"{path}/{n}" for n in results]
+
+
 def run_arguments(**values) -> str:
     """A command's arguments as JSON."""
     return json.dumps(values, sort_keys=True, default=lambda v: asdict(v) if hasattr(v, "__dataclass_fields__") else str(v))

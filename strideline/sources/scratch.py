@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder; None without either."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A local session without either gets a temporary folder of its own; a cluster's has to name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/") if found else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='strideline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back, so that what made it runs once; df itself in a session without such a folder."""
-    at = shared_dir(df.sparkSession)
-    if at is None:
-        return df
-    path = f"{at}/strideline-{label}-{uuid.uuid4().hex}"
+    """df, written to this application's part of the shared folder and read back: what made it runs once, and lost executors cost nothing written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strideline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application has settled; results not yet written elsewhere can't be read after that."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strideline-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -128,3 +128,50 @@ def test_small_branches_and_rediscovery(spark):
     assigned = branches.assign(decisions.directions(decisions.frame(new, at, how), how), centers)
     out = branches.rediscover(new, points(spark, east), at, assigned, how)
     assert out is not None and out[1].count() == 2
+
+
+def test_normalised_assignments(spark):
+    chains = spark.createDataFrame([("3", 0, 1), ("10", 2, -1), ("x", 1, None), ("7", None, 0)], "trajectory string, branch_j0 int, branch_j1 int")
+    kept, report = branches.normalized(chains, junctions=[0, 1])
+    assert [r["trajectory"] for r in kept.collect()] == ["3"] and report.first()["input_rows"] == 4
+    kept, report = branches.normalized(chains, known=chains.where("trajectory <> 'x'"), outliers=True)
+    assert kept.count() == 3 and tuple(report.first()) == (4, 3, 1, False)
+    with pytest.raises(ValueError):
+        branches.normalized(chains, known=chains.where("trajectory = '3'"), strict=True)
+    single = chains.select("trajectory", F.col("branch_j0").alias("branch"))
+    assert branches.missing_columns(single, [0]) == [] and branches.missing_columns(chains, [0, 1, 2]) == ["branch_j2"]
+    assert {r["trajectory"] for r in branches.normalized(single, junction=4)[0].collect()} == {"3", "10", "x"}
+    assert {r["trajectory"]: r["number"] for r in branches.numbered(chains).collect()} == {"3": 0, "7": 1, "10": 2}
+
+
+@pytest.mark.parametrize("values", [[], [1.0], [3.0, 1.0], [2.0] * 7, [float(k * k % 97) for k in range(400)], [float(k) for k in range(11)] * 3])
+def test_exact_quantiles(spark, values):
+    ps = [0.0, 0.05, 0.25, 0.5, 0.7, 0.9, 0.99, 1.0]
+    df = spark.createDataFrame([(g, v) for g in ("a", "b") for v in values] + [("a", None)], "g string, v double")
+    found = {r["g"]: list(r)[1:] for r in metrics.quantiles(df, "v", ps, "g").collect()}
+    assert found == ({g: pytest.approx(np.quantile(values, ps).tolist()) for g in "ab"} if values else {})
+    if values:
+        assert list(metrics.quantiles(df, "v", [0.25, 0.75]).first()) == pytest.approx(np.quantile(values * 2, [0.25, 0.75]).tolist())
+
+
+@pytest.mark.parametrize(("eps", "least"), [(5.0, 3), (20.0, 4), (90.0, 30), (120.0, 2)])
+def test_cells_give_the_clusters_of_all_pairs(spark, eps, least):
+    rng = np.random.default_rng(7)
+    angles = np.concatenate((rng.normal(3.1, 0.05, 80), rng.normal(0, 0.2, 40), rng.uniform(-np.pi, np.pi, 30), np.full(9, 1.0)))
+    vectors = [(f"t{k:03d}", 0, float(np.cos(a)), float(np.sin(a))) for k, a in enumerate(angles)] + [("none", 0, None, None)]
+    got = {r["trajectory"]: r["branch"] for r in clustering.dbscan(spark.createDataFrame(vectors, "trajectory string, junction int, vx double, vz double"), eps=eps, min_samples=least).collect()}
+    apart = np.abs(angles[:, None] - angles[None])
+    near = np.minimum(apart, 2 * np.pi - apart) <= np.radians(eps) * (1 + 1e-12)
+    core, label, k = near.sum(axis=1) >= least, np.full(len(angles), -1), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if label[j] < 0:
+                    label[j] = k
+                    todo += np.flatnonzero(near[j] & core & (label < 0)).tolist()
+            k += 1
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core], default=-1)
+    assert got.pop("none") == -1 and [got[f"t{i:03d}"] for i in range(len(angles))] == label.tolist()

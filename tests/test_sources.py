@@ -144,3 +144,20 @@ def test_demo_and_samples(spark):
         assert source.sampled(p, k).select("trajectory").distinct().count() == n
     assert len(source.demo_junctions()) == 7 and source.demo_junctions()[3].ring == 45.0
     assert source.renamed(spark.createDataFrame([(1, 2)], "hr_change int, yaw int")).columns == ["heart_rate_change", "head_yaw"]
+
+
+def test_centers_and_results(spark, tmp_path):
+    centers = spark.createDataFrame([(0, 0, 1.0, 0.0), (0, 1, 0.0, 1.0), (3, 0, -1.0, 0.0)], "junction int, branch int, ux double, uz double")
+    source.save_centers(centers, f"file://{tmp_path}/centers")
+    assert sorted(map(tuple, source.load_centers(spark, f"file://{tmp_path}/centers/*.npy").collect())) == sorted(map(tuple, centers.collect()))
+    centers.write.parquet(f"{tmp_path}/pq")
+    assert source.load_centers(spark, f"{tmp_path}/pq").count() == 3
+    written = source.save_results({"vectors": centers, "branch_assignments_j0": centers}, f"file://{tmp_path}/out")
+    assert [spark.read.csv(p, header=True).count() for p in written] == [3, 3]
+    with pytest.raises(ValueError):
+        source.save_results({"other": centers}, f"file://{tmp_path}/out")
+    a = spark.createDataFrame([("a", "1"), ("b", "-1"), ("c", "x")], "trajectory string, branch string")
+    a.write.option("header", True).csv(f"{tmp_path}/assigned")
+    assert sorted((r["trajectory"], r["branch"]) for r in source.load_assignments(spark, f"{tmp_path}/assigned").where("branch is not null").collect()) == [("a", 1), ("b", -1)]
+    a.select("trajectory").write.option("header", True).csv(f"{tmp_path}/none")
+    assert source.load_assignments(spark, f"{tmp_path}/none") is None
