@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,14 +108,26 @@ class Memory:
 _held: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can: allocators keep it, and workers of several operators share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held(key, make):
     """make(), which a Python worker keeps from task to task until a task asks for another key: workers are reused, and what the operator before remembered must not stay beside this one's."""
     if key not in _held:
         _held.clear()
+        _give_back()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
     """Frees what held() keeps, for tasks that keep nothing themselves."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        _give_back()

@@ -27,11 +27,11 @@ from strideline.llm.common import Memory, held, map_texts, scratch_path
 
 WINDOW = 2048
 #: Words that a Python worker remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bytes of a word that is remembered at most.
 LONGEST = 64
 #: Bytes of text that are tokenized at a time.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
 # The word pattern of the tokenizer files that are encoded word by word, punctuation that its last
 # alternative matches alone or after letters alike, and the first byte of marks that compose with ASCII letters (their
 # case matters before they do).
