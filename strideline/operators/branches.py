@@ -118,8 +118,10 @@ def rediscover(points: DataFrame, known: DataFrame, at: Sequence[Junction], assi
 def numbered(assignments: DataFrame) -> DataFrame:
     """trajectory, number: trajectory ids that are whole numbers, numbered from 0 in their order. Other ids have none."""
     ids = assignments.select("trajectory", F.col("trajectory").try_cast("long").alias("_id")).where("_id is not null").distinct()
-    # The place within blocks of 2^16 ids, after the ids of the blocks before: no window over all ids.
-    block = F.floor(F.col("_id") / 65536)
+    # The place within one of 65,536 equal parts of the ids' range, after the ids of the parts before: no window over all ids.
+    ends = ids.agg(F.min("_id").cast("double").alias("_lo"), F.max("_id").cast("double").alias("_hi"))
+    ids = ids.crossJoin(F.broadcast(ends))  # one row
+    block = F.floor((F.col("_id") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 65536)
     blocks = ids.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
     before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("_block").orderBy("_id", "trajectory")) - 1
