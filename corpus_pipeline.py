@@ -35,7 +35,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose sets of five-word shingles have a cosine of 0.8 or more, candidates by SimHash."""
+    """Keeps one document of each group whose fingerprints (512 bits over five-word shingles) are 0.8 similar or more."""
     return simhash.keep_one(docs)
 
 

@@ -302,15 +302,14 @@ def _grouped(named: DataFrame, words: int, bits: int, radius: int, seed: int, le
     return prints.join(members, "fingerprint")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, bits: int = 256, radius: int = 70, seed: int = 42, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, bits: int = 512, radius: int = 102, seed: int = 42, least: float = 0.5) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the least id.
 
-    Texts are linked when the cosine of their sets of five-word shingles (shared shingles over the root of the product of
-    the sets' sizes) is 0.8 or more (least). Candidates are the pairs of fingerprints that radius or fewer of bits tell
-    apart, 1 - radius / bits = 0.73: at a cosine of 0.8 a pair differs in 52 of 256 bits on average, with a deviation of
-    6.5, and an unrelated one in 128, with one of 8. Each candidate is checked exactly before it counts. Null and wordless
-    texts are one group, which no other text joins; texts of equal fingerprints count as one. A null id is chosen only
-    where its group has no other; rows that repeat both id and text are cut to one. Columns and their names stay as they are.
+    Texts are linked when their fingerprints over five-word shingles are 0.8 similar or more: at most radius of bits differ
+    (1 - 102 / 512 = 0.8), which estimates a cosine of the sets of shingles of 0.81. Texts that meet by chance are kept
+    apart by an exact check: each link's cosine has to be least or more. Null and wordless texts are one group, which no
+    other text joins; texts of equal fingerprints count as one. A null id is chosen only where its group has no other; rows
+    that repeat both id and text are cut to one. Columns and their names stay as they are.
     """
     body = F.xxhash64(F.col(text))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body"), body.alias("body_key"))

@@ -17,9 +17,10 @@ def sets(text):
 
 
 def linked(texts):
-    """Pairs of places whose sets of five-word shingles have a cosine of 0.8 or more, by comparing all; wordless texts are linked."""
-    found = [sets(t) for t in texts]
-    return [(i, j) for i in range(len(found)) for j in range(i) if len(found[i] & found[j]) >= 0.8 * (len(found[i]) * len(found[j])) ** 0.5]
+    """Pairs of places whose fingerprints are 0.8 similar and whose sets of five-word shingles have a cosine of 0.5 or more, by comparing all; wordless texts are linked."""
+    found, prints = [sets(t) for t in texts], [int.from_bytes(simhash.fingerprint((t or "").encode(), 5, 512, even=True)) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 102 and len(found[i] & found[j]) >= 0.5 * (len(found[i]) * len(found[j])) ** 0.5
+    return [(i, j) for i in range(len(found)) for j in range(i) if bool(found[i]) == bool(found[j]) and near(i, j)]
 
 
 def groups(rows):
