@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import media, packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
+from strideline.llm import codes, media, packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
 from strideline.llm.common import scratch_path, table
 from strideline.llm.linear import fold
 
@@ -198,9 +198,58 @@ GROUP BY l.doc_id
 """
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.summary(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """op11_codes by Lloyd's rounds over every part of every row."""
+    steps = [
+        f"""v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS cells
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS (
+  SELECT vec_id, label, place, cells[place * len(cells) // {parts} + 1 : (place + 1) * len(cells) // {parts}] AS part FROM v, range({parts}) AS r(place)
+), c0 AS (
+  SELECT place, entry, part FROM (SELECT place, part, row_number() OVER (PARTITION BY place ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {entries}
+)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS (
+  SELECT p.place, p.vec_id, p.label, p.part,
+         min((list_sum(list_transform(range(1, len(p.part) + 1), lambda i: (p.part[i] - c.part[i]) * (p.part[i] - c.part[i]))), c.entry)) AS near
+  FROM p JOIN c{k} c USING (place) GROUP BY p.place, p.vec_id, p.label, p.part
+)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (
+  SELECT place, near[2] AS entry, i, CAST(sum(part[i]) AS BIGINT) AS total, count(*) AS n
+  FROM a{k}, LATERAL (SELECT unnest(range(1, len(part) + 1)) AS i) GROUP BY place, near[2], i
+), n{k} AS (
+  SELECT place, entry, list((total - ((total % n) + n) % n) // n ORDER BY i) AS part FROM m{k} GROUP BY place, entry
+), c{k + 1} AS (
+  SELECT place, entry, coalesce(n{k}.part, c{k}.part) AS part FROM c{k} LEFT JOIN n{k} USING (place, entry)
+)"""
+            )
+    steps.append(
+        f"""e AS (
+  SELECT vec_id, label, string_agg(right('0' || lower(to_hex(near[2])), 2), '' ORDER BY place) AS code, CAST(sum(near[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+), s AS (
+  SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY place, entry)) AS codebooks_sha256 FROM c{rounds}
+)"""
+    )
+    return "WITH " + ", ".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, s"
+
+
+OP11_SQL = _codes_sql()
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_media": op8_media, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_media": op8_media, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_codes": op11_codes}
 
 
 def oracle_sql() -> dict:
-    return {"op2_topk": OP2_SQL, "op3_shards": OP3_SQL, "op5_urls": OP5_SQL, "op9_lines": OP9_SQL}
+    return {"op2_topk": OP2_SQL, "op3_shards": OP3_SQL, "op5_urls": OP5_SQL, "op9_lines": OP9_SQL, "op11_codes": OP11_SQL}
