@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import codes, media, packing, pieces, quality, shards, simhash, templates, topk, toxicity, urlfilter
+from strideline.llm import alignment, codes, media, packing, pieces, quality, shards, simhash, templates, tokenfiles, topk, toxicity, urlfilter
 from strideline.llm.common import scratch_path, table
 from strideline.llm.linear import fold
 
@@ -247,8 +247,19 @@ def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: i
 OP11_SQL = _codes_sql()
 
 
+def op12_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokenfiles")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read(spark, path, digest=True)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)[0]
+
+
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_media": op8_media, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_codes": op11_codes}
+    return {"op1_simhash": op1_simhash, "op2_topk": op2_topk, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_urls": op5_urls, "op6_pieces": op6_pieces, "op7_quality": op7_quality, "op8_media": op8_media, "op9_lines": op9_lines, "op10_toxicity": op10_toxicity, "op11_codes": op11_codes, "op12_tokenfiles": op12_tokenfiles, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict:
