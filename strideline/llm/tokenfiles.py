@@ -6,9 +6,9 @@ their end) and `<name>.ids` (their doc_ids, an Arrow file of one column). `parts
 part: its order, name, documents, ids and, by prefix sums over the parts, how many documents and ids are before it, so a
 document's place in the whole corpus is its part's base and its offset there.
 
-Documents are tokenized once, where they lie; their ids are dealt by ranges of doc_id and sorted there. A task streams
-its range into files of its own and reports one row; what a failed or repeated attempt left behind is in no row, is
-never read, and goes at the end. Rows of equal doc_id are told apart by their ids and then by row, so no key is too hot.
+Documents are dealt by ranges of doc_id and sorted there. A task tokenizes its range, each document once, streams the
+ids into files of its own and reports one row; what a failed or repeated attempt left behind is in no row, is never
+read, and goes at the end. Rows of equal doc_id are told apart by their texts and then by row, so no key is too hot.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from strideline.llm.common import cores, map_texts, release, remove, scratch_path
-from strideline.llm.packing import tokenize
+from strideline.llm.common import cores, map_texts, release
+from strideline.llm.packing import AT_ONCE, _tokens
 
-#: Ids of a part, about; parts are ranges of documents, and a document is never cut.
-PART_IDS = 64 << 20
+#: Bytes of text of a part, about; parts are ranges of documents, and a document is never cut.
+PART_BYTES = 256 << 20
 #: Ids that a reading task holds at a time, beside a document that has more.
 READ_IDS = 1 << 20
 _PARTS = "part long, name string, documents long, ids long, documents_before long, ids_before long, width int"
@@ -47,51 +47,55 @@ def _mapped(store: fs.FileSystem, path: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, end_id: int = 1, part_ids: int = PART_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, end_id: int = 1, part_bytes: int = PART_BYTES) -> None:
     """Writes the ids of all docs into a new folder, in ascending order of doc_id.
 
     Null texts count as empty, and an empty text has its end id alone. Null ids come last, rows that repeat an id in the
-    order of a hash of their ids; other columns are not read; no rows give an empty table of parts.
+    order of a hash of their texts; other columns are not read; no rows give an empty table of parts.
     """
     spark = docs.sparkSession
-    first = tokenize(docs, tokenizer, doc_id, text, end_id=end_id)
-    scratch = scratch_path(spark, "tokens")
-    first.write.option("compression", "zstd").parquet(scratch)
-    written = spark.read.schema(first.schema).parquet(scratch)
-    total, wide = written.agg(F.sum("n"), F.max((F.octet_length("ids") > 2 * F.col("n")).cast("int"))).first()
-    width = 4 if wide else 2
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     order = [F.asc_nulls_last("doc_id"), F.asc("_hash"), F.asc("_row")]
-    keyed = written.select("doc_id", "ids", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
-    count = max(cores(spark), -(-(total or 0) // part_ids))
-    ranged = keyed.repartitionByRange(count, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_text"), F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ranged = keyed.repartitionByRange(max(cores(spark), -(-total // part_bytes)), *order).sortWithinPartitions(*order).select("doc_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         batch = next((b for b in batches if len(b)), None)
         if batch is None:
             return
-        store, root = _store(path)
+        coder, (store, root) = _tokens(tokenizer), _store(path)
         store.create_dir(root, recursive=True)
+        end, width = np.array([end_id], coder.width).tobytes(), coder.width.itemsize
         part, name, at, rows = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
         with store.open_output_stream(f"{root}/{name}.bin") as ids, store.open_output_stream(f"{root}/{name}.idx") as idx, store.open_output_stream(f"{root}/{name}.ids") as keys:
             with pa.ipc.new_file(keys, pa.schema([("doc_id", batch.schema.field(0).type)])) as table:
                 while batch is not None:
-                    ends = at + np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // width
-                    idx.write(np.concatenate(([at], ends[:-1])).astype("<u8").tobytes())
-                    for x in batch.column(1):
-                        ids.write(x.as_buffer())
+                    for texts in _chunks(batch.column(1)):
+                        found = [x + end for x in coder.encode([t or b"" for t in texts.to_pylist()])]
+                        starts = at + np.cumsum([0, *map(len, found)], dtype=np.int64) // width
+                        ids.write(b"".join(found))
+                        idx.write(starts[:-1].astype("<u8").tobytes())
+                        at = int(starts[-1])
                     table.write_batch(pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_id"]))
-                    at, rows = int(ends[-1]), rows + len(batch)
+                    rows += len(batch)
                     batch = next((b for b in batches if len(b)), None)
             idx.write(np.array([at], "<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (name, pa.string()), (rows, pa.int64()), (at, pa.int64()))], names=["part", "name", "documents", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (name, pa.string()), (rows, pa.int64()), (at, pa.int64()), (width, pa.int32()))], names=["part", "name", "documents", "ids", "width"])
 
-    found = sorted(map_texts(ranged, run, "part long, name string, documents long, ids long").collect())  # one row for each part
+    found = sorted(map_texts(ranged, run, "part long, name string, documents long, ids long, width int").collect())  # one row for each part
     bases = np.cumsum([[0, 0], *([r["documents"], r["ids"]] for r in found)], axis=0).tolist()
-    lines = [(k, r["name"], r["documents"], r["ids"], *bases[k], width) for k, r in enumerate(found)]
+    lines = [(k, r["name"], r["documents"], r["ids"], *bases[k], r["width"]) for k, r in enumerate(found)]
     spark.createDataFrame(lines, _PARTS).coalesce(1).write.parquet(f"{path}/parts")
     _tidy(path, {r["name"] for r in found})
-    remove(spark, scratch)
+
+
+def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in slices of AT_ONCE bytes (one text at least)."""
+    total, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE)))
+        yield texts[at:until]
+        at = until
 
 
 def _tidy(path: str, names: set[str]) -> None:

@@ -35,7 +35,7 @@ def test_odd_rows_round_trip_and_random_access(spark, monkeypatch):
     pairs = [(9, "last one"), (3, None), (4, ""), (5, long), (-2, "negative id"), (7, "a\nb\t c  d"), (11, "<|endoftext|> in a text"), (1, "first")]
     docs = spark.createDataFrame(pairs + [(None, "no id")], "doc_id long, text string").withColumns({"part": F.lit("x"), "ids": F.lit(1), "_hash": F.lit(2), "n": F.lit(3)}).repartition(4)
     path = scratch_path(spark, "files")
-    tokenfiles.write(docs, path, WORDS, part_ids=20)
+    tokenfiles.write(docs, path, WORDS, part_bytes=20_000)
     want = expected(pairs + [(None, "no id")])
     assert sorted(map(tuple, tokenfiles.read(spark, path).collect()), key=lambda r: r[1]) == want
     files = tokenfiles.TokenFiles(path)
@@ -52,7 +52,7 @@ def test_odd_rows_round_trip_and_random_access(spark, monkeypatch):
 def test_repeated_ids_strings_as_ids_and_leftover_files(spark):
     docs = spark.createDataFrame([("b", "two")] * 30 + [("a", "one")] * 2 + [("b", "other")], "doc_id string, text string").repartition(5)
     path = scratch_path(spark, "files")
-    tokenfiles.write(docs, path, WORDS, part_ids=10)
+    tokenfiles.write(docs, path, WORDS, part_bytes=10)
     found = sorted(tokenfiles.read(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in found] == ["a"] * 2 + ["b"] * 31
     assert [r["start"] for r in found] == list(np.cumsum([0] + [r["n_tokens"] for r in found])[:-1])
