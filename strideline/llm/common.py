@@ -1,11 +1,9 @@
-"""What the corpus operators share: the shared scratch folder and tables written there."""
+"""What the corpus operators share: tables written in the shared folder, batches of texts, and what workers remember."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideline.sources.scratch import Scratch, clear_scratch, remove, scratch_path, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,40 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Only a local session without either gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='strideline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def _own_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_dir(spark)}/strideline-{spark.sparkContext.applicationId}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all that this application's operators have written for themselves; results not yet written elsewhere can't be read after that."""
-    remove(spark, _own_dir(spark))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of scratch_path() through Hadoop's file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors cost nothing written."""
     spark = df.sparkSession

@@ -31,6 +31,8 @@ from strideline.llm.common import cores, map_texts, materialize, release
 from strideline.llm.components import connected_components
 
 ROWS_PER_TILE = 4096
+#: 64-bit words of a fingerprint in which all pairs are compared.
+FIRST = 4
 
 
 def _second(h: np.ndarray) -> np.ndarray:
@@ -63,25 +65,23 @@ def shingles(text: bytes | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]
 
 
-def fingerprint(text: bytes | None, words: int, bits: int = 64, seed: int = 42, even: bool = False) -> bytes:
-    """A text's SimHash as big-endian bytes; zero without words. A bit that half of the shingles have is 0, or with even that of the least hash: else short texts of an even number of shingles have few bits and are alike."""
+def fingerprint(text: bytes | None, words: int, bits: int = 64, seed: int = 42, unique: bool = False) -> bytes:
+    """A text's SimHash as big-endian bytes; zero without words. A bit is 1 if it is set in over half of the shingles' hashes, repeats included, or with unique each different shingle counted once."""
     found = shingles(text, words)
     if not found:
         return bytes(bits // 8)
+    if unique:
+        found = list(set(found))
     n = len(found)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(seed)), np.uint64, n)
     parts = [hashes]
     while len(parts) < bits // 64:
         parts.append(_second(parts[-1]))
-    if not even:
-        return b"".join(np.packbits(2 * _ones(h) > n).tobytes() for h in parts)
-    least = int(hashes.argmin())
-    own = [np.unpackbits(h[least : least + 1].astype(">u8").view(np.uint8)) for h in parts]
-    return b"".join(np.packbits(2 * _ones(h) + o > n).tobytes() for h, o in zip(parts, own, strict=True))
+    return b"".join(np.packbits(2 * _ones(h) > n).tobytes() for h in parts)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", *, words: int = 5, bits: int = 64, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), apart: bool = False) -> DataFrame:
-    """The columns of keep and fingerprint (lowercase hex; with apart, an empty string for wordless texts, and even bits). Null text counts as empty; other columns are not read."""
+def fingerprints(docs: DataFrame, text: str = "text", *, words: int = 5, bits: int = 64, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), unique: bool = False) -> DataFrame:
+    """The columns of keep and fingerprint (lowercase hex; with unique, of each different shingle once, and an empty string for wordless texts). Null text counts as empty; other columns are not read."""
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("fingerprint", T.StringType())])
 
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, text: str = "text", *, words: int = 5, bits: i
         release()
         for batch in batches:
             texts = (t.as_py() for t in batch.column(len(keep)))
-            found = ["" if apart and not (t or b"").split() else fingerprint(t, words, bits, seed, apart).hex() for t in texts]
+            found = ["" if unique and not (t or b"").split() else fingerprint(t, words, bits, seed, unique).hex() for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string())], names=schema.names)
 
     return map_texts(docs.select(*keep, F.col(text).cast("binary").alias("_text")), run, schema)
@@ -106,6 +106,24 @@ def _gap(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndar
     return np.maximum(0, np.maximum(other_lo - hi, lo - other_hi)).sum(axis=-1)
 
 
+def _within(rows: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows and others at radius or fewer differing bits. Of fingerprints longer than FIRST words, all pairs are compared in their first words, and only what these leave within the radius is compared whole."""
+    width = rows.shape[1]
+    apart = np.bitwise_count(rows[:, None, 0] ^ others[None, :, 0])
+    if min(width, FIRST) > 3:  # counts up to 256
+        apart = apart.astype(np.uint16)
+    for w in range(1, min(width, FIRST)):
+        apart += np.bitwise_count(rows[:, None, w] ^ others[None, :, w])
+    i, j = np.nonzero(apart <= radius)
+    if width <= FIRST:
+        return i, j
+    whole = apart[i, j].astype(np.int64)
+    for w in range(FIRST, width):
+        whole += np.bitwise_count(rows[i, w] ^ others[j, w])
+    near = whole <= radius
+    return i[near], j[near]
+
+
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int, sections: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (row, its root), of the links between two tiles; the right rows are numbered after the left ones."""
     n, off = len(left) + (0 if same else len(right)), 0 if same else len(left)
@@ -118,13 +136,7 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int, sectio
             near = near[near > at]
         if not len(near):
             continue
-        some = right[near]
-        apart = np.bitwise_count(rows[:, None, 0] ^ some[None, :, 0])
-        if left.shape[1] > 3:  # counts up to 256
-            apart = apart.astype(np.uint16)
-        for w in range(1, left.shape[1]):
-            apart += np.bitwise_count(rows[:, None, w] ^ some[None, :, w])
-        i, j = np.nonzero(apart <= radius)
+        i, j = _within(rows, right[near], radius)
         if not len(i):
             continue
         x, y = root[i + at], root[near[j] + off]
@@ -150,31 +162,16 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int, sectio
     return moved, root[moved]
 
 
-def _across(left: np.ndarray, right: np.ndarray, same: bool, radius: int, width: int, step: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows, left and right, of all links between two tiles whose ends have different labels (what follows a row's width words)."""
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        apart = sum(np.bitwise_count(rows[:, None, w] ^ right[None, :, w]).astype(np.int16) for w in range(width))
-        other = np.any(rows[:, None, width:] != right[None, :, width:], axis=2)
-        i, j = np.nonzero((apart <= radius) & other)
-        if same:
-            i, j = i[j > i + at], j[j > i + at]
-        if len(i):
-            yield i + at, j
-
-
-def links(distinct: DataFrame, *, bits: int, radius: int, column: str = "fingerprint", label: str | None = None) -> DataFrame:
+def links(distinct: DataFrame, *, bits: int, radius: int, column: str = "fingerprint") -> DataFrame:
     """a, b: fingerprints whose links span every component of the graph that joins fingerprints at radius or fewer differing bits.
 
-    With label, a column of hexadecimal strings as long as the fingerprints: all links between different labels instead.
     distinct has each fingerprint once. An empty or one-row table gives no rows.
     """
     spark = distinct.sparkSession
     sections = 4 if radius <= bits // 8 else 1  # a wide radius is never ruled out by the sections
     size = bits // 4 // sections
     count = lambda k: F.bit_count(F.conv(F.substring(column, k * size + 1, size), 16, 10).cast("decimal(20)").cast("bigint")) if size <= 8 else sum(F.bit_count(F.conv(F.substring(column, 8 * j + 1, 8), 16, 10).cast("bigint")) for j in range(bits // 32))
-    body = F.unhex(column) if label is None else F.concat(F.unhex(column), F.unhex(label))
-    keyed = distinct.select(column, body.alias("fp"), F.array(*[count(k).cast("int") for k in range(sections)]).alias("key"))
+    keyed = distinct.select(column, F.unhex(column).alias("fp"), F.array(*[count(k).cast("int") for k in range(sections)]).alias("key"))
     groups = sorted((tuple(r["key"]), r["n"]) for r in keyed.groupBy("key").agg(F.count("*").alias("n")).collect())  # at most (bits / sections + 1) ^ sections
     n = sum(g[1] for g in groups)
     most = max(ROWS_PER_TILE, int(8 * math.sqrt(n)))
@@ -219,12 +216,8 @@ def links(distinct: DataFrame, *, bits: int, radius: int, column: str = "fingerp
         hexes = lambda found: pa.array([x.tobytes().hex() for x in found.astype(">u8")], pa.string())
         for batch in batches:
             for a, b, left, right in zip(*(batch.column(k) for k in range(4)), strict=True):
-                one, two = (np.frombuffer(x.as_py(), ">u8").astype(np.uint64).reshape(-1, width if label is None else 2 * width) for x in (left, right))
+                one, two = (np.frombuffer(x.as_py(), ">u8").astype(np.uint64).reshape(-1, width) for x in (left, right))
                 same = a.as_py() == b.as_py()
-                if label is not None:
-                    for i, j in _across(one, two, same, radius, width):
-                        yield pa.RecordBatch.from_arrays([hexes(one[i, :width]), hexes(two[j, :width])], names=["a", "b"])
-                    continue
                 rows, roots = _forest(one, two, same, radius, sections)
                 names = one if same else np.concatenate((one, two))
                 yield pa.RecordBatch.from_arrays([hexes(names[rows]), hexes(names[roots])], names=["a", "b"])
@@ -244,77 +237,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _grouped(named, words, bits, radius, seed).select("doc_id", "fingerprint", "component_id")
 
 
-def _shared(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b and near: whether the cosine of the two texts' sets of shingles, which SimHash estimates, is least or more."""
-    side = lambda c: sets.select(F.col("fingerprint").alias(c), F.col("shingles").alias(f"_{c}")).hint("merge")
-    both = F.size(F.array_intersect("_a", "_b"))
-    joined = edges.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", (both >= least * F.sqrt(F.size("_a").cast("double") * F.size("_b"))).alias("near"))
-
-
-def checked_links(each: DataFrame, texts: DataFrame, *, words: int, bits: int, radius: int, seed: int, least: float) -> DataFrame:
-    """a, b: links that span every component of the graph that joins fingerprints at radius or fewer differing bits where the cosine of the texts' sets of shingles is least or more.
-
-    each has fingerprint and body_key, the key of a text that stands for it, texts has body_key and _body. The links that
-    span the fingerprints' own components are checked first. Where all hold, the components are the same; in a component
-    where one fails, all links between the parts that the others leave are checked too, so that no link is lost with a
-    failed one. Those grow with the square of such parts.
-    """
-    edges, _ = materialize(links(each.select("fingerprint"), bits=bits, radius=radius), "links")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("fingerprint")).distinct().join(each, "fingerprint")
-    bodies = texts.join(nodes.hint("merge"), "body_key").select("fingerprint", F.col("_body").cast("binary").alias("_body")).dropDuplicates(["fingerprint"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles(t.as_py(), words)), np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fingerprint", "shingles"])
-
-    sets, _ = materialize(map_texts(bodies, run, "fingerprint string, shingles array<long>"), "shingles")
-    first, _ = materialize(_shared(edges, sets, least), "checked")
-    good = first.where("near").select("a", "b")
-    if first.where("not near").isEmpty():
-        return good
-    whole, parts = connected_components(edges), connected_components(good).withColumnRenamed("component", "part")
-    unsafe = first.where("not near").select(F.col("a").alias("node")).join(whole, "node").select("component").distinct()
-    open_ = whole.join(unsafe, "component").join(parts, "node", "left").select(F.col("node").alias("fingerprint"), F.coalesce("part", "node").alias("part"))
-    open_, _ = materialize(open_, "parts")
-    more, _ = materialize(links(open_, bits=bits, radius=radius, label="part"), "more")
-    again, _ = materialize(_shared(more, sets, least), "again")
-    return good.union(again.where("near").select("a", "b"))
-
-
-def _grouped(named: DataFrame, words: int, bits: int, radius: int, seed: int, least: float | None = None) -> DataFrame:
-    """fingerprint, component and component_id beside the columns of named but _body. With least (and named's body_key), links are checked and wordless texts are one group."""
+def _grouped(named: DataFrame, words: int, bits: int, radius: int, seed: int, unique: bool = False) -> DataFrame:
+    """fingerprint, component and component_id beside the columns of named but _body. With unique, wordless texts are a group of their own."""
     keep = tuple(c for c in named.columns if c != "_body")
-    prints, _ = materialize(fingerprints(named, "_body", words=words, bits=bits, seed=seed, keep=keep, apart=least is not None), "prints")
-    firsts = [F.min("doc_id").alias("first_id"), *([] if least is None else [F.min("body_key").alias("body_key")])]
-    each, _ = materialize(prints.groupBy("fingerprint").agg(*firsts), "distinct")
-    if least is None:
-        joined = links(each.select("fingerprint"), bits=bits, radius=radius)
-    else:
-        worded = each.where("fingerprint <> ''").select("fingerprint", "body_key")
-        joined = checked_links(worded, named.select("body_key", "_body"), words=words, bits=bits, radius=radius, seed=seed, least=least)
-    found = connected_components(joined)
+    prints, _ = materialize(fingerprints(named, "_body", words=words, bits=bits, seed=seed, keep=keep, unique=unique), "prints")
+    each, _ = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
+    found = connected_components(links(each.where("fingerprint <> ''").select("fingerprint"), bits=bits, radius=radius))
     members = each.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
     least_id, _ = materialize(members.groupBy("component").agg(F.min("first_id").alias("component_id")), "components")
     members, _ = materialize(members.join(least_id, "component").select("fingerprint", "component", "component_id"), "members")
     return prints.join(members, "fingerprint")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, bits: int = 512, radius: int = 102, seed: int = 42, least: float = 0.5) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, bits: int = 512, radius: int = 102, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the least id.
 
-    Texts are linked when their fingerprints over five-word shingles are 0.8 similar or more: at most radius of bits differ
-    (1 - 102 / 512 = 0.8), which estimates a cosine of the sets of shingles of 0.81. Texts that meet by chance are kept
-    apart by an exact check: each link's cosine has to be least or more. Null and wordless texts are one group, which no
-    other text joins; texts of equal fingerprints count as one. A null id is chosen only where its group has no other; rows
-    that repeat both id and text are cut to one. Columns and their names stay as they are.
+    Texts are linked when the fingerprints of their sets of five-word shingles are 0.8 similar or more: at most radius of
+    bits differ (1 - 102 / 512 = 0.8), which estimates a cosine of the sets of 0.81. Each different shingle counts once,
+    else texts that repeat one phrase would be alike by that phrase alone. Null and wordless texts are one group, which
+    no other text joins; texts of equal fingerprints count as one. A null id is chosen only where its group has no other;
+    rows that repeat both id and text are cut to one. Columns and their names stay as they are.
     """
     body = F.xxhash64(F.col(text))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body"), body.alias("body_key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "body_key"))
-    chosen = _grouped(named, words, bits, radius, seed, least).groupBy("component").agg(first.alias("first"))
+    chosen = _grouped(named, words, bits, radius, seed, unique=True).groupBy("component").agg(first.alias("first"))
     chosen, _ = materialize(chosen.select(F.col("first.doc_id").alias("_kept"), F.col("first.body_key").alias("_key")), "kept")
     same = lambda d, k: d[doc_id].eqNullSafe(k["_kept"]) & (F.xxhash64(d[text]) == k["_key"])
     alone = docs.join(chosen, same(docs, chosen), "left_semi")

@@ -78,15 +78,22 @@ def test_keep_one_keeps_unrelated_short_texts(spark):
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {0, *range(3, len(texts))}
 
 
-def test_failed_links_lose_no_others(spark):
-    # the forest of the prints hangs 2 and 3 on 1; 2 and 3 share their shingles, 1 shares none
-    words = [f"w{k}" for k in range(40)]
-    texts = [" ".join(f"x{k}" for k in range(40)), " ".join(words), " ".join([*words, "end"]), "else"]
-    keys = ["0" * 32, "0" * 31 + "1", "0" * 31 + "3", "f" * 32]
-    each = spark.createDataFrame(list(zip(keys, range(4))), "fingerprint string, body_key long")
-    bodies = spark.createDataFrame(list(zip(range(4), texts)), "body_key long, _body string")
-    found = simhash.checked_links(each, bodies, words=5, bits=128, radius=25, seed=42, least=0.7)
-    assert [set(r) for r in found.collect()] == [set(keys[1:3])]
+def test_two_step_comparison_finds_all_near_fingerprints():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, (150, 8), dtype=np.uint64)
+    flips = rng.integers(0, 2, (150, 8, 64)) * (rng.random((150, 8, 64)) < np.linspace(0, 0.6, 150)[:, None, None])
+    values = np.concatenate((base, base ^ np.packbits(flips.astype(np.uint8), axis=2).view(">u8")[:, :, 0].astype(np.uint64), ~base[:9]))
+    apart = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2, dtype=np.int64)
+    for radius in (0, 40, 102, 260):
+        found = set(zip(*(x.tolist() for x in simhash._within(values, values, radius))))
+        assert found == set(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
+
+
+def test_texts_that_repeat_one_phrase_are_not_alike(spark):
+    other = lambda k: " ".join(f"{chr(97 + w % 26)}{w}" for w in np.random.default_rng(k).integers(0, 10**9, 40))
+    texts = [f"{other(k)} " + "again " * 400 for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 20
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (5, 4), (9, 9), (None, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(49, 70), (70, 71)]])
