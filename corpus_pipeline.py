@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.llm import catalog, packing, quality, simhash, templates, toxicity
-from strideline.llm.common import materialize, table
+from strideline.llm.common import Scratch, materialize, table
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose fingerprints (512 bits over five-word shingles) are 0.8 similar or more."""
+    """Keeps one document of each group whose fingerprints (512 bits over sets of five-word shingles) are 0.8 similar or more."""
     return simhash.keep_one(docs)
 
 
@@ -57,7 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces. A stage's scratch tables go when its result is written, and that goes when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), "stage")
+        with Scratch(spark) as scratch:
+            docs, path = materialize(stage(spark, docs, sf_dir), "stage")
+        scratch.drop(keep=path)
+        if before:
+            before.drop()
+        before = scratch
     return docs
