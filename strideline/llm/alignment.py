@@ -3,12 +3,12 @@
 Both encodings of a text are ranges of the same bytes. The ranges of the second tokenizer's tokens (B) make a static
 interval index, sorted by start; bisecting it by the ends of a token of the first (A) lists the B tokens that it
 overlaps. A gap between two neighbouring B tokens that no A token spans is a border of groups; inside a group every A
-token is linked with every B token. _aligned() does that for one stretch of text.
+token is linked with every B token.
 
 Both tokenizers begin anew at a single space between two symbols that are no white space: A's pattern takes the space
-with what follows, and no piece of B has its mark after another symbol. So texts are cut there into stretches, a worker
-aligns each distinct stretch once, and a text's groups are its stretches' groups in order. Tokenizers of other make-up
-have whole texts as stretches.
+with what follows, and no piece of B has its mark after another symbol. So texts are cut there into stretches, a chunk
+of texts aligns each distinct stretch once, all in one index, and a text's groups are its stretches' groups in order.
+Tokenizers of other make-up have whole texts as stretches.
 
 The counts of pairs go over all documents. A task takes texts in chunks of bounded size and writes one row for each:
 its distinct stretches, their distinct pairs, and how often each document has each stretch. So a pair goes through the
@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import Memory, held, map_texts, materialize, release
+from strideline.llm.common import held, map_texts, materialize, release
 
-#: Bytes of text of a chunk, and Arrow's rows of chunks that a task holds at a time.
+#: Bytes of text of a chunk.
 AT_ONCE = 4_000_000
-#: Stretches that a Python worker remembers at most, and the bytes of one that is.
-REMEMBERED, LONGEST = 200_000, 64
+#: Stretches that are encoded as one text.
+TOGETHER = 4096
 #: Pairs of ids that are listed at a time.
 PAIRS_AT_ONCE = 1 << 20
 MARK = "▁"
@@ -60,11 +61,10 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Each A and each B token's group, from the byte offsets where the tokens end; both lists end with the last byte."""
     first = np.searchsorted(b_ends, np.concatenate(([0], a_ends[:-1])), "right")  # stabbing: the B tokens at a token's first byte
     last = np.searchsorted(b_ends, a_ends - 1, "right")  # and at its last
-    spans = np.zeros(len(b_ends) + 1, np.int64)  # how many A tokens span the gap before each B token
-    np.add.at(spans, first + 1, 1)
-    np.add.at(spans, last + 1, -1)
-    border = np.cumsum(spans[:-1]) == 0
-    border[0] = False
+    n = len(b_ends)
+    spans = np.cumsum(np.bincount(first + 1, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))  # how many A tokens span the gap before each B token
+    border = spans[:n] == 0
+    border[:1] = False
     of_b = np.cumsum(border)
     return of_b[first], of_b
 
@@ -75,37 +75,42 @@ def _distinct(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
-def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct linked pairs (A id << 32 | B id) and how many links each has; groups are listed by their distinct ids, PAIRS_AT_ONCE pairs or one group at a time."""
+def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owners (of the groups, in ascending order), their distinct linked pairs (A id << 32 | B id) and how many links each has; groups are listed by their distinct ids, PAIRS_AT_ONCE pairs or one group at a time."""
     ga, ia, na = _distinct(of_a, a)
     gb, ib, nb = _distinct(of_b, b)
     lo, hi = np.searchsorted(gb, ga), np.searchsorted(gb, ga, "right")
     total, at = np.cumsum(hi - lo), 0
-    keys, counts = [], []
+    found: list[tuple[np.ndarray, ...]] = []
     while at < len(ga):
         until = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE)))
         size = (hi - lo)[at:until]
-        left = np.repeat(np.arange(at, until), size)
-        right = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[left]
-        k, where = np.unique(ia[left] << 32 | ib[right], return_inverse=True)
-        keys.append(k)
-        counts.append(np.bincount(where, na[left] * nb[right], len(k)).astype(np.int64))
+        left, right = np.repeat(np.arange(at, until), size), _ragged(lo[at:until], size)
+        found.append(_summed(owner[ga[left]], ia[left] << 32 | ib[right], na[left] * nb[right]))
         at = until
-    if len(keys) == 1:
-        return keys[0], counts[0]
-    k, where = np.unique(np.concatenate(keys), return_inverse=True)
-    out = np.zeros(len(k), np.int64)
-    np.add.at(out, where, np.concatenate(counts))
-    return k, out
+    if len(found) > 1:
+        return _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return found[0] if found else (np.zeros(0, np.int64),) * 3
 
 
-class Stretch:
-    """What a stretch of text adds to its document; text is None where an encoding's bytes aren't the stretch's."""
+def _summed(owner: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal owner and pair as one, with the sum of their n."""
+    order = np.lexsort((pair, owner))
+    owner, pair = owner[order], pair[order]
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])))[: len(order)])
+    return owner[new], pair[new], np.add.reduceat(n[order], new) if len(new) else n
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "pairs", "counts", "text")
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, pairs: bytes, counts: bytes, text: bytes | None):
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.pairs, self.counts, self.text = n_a, n_b, n_groups, n_links, pairs, counts, text
+@dataclass
+class Aligned:
+    """Stretches' alignments: which are whole, n_a, n_b, n_groups and n_links of each, its groups as text (each ends in a semicolon), how many pairs it has, and all pairs with their links."""
+
+    whole: np.ndarray
+    numbers: np.ndarray
+    texts: pa.Array
+    widths: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
 
 
 class Aligner:
@@ -118,11 +123,14 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        symbols = _byte_symbols()
-        self.a_bytes: dict[int, bytes] = {}
-        for piece, k in self.a.get_vocab(with_added_tokens=False).items():
+        symbols, vocab = _byte_symbols(), self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for piece, k in vocab.items():
             self.a_bytes[k] = bytes(symbols[c] for c in piece)
         self.b_bytes = [self._b_bytes(k) for k in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # ids in decimal with what follows them: A's a comma or, last in its group, a bar; B's a comma or a semicolon
+        self.names = pa.array([f"{k}{mark}" for side in ((",", "|"), (",", ";")) for mark in side for k in range(len(self.a_bytes if side[1] == "|" else self.b_bytes))], pa.large_string())
         with open(a_path) as f:
             spec = json.load(f)
         cutter = spec.get("pre_tokenizer") or {}
@@ -132,7 +140,6 @@ class Aligner:
         probe = "Å Å ﬁ\t　x​  y "
         identity = self.b.decode(self.b.encode(probe)) == probe and self.b.id_to_piece(self.b.encode("a")[0]).startswith(MARK)
         self.cuts = byte_level and apart and identity
-        self.memory = Memory(REMEMBERED)
 
     def _b_bytes(self, k: int) -> bytes:
         if self.b.is_byte(k):
@@ -145,37 +152,65 @@ class Aligner:
             return [text]
         return _BORDER.split(text) if _ODD.search(text) else text.split(" ")
 
-    def align(self, new: list[str]) -> list[Stretch]:
-        a_ids = [x.ids for x in self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)]
-        return [self._aligned(" " + s, a, b) for s, a, b in zip(new, a_ids, self.b.encode(new, num_threads=1), strict=True)]
-
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> Stretch:
-        a_bytes, b_bytes, body = [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b], text.encode()
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A's and B's ids of a space and text; None where either's bytes are others."""
+        a, b, body = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text), b" " + text.encode()
+        a_bytes, b_bytes = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
         if b"".join(a_bytes) != body or b"".join(b_bytes) != body or not all(a_bytes) or not all(b_bytes):
-            return Stretch(0, 0, 0, 0, b"", b"", None)
-        if len(a) == 1 or len(b) == 1:  # one group
-            of_a, of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        else:
-            of_a, of_b = groups(np.cumsum([len(x) for x in a_bytes]), np.cumsum([len(x) for x in b_bytes]))
-        n = int(of_b[-1]) + 1
-        pairs, counts = linked(np.array(a, np.int64), np.array(b, np.int64), of_a, of_b)
-        at_a, at_b = ([0, *np.searchsorted(of, np.arange(n), "right").tolist()] for of in (of_a, of_b))
-        parts = (f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in zip(at_a, at_a[1:], at_b, at_b[1:]))
-        return Stretch(len(a), len(b), n, int(counts.sum()), pairs.tobytes(), counts.tobytes(), ";".join(parts).encode())
-
-    def known(self, stretches: list[str]) -> list[Stretch]:
-        """Each distinct stretch aligned; short ones are remembered."""
-        self.memory.turn()
-        now, recall = self.memory.now, self.memory.recall
-        found = [now.get(s) or recall(s) for s in stretches]
-        new = [k for k, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for k, x in zip(some, self.align([stretches[k] for k in some]), strict=True):
-                found[k] = x
-                if len(stretches[k]) <= LONGEST:
-                    now[stretches[k]] = x
-        return found
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _joined(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None:
+        """Ids, and how many of them each stretch has, of stretches encoded as one text; None where that isn't all of their bytes."""
+        found = self._encoded(" ".join(stretches))
+        if found is None:
+            return None
+        ends = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        counts = []
+        for ids, sizes in zip(found, (self.a_sizes, self.b_sizes), strict=True):
+            at = np.cumsum(sizes[ids])
+            last = np.searchsorted(at, ends)
+            if not np.array_equal(at[last], ends):
+                return None
+            counts.append(np.diff(last, prepend=-1))
+        return [(*found, *counts)]
+
+    def _all(self, stretches: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A's and B's ids of stretches, and how many of them each stretch has: 0 where an encoding's bytes are others. What begins and ends in symbols that are no white space is encoded together, as one text is cut there again."""
+        none, at = np.zeros(0, np.int64), 0
+        while at < len(stretches):
+            until = min(len(stretches), at + TOGETHER) if self.cuts else at + 1
+            some = stretches[at:until]
+            plain = self.cuts and not any(not s or s[0].isspace() or s[-1].isspace() or MARK in s for s in some)
+            joined = self._joined(some) if plain else None
+            if joined is None:
+                each = [self._encoded(s) or (none, none) for s in some]
+                joined = [(np.concatenate([x for x, _ in each]), np.concatenate([y for _, y in each]), np.array([len(x) for x, _ in each]), np.array([len(y) for _, y in each]))]
+            yield from joined
+            at = until
+
+    def align(self, stretches: list[str]) -> Aligned:
+        """All stretches, as one text of which those without tokens are left out: both tokenizers' tokens end where a stretch does."""
+        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*self._all(stretches), strict=True)) if stretches else (np.zeros(0, np.int64),) * 4
+        size = len(stretches)
+        of_a, of_b = groups(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])) if len(a) else (a, b)
+        n = int(of_b[-1]) + 1 if len(b) else 0
+        owner_b = np.repeat(np.arange(size), n_b)
+        firsts = np.flatnonzero(np.diff(of_b, prepend=-1))
+        owner = owner_b[firsts]  # of each group
+        stretch, pairs, links = linked(a, b, of_a, of_b, owner)
+        numbers = np.stack([n_a, n_b, np.bincount(owner, minlength=size), _sums(stretch, links, size)], axis=1).astype(np.int64).reshape(-1, 4)
+        # the texts: group by group A's names, then B's
+        in_a, in_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+        place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[of_a]
+        place_b = np.arange(len(b)) + np.cumsum(in_a)[of_b]
+        name = np.empty(len(a) + len(b), np.int64)
+        name[place_a] = a + len(self.a_bytes) * np.concatenate((of_a[1:] != of_a[:-1], [True]))[: len(a)]
+        name[place_b] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * np.concatenate((of_b[1:] != of_b[:-1], [True]))[: len(b)]
+        names = self.names.take(pa.array(name))
+        starts = np.concatenate(([0], np.cumsum(pc.binary_length(names).to_numpy(zero_copy_only=False))))[np.concatenate(([0], np.cumsum(n_a + n_b)))]
+        texts = pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(starts.astype(np.int64)), names.buffers()[2]])
+        return Aligned(n_a > 0, numbers, texts, np.bincount(stretch, minlength=size), pairs, links)
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -187,32 +222,28 @@ def _chunk(aligner: Aligner, texts: list[str]) -> dict:
     """A chunk's row: the documents' columns; stretch and times (of each document, sizes long); pair and links (of each stretch, widths long); the distinct pairs and how many documents have each."""
     cut = [aligner.stretches(t) if t else [] for t in texts]
     coded = pa.array([s for c in cut for s in c], pa.large_string()).dictionary_encode()
-    found = aligner.known(coded.dictionary.to_pylist())
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-    bad = np.zeros(len(texts), bool)
-    whole = np.array([s.text is not None for s in found], bool)
-    bad[doc[~whole[codes]]] = True
-    numbers = np.array([(s.n_a, s.n_b, s.n_groups, s.n_links) for s in found], np.int64).reshape(-1, 4)
-    totals = np.zeros((len(texts), 4), np.int64)
-    body, at, sha = [s.text for s in found], 0, []
-    listed = codes.tolist()
-    for k, c in enumerate(cut):
-        mine = listed[at : at + len(c)]
-        at += len(c)
-        if not c or bad[k]:
-            sha.append("")
-            continue
-        totals[k] = numbers[codes[at - len(c) : at]].sum(axis=0)
-        sha.append(hashlib.sha256(b";".join([body[x] for x in mine])).hexdigest())
+    spelled = coded.dictionary.to_pylist()
+    odd = np.array([not s or s[0].isspace() or s[-1].isspace() or MARK in s for s in spelled], bool)
+    order = np.argsort(odd, kind="stable")  # what can't be encoded together comes last
+    found = aligner.align([spelled[k] for k in order])
+    renamed = np.empty(len(order), np.int64)
+    renamed[order] = np.arange(len(order))
+    codes = renamed[coded.indices.to_numpy(zero_copy_only=False)]
+    lengths = np.array([len(c) for c in cut], np.int64)
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    bad = lengths == 0
+    bad[doc[~found.whole[codes]]] = True
     good = ~bad[doc]
-    size = max(1, len(found))
+    totals = np.stack([_sums(doc[good], found.numbers[codes[good], k], len(texts)) for k in range(4)], axis=1)
+    said = found.texts.take(pa.array(codes[good]))
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(said).to_numpy(zero_copy_only=False))))[np.concatenate(([0], np.cumsum(np.where(bad, 0, lengths))))].tolist()
+    body = memoryview(said.buffers()[2] or b"")
+    sha = ["" if a == b else hashlib.sha256(body[a : b - 1]).hexdigest() for a, b in zip(ends, ends[1:])]
+    size = max(1, len(spelled))
     keys, times = np.unique(doc[good] * size + codes[good], return_counts=True)
     owner, stretch = keys // size, keys % size
-    widths = np.array([len(s.pairs) // 8 for s in found], np.int64)
-    pairs, pair = np.unique(np.frombuffer(b"".join(s.pairs for s in found), np.int64), return_inverse=True)
-    links = np.frombuffer(b"".join(s.counts for s in found), np.int64)
-    each = np.repeat(owner, widths[stretch]) * max(1, len(pairs)) + pair[_ragged((np.cumsum(widths) - widths)[stretch], widths[stretch])]
+    pairs, pair = np.unique(found.pairs, return_inverse=True)
+    each = np.repeat(owner, found.widths[stretch]) * max(1, len(pairs)) + pair[_ragged((np.cumsum(found.widths) - found.widths)[stretch], found.widths[stretch])]
     holders = np.bincount(np.unique(each) % max(1, len(pairs)), minlength=len(pairs))
     small = lambda x: x.astype("<u4").tobytes()
     return {
@@ -221,9 +252,9 @@ def _chunk(aligner: Aligner, texts: list[str]) -> dict:
         "sizes": small(np.bincount(owner, minlength=len(texts))),
         "stretch": small(stretch),
         "times": small(times),
-        "widths": small(widths),
+        "widths": small(found.widths),
         "pair": small(pair),
-        "links": links.astype("<i8").tobytes(),
+        "links": found.links.astype("<i8").tobytes(),
         "pairs": pairs.astype("<i8").tobytes(),
         "holders": small(holders),
     }

@@ -92,18 +92,23 @@ def test_odd_texts(spark, libraries):
     assert empty.count() == 0 and pairs_of_none.count() == 0
 
 
-def test_stretches_equal_whole_texts(libraries):
+def test_stretches_equal_whole_texts(libraries, monkeypatch):
     """Random texts of many kinds of white space, marks and scripts, cut or not."""
     aligner, draw = alignment.Aligner(A, B), random.Random(7)
     assert aligner.cuts
     symbols = [" ", " ", " ", "  ", "\n", "\t", " ", "　", " ", "\u0085", "\x1f", "​", "᠎", "a", "the", "The", "'s", "'", "n't", "12", "7", "é", "ß", "日本", "и", "☃", "😀", ".", "...", "--", "_", "\x00", "<s>", "<|endoftext|>", "▁"]
-    for _ in range(3000):
-        text = "".join(draw.choice(symbols) for _ in range(draw.randint(1, 14)))
-        found = aligner.known(aligner.stretches(text))
-        groups = whole(libraries, text)
-        want = ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups)
-        got = "" if any(s.text is None for s in found) else ";".join(s.text.decode() for s in found)
-        assert got == want, repr(text)
+    texts = ["".join(draw.choice(symbols) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    cut = [aligner.stretches(t) for t in texts]
+    for together in (4096, 5):
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        found = aligner.align([s for c in cut for s in c])
+        said, whole_ones, at = found.texts.to_pylist(), found.whole.tolist(), 0
+        for text, c in zip(texts, cut, strict=True):
+            mine = slice(at, at + len(c))
+            at += len(c)
+            want = ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in whole(libraries, text))
+            got = b"".join(said[mine]).decode()[:-1] if all(whole_ones[mine]) else ""
+            assert got == want, repr(text)
 
 
 def test_groups_by_interval_index():
@@ -126,6 +131,8 @@ def test_linked_counts_all_pairs(monkeypatch, at_once):
         n = int(draw.integers(1, 5))
         of_a, of_b = (np.sort(np.concatenate((np.arange(n), draw.integers(0, n, 9)))) for _ in range(2))
         a, b = draw.integers(0, 4, len(of_a)), draw.integers(0, 4, len(of_b))
-        want = Counter((x, y) for x, g in zip(a.tolist(), of_a) for y, h in zip(b.tolist(), of_b) if g == h)
-        pairs, counts = alignment.linked(a, b, of_a, of_b)
-        assert {(p >> 32, p & 0xFFFFFFFF): c for p, c in zip(pairs.tolist(), counts.tolist())} == want
+        owner = np.sort(draw.integers(0, 3, n))
+        want = Counter((o, x, y) for x, g in zip(a.tolist(), of_a) for y, h in zip(b.tolist(), of_b) if g == h for o in (int(owner[g]),))
+        owners, pairs, counts = alignment.linked(a, b, of_a, of_b, owner)
+        assert {(o, p >> 32, p & 0xFFFFFFFF): c for o, p, c in zip(owners.tolist(), pairs.tolist(), counts.tolist())} == want
+        assert owners.tolist() == sorted(owners.tolist())
