@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from strideline.llm.common import held, map_texts, materialize, release
 
 #: Bytes of text of a chunk.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: Stretches that are encoded as one text.
 TOGETHER = 4096
 #: Pairs of ids that are listed at a time.
@@ -146,11 +147,15 @@ class Aligner:
             return bytes([int(self.b.id_to_piece(k)[3:5], 16)])
         return b"" if self.b.is_control(k) or self.b.is_unknown(k) else self.b.id_to_piece(k).replace(MARK, " ").encode()
 
-    def stretches(self, text: str) -> list[str]:
-        """A text's stretches, each without the space before it (the first one's is the added space)."""
+    def stretches(self, text: str) -> tuple[list[str], set[str]]:
+        """A text's stretches, each without the space before it (the first one's is the added space), and those that can't be encoded together with others: they hold B's mark, or white space where they begin or end."""
         if not self.cuts:
-            return [text]
-        return _BORDER.split(text) if _ODD.search(text) else text.split(" ")
+            return [text], {text}
+        marked = MARK in text
+        if not marked and not _ODD.search(text):
+            return text.split(" "), set()
+        found = _BORDER.split(text)
+        return found, {s for s in (found if marked else (found[0], found[-1])) if not s or s[0].isspace() or s[-1].isspace() or MARK in s}
 
     def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """A's and B's ids of a space and text; None where either's bytes are others."""
@@ -160,12 +165,12 @@ class Aligner:
             return None
         return np.array(a, np.int64), np.array(b, np.int64)
 
-    def _joined(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None:
+    def _joined(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids, and how many of them each stretch has, of stretches encoded as one text; None where that isn't all of their bytes."""
-        found = self._encoded(" ".join(stretches))
+        found = self._encoded(" ".join(stretches.to_pylist()))
         if found is None:
             return None
-        ends = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        ends = np.cumsum(pc.binary_length(stretches).to_numpy(zero_copy_only=False) + 1)
         counts = []
         for ids, sizes in zip(found, (self.a_sizes, self.b_sizes), strict=True):
             at = np.cumsum(sizes[ids])
@@ -173,25 +178,24 @@ class Aligner:
             if not np.array_equal(at[last], ends):
                 return None
             counts.append(np.diff(last, prepend=-1))
-        return [(*found, *counts)]
+        return (*found, *counts)
 
-    def _all(self, stretches: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """A's and B's ids of stretches, and how many of them each stretch has: 0 where an encoding's bytes are others. What begins and ends in symbols that are no white space is encoded together, as one text is cut there again."""
+    def _all(self, stretches: pa.Array, together: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """A's and B's ids of stretches, and how many of them each stretch has: 0 where an encoding's bytes are others. So many of the first are encoded together, as one text is cut there again."""
         none, at = np.zeros(0, np.int64), 0
         while at < len(stretches):
-            until = min(len(stretches), at + TOGETHER) if self.cuts else at + 1
+            until = min(together, at + TOGETHER) if at < together else len(stretches)
             some = stretches[at:until]
-            plain = self.cuts and not any(not s or s[0].isspace() or s[-1].isspace() or MARK in s for s in some)
-            joined = self._joined(some) if plain else None
+            joined = self._joined(some) if at < together else None
             if joined is None:
-                each = [self._encoded(s) or (none, none) for s in some]
-                joined = [(np.concatenate([x for x, _ in each]), np.concatenate([y for _, y in each]), np.array([len(x) for x, _ in each]), np.array([len(y) for _, y in each]))]
-            yield from joined
+                each = [self._encoded(s) or (none, none) for s in some.to_pylist()]
+                joined = np.concatenate([x for x, _ in each]), np.concatenate([y for _, y in each]), np.array([len(x) for x, _ in each]), np.array([len(y) for _, y in each])
+            yield joined
             at = until
 
-    def align(self, stretches: list[str]) -> Aligned:
+    def align(self, stretches: pa.Array, together: int) -> Aligned:
         """All stretches, as one text of which those without tokens are left out: both tokenizers' tokens end where a stretch does."""
-        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*self._all(stretches), strict=True)) if stretches else (np.zeros(0, np.int64),) * 4
+        a, b, n_a, n_b = (np.concatenate(x) for x in zip(*self._all(stretches, together), strict=True)) if len(stretches) else (np.zeros(0, np.int64),) * 4
         size = len(stretches)
         of_a, of_b = groups(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])) if len(a) else (a, b)
         n = int(of_b[-1]) + 1 if len(b) else 0
@@ -218,14 +222,25 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed, after their number."""
+    return struct.pack("<q", values.nbytes) + pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(pa.decompress(data[8:], struct.unpack("<q", data[:8])[0], "zstd"), kind).astype(np.int64)
+
+
 def _chunk(aligner: Aligner, texts: list[str]) -> dict:
     """A chunk's row: the documents' columns; stretch and times (of each document, sizes long); pair and links (of each stretch, widths long); the distinct pairs and how many documents have each."""
-    cut = [aligner.stretches(t) if t else [] for t in texts]
+    found_in = [aligner.stretches(t) if t else ([], set()) for t in texts]
+    cut, alone = [c for c, _ in found_in], set().union(*(x for _, x in found_in))
     coded = pa.array([s for c in cut for s in c], pa.large_string()).dictionary_encode()
-    spelled = coded.dictionary.to_pylist()
-    odd = np.array([not s or s[0].isspace() or s[-1].isspace() or MARK in s for s in spelled], bool)
+    spelled = coded.dictionary
+    odd = pc.is_in(spelled, pa.array(list(alone), pa.large_string())).to_numpy(zero_copy_only=False)
     order = np.argsort(odd, kind="stable")  # what can't be encoded together comes last
-    found = aligner.align([spelled[k] for k in order])
+    found = aligner.align(spelled.take(pa.array(order)), len(order) - int(odd.sum()))
     renamed = np.empty(len(order), np.int64)
     renamed[order] = np.arange(len(order))
     codes = renamed[coded.indices.to_numpy(zero_copy_only=False)]
@@ -245,7 +260,7 @@ def _chunk(aligner: Aligner, texts: list[str]) -> dict:
     pairs, pair = np.unique(found.pairs, return_inverse=True)
     each = np.repeat(owner, found.widths[stretch]) * max(1, len(pairs)) + pair[_ragged((np.cumsum(found.widths) - found.widths)[stretch], found.widths[stretch])]
     holders = np.bincount(np.unique(each) % max(1, len(pairs)), minlength=len(pairs))
-    small = lambda x: x.astype("<u4").tobytes()
+    small = lambda x: _packed(x.astype("<u4"))
     return {
         **{name: totals[:, k] for k, (name, _) in enumerate(_ROW)},
         "sha": sha,
@@ -254,8 +269,8 @@ def _chunk(aligner: Aligner, texts: list[str]) -> dict:
         "times": small(times),
         "widths": small(found.widths),
         "pair": small(pair),
-        "links": found.links.astype("<i8").tobytes(),
-        "pairs": pairs.astype("<i8").tobytes(),
+        "links": _packed(found.links.astype("<i8")),
+        "pairs": _packed(pairs.astype("<i8")),
         "holders": small(holders),
     }
 
@@ -293,9 +308,9 @@ def _held_pairs(rows: DataFrame) -> DataFrame:
         release()
         for batch in batches:
             for chunk, pairs, holders in zip(*batch.columns, strict=True):
-                p, n = np.frombuffer(pairs.as_buffer(), "<i8"), np.frombuffer(holders.as_buffer(), "<u4")
+                p, n = _unpacked(pairs, "<i8"), _unpacked(holders, "<u4")
                 if len(p):
-                    columns = [np.full(len(p), chunk.as_py()), np.arange(len(p), dtype=np.int32), (p >> 32).astype(np.int32), (p & 0xFFFFFFFF).astype(np.int32), n.astype(np.int64)]
+                    columns = [np.full(len(p), chunk.as_py()), np.arange(len(p), dtype=np.int32), (p >> 32).astype(np.int32), (p & 0xFFFFFFFF).astype(np.int32), n]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "place", "a", "b", "documents"])
 
     return map_texts(rows.select("chunk", "pairs", "holders"), run, "chunk long, place int, a int, b int, documents long").where("documents > 0")
@@ -333,8 +348,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
         for batch in batches:
             for k in range(len(batch)):
                 row = {n: batch.column(n)[k] for n in batch.schema.names}
-                sizes, stretch, times, widths, pair, holders = (np.frombuffer(row[n].as_buffer(), "<u4").astype(np.int64) for n in ("sizes", "stretch", "times", "widths", "pair", "holders"))
-                links = np.frombuffer(row["links"].as_buffer(), "<i8")
+                sizes, stretch, times, widths, pair, holders = (_unpacked(row[n], "<u4") for n in ("sizes", "stretch", "times", "widths", "pair", "holders"))
+                links = _unpacked(row["links"], "<i8")
                 count, best = np.zeros(len(holders), np.int64), np.zeros(len(holders), np.int64)
                 if row["known"].is_valid:
                     found = row["known"].values
