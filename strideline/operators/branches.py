@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from strideline.functions.geometry import circular_mean, length
 from strideline.operators import clustering
-from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decided, directions, frame
+from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decided, directions, scan
 from strideline.plans.params import Decision, Junction
 
 
 def centers_table(spark: SparkSession, at: dict[int, Sequence[Sequence[float]]]) -> DataFrame:
-    """junction, branch, ux, uz from lists of unit vectors."""
-    return spark.createDataFrame([(j, k, float(u[0]), float(u[1])) for j, vs in at.items() for k, u in enumerate(vs)], "junction int, branch int, ux double, uz double")
+    """junction, branch, ux, uz from lists of unit vectors, as literals whose size Spark knows when it chooses joins."""
+    rows = [F.struct(F.lit(j).alias("junction"), F.lit(k).alias("branch"), F.lit(float(u[0])).alias("ux"), F.lit(float(u[1])).alias("uz")) for j, vs in at.items() for k, u in enumerate(vs)]
+    return spark.range(1).select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], "junction int, branch int, ux double, uz double")
 
 
 def assign(vectors: DataFrame, centers: DataFrame, angle_eps: float = 15.0) -> DataFrame:
@@ -24,13 +25,18 @@ def assign(vectors: DataFrame, centers: DataFrame, angle_eps: float = 15.0) -> D
 
     -2: never entered; -1: no direction, no centre, or none within angle_eps degrees. Of equal centres the lower branch.
     """
-    pairs = vectors.join(F.broadcast(centers), "junction", "left").withColumn("dot", F.col("vx") * F.col("ux") + F.col("vz") * F.col("uz"))
-    ranked = F.slice(F.sort_array(F.collect_list(F.when(F.col("dot").isNotNull(), F.struct("dot", (-F.col("branch")).alias("turn")))), asc=False), 1, 2)  # a junction has few centres
-    g = pairs.groupBy(*KEYS).agg(F.first("entered").alias("entered"), ranked.alias("best"))
-    dot = F.get("best", F.lit(0))["dot"]
-    branch = F.when(~F.col("entered"), NO_ENTRY).when(dot >= math.cos(math.radians(angle_eps)), -F.get("best", F.lit(0))["turn"]).otherwise(NO_BRANCH)
-    second = F.get("best", F.lit(1))
-    return g.select(*KEYS, branch.cast("int").alias("branch"), dot.alias("best_dot"), F.coalesce(-second["turn"], F.lit(-1)).cast("int").alias("second_branch"), second["dot"].alias("second_dot"))
+    return with_branch(vectors, centers, angle_eps).select(*KEYS, "branch", "best_dot", "second_branch", "second_dot")
+
+
+def with_branch(vectors: DataFrame, centers: DataFrame, angle_eps: float = 15.0) -> DataFrame:
+    """vectors (with entered, vx and vz) beside assign()'s branch, best_dot, second_branch, second_dot. A junction's centres, which are few, are one row, so that vectors keep theirs."""
+    some = centers.groupBy(F.col("junction").alias("_of")).agg(F.collect_list(F.struct("branch", "ux", "uz")).alias("_centers"))
+    both = vectors.join(some, F.col("junction") == F.col("_of"), "left")
+    dots = F.transform("_centers", lambda c: F.struct((F.col("vx") * c["ux"] + F.col("vz") * c["uz"]).alias("dot"), (-c["branch"]).alias("turn")))
+    both = both.withColumn("_best", F.slice(F.sort_array(F.filter(dots, lambda d: d["dot"].isNotNull()), asc=False), 1, 2))
+    best, second = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
+    branch = F.when(~F.col("entered"), NO_ENTRY).when(best["dot"] >= math.cos(math.radians(angle_eps)), -best["turn"]).otherwise(NO_BRANCH)
+    return both.withColumns({"branch": branch.cast("int"), "best_dot": best["dot"], "second_branch": F.coalesce(-second["turn"], F.lit(-1)).cast("int"), "second_dot": second["dot"]}).drop("_of", "_centers", "_best")
 
 
 def summary(assignments: DataFrame, *, every: bool = False) -> DataFrame:
@@ -90,7 +96,7 @@ def discover(points: DataFrame, at: Sequence[Junction], how: Decision = Decision
     (k by silhouette) on one row per trajectory in a group.
     """
     how = how.checked(at)
-    found = decided(frame(points, at, how), how)
+    found = decided(scan(points, at, how), how)
     if method == "dbscan":
         labels = clustering.dbscan(found, eps=eps, min_samples=min_samples)
     elif method in ("kmeans", "auto"):
@@ -108,7 +114,7 @@ def discover(points: DataFrame, at: Sequence[Junction], how: Decision = Decision
 def rediscover(points: DataFrame, known: DataFrame, at: Sequence[Junction], assigned: DataFrame, how: Decision, **settings) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """discover() over known and new points together, if the new ones that fit no centre form a cluster of their own; else None."""
     lost = assigned.where(f"branch = {NO_BRANCH}").select(*KEYS)
-    vectors = directions(frame(points, at, how), how).where("usable").join(lost, list(KEYS), "left_semi")
+    vectors = directions(scan(points, at, how), how).where("usable").join(lost, list(KEYS), "left_semi")
     new = clustering.dbscan(vectors, eps=settings.get("eps", 15.0), min_samples=settings.get("min_samples", 5))
     if new.where("branch >= 0").isEmpty():
         return None
@@ -171,7 +177,7 @@ def missing_columns(chains: DataFrame, junctions: Sequence[int]) -> list[str]:
 
 def branch_directions(assignments: DataFrame, points: DataFrame, at: DataFrame) -> DataFrame:
     """junction, branch, ux, uz, turn: the mean direction of each branch's decision points, and its place in their order by angle."""
-    both = assignments.where("branch >= 0").join(points.where("decision_idx is not null"), list(KEYS)).join(F.broadcast(at.select("junction", "cx", "cz")), "junction")
+    both = assignments.where("branch >= 0").join(points.where("decision_idx is not null"), list(KEYS)).join(at.select("junction", "cx", "cz"), "junction")
     dx, dz = F.col("intercept_x") - F.col("cx"), F.col("intercept_z") - F.col("cz")
     g = both.groupBy("junction", "branch").agg(F.avg(dx).alias("mx"), F.avg(dz).alias("mz"), circular_mean(F.atan2(dx, dz)).alias("mean_yaw"))
     size = length(F.col("mx"), F.col("mz"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import length, wrapped, yaw
-from strideline.operators.decisions import KEYS, decision_index
+from strideline.operators.branches import with_branch
+from strideline.operators.decisions import KEYS, decision_index, per_pair, with_directions
 from strideline.operators.metrics import quantiles
+from strideline.plans.params import Decision
 
 
 def _mean_pupil() -> Column:
@@ -23,46 +27,75 @@ def _decided(rows: DataFrame, decisions: DataFrame | str) -> DataFrame:
     return rows.drop("branch", "decision_idx").join(decisions.where("decision_idx is not null").select(*KEYS, "decision_idx"), list(KEYS))
 
 
-def head_yaw(rows: DataFrame, decisions: DataFrame | str, assignments: DataFrame, *, within: int = 200) -> DataFrame:
-    """trajectory, junction, branch, decision_idx, valid_idx, head_yaw, movement_yaw, yaw_difference, heart_rate, pupil at the decisions of assigned trajectories.
+class Known(NamedTuple):
+    """Branches by known centres, which are assigned in the same aggregation as what is asked about them."""
 
-    The head's sample is the nearest one with a forward vector, at most `within` rows away, the earlier of two; the
-    movement is the central difference about the decision.
-    """
-    w = Window.partitionBy(*KEYS).orderBy("idx")
+    centers: DataFrame
+    how: Decision
+    angle_eps: float = 15.0
+
+
+def at_decisions(rows: DataFrame, decisions: DataFrame | str, known: Known | None = None, *, within: int = 200, near: float = 2.0, far: float = 5.0, window: float = 3.0, last: int = 10) -> DataFrame:
+    """What head_yaw(), physiology() and pupil_windows() say about each trajectory and junction with a decision, from one aggregation of a frame; what is not selected of it is not computed. With known, branch too."""
+    w, whole = Window.partitionBy(*KEYS).orderBy("idx"), Window.partitionBy(*KEYS)
     move = {"mx": F.lead("x").over(w) - F.lag("x").over(w), "mz": F.lead("z").over(w) - F.lag("z").over(w)}
     both = _decided(rows.withColumns(move), decisions)
+    at = lambda i: F.max(F.when(F.col("idx") == i, F.col("t"))).over(whole)
+    both = both.withColumns({"t_in": at(F.col("start")), "t_dec": at(F.col("decision_idx")), "pupil": _mean_pupil()})
+    both = both.withColumn("_early", F.col("pupil").isNotNull() & (F.col("t") < F.col("t_dec") - window))
+    both = both.withColumn("_rank", F.row_number().over(Window.partitionBy(*KEYS, "_early").orderBy(F.desc("idx"))))
     off = F.abs(F.col("idx") - F.col("decision_idx"))
     valid = F.col("head_forward_x").isNotNull() & F.col("head_forward_z").isNotNull() & (off <= within)
-    sample = F.struct(off.alias("off"), "idx", "head_forward_x", "head_forward_z", "heart_rate", _mean_pupil().alias("pupil"))
+    sample = F.struct(off.alias("off"), "idx", "head_forward_x", "head_forward_z", "heart_rate", "pupil")
     here = F.when((off == 0) & (length(F.col("mx"), F.col("mz")) > 1e-6), F.struct("mx", "mz"))
-    g = both.groupBy(*KEYS, "decision_idx").agg(F.min(F.when(valid, sample)).alias("s"), F.max(here).alias("m"))
-    g = g.join(assignments.where("branch >= 0").select(*KEYS, "branch"), list(KEYS))
-    head, movement = yaw(F.col("s.head_forward_x"), F.col("s.head_forward_z")), yaw(F.col("m.mx"), F.col("m.mz"))
-    return g.select(*KEYS, "branch", "decision_idx", F.col("s.idx").alias("valid_idx"), head.alias("head_yaw"), movement.alias("movement_yaw"), wrapped(head - movement).alias("yaw_difference"), F.col("s.heart_rate").alias("heart_rate"), F.col("s.pupil").alias("pupil"))
+    t = F.col("t")
+    base, choice = t.between(F.col("t_in") - far, F.col("t_in") - near), t.between(F.col("t_in"), F.col("t_dec"))
+    close = t.between(F.col("t_dec") - window, F.col("t_dec") + window)
+    facts = [
+        F.min(F.when(valid, sample)).alias("_sample"), F.max(here).alias("_move"), F.first("decision_idx").alias("decision_idx"),
+        *[F.avg(F.when(when, F.col(c))).alias(f"_{c}_{n}") for c in ("heart_rate", "pupil") for n, when in (("baseline", base), ("decision", choice))],
+        F.avg(F.when(F.col("_early") & (F.col("_rank") <= last), F.col("pupil"))).alias("_late_pupil"), F.avg(F.when(close, F.col("pupil"))).alias("_near_pupil"),
+    ]
+    if known is None:
+        return both.groupBy(*KEYS).agg(*facts)
+    return with_branch(with_directions(per_pair(both, known.how, *facts), known.how), known.centers, known.angle_eps)
+
+
+def _yaw_columns() -> list[Column]:
+    head, movement = yaw(F.col("_sample.head_forward_x"), F.col("_sample.head_forward_z")), yaw(F.col("_move.mx"), F.col("_move.mz"))
+    return [F.col("_sample.idx").alias("valid_idx"), head.alias("head_yaw"), movement.alias("movement_yaw"), wrapped(head - movement).alias("yaw_difference"), F.col("_sample.heart_rate").alias("heart_rate"), F.col("_sample.pupil").alias("pupil")]
+
+
+def _physiology_columns() -> list[Column]:
+    own = lambda c, n: F.col(f"_{c}_{n}")
+    return [*[own(c, n).alias(f"{c}_{n}") for c in ("heart_rate", "pupil") for n in ("baseline", "decision")], *[(own(c, "decision") - own(c, "baseline")).alias(f"{c}_change") for c in ("heart_rate", "pupil")]]
+
+
+def _pupil_columns() -> list[Column]:
+    return [F.col("_late_pupil").alias("pupil_baseline"), F.col("_near_pupil").alias("pupil_decision"), (F.col("_near_pupil") - F.col("_late_pupil")).alias("pupil_change")]
+
+
+def head_yaw(rows: DataFrame, decisions: DataFrame | str, assignments: DataFrame | Known, *, within: int = 200) -> DataFrame:
+    """trajectory, junction, branch, decision_idx, valid_idx, head_yaw, movement_yaw, yaw_difference, heart_rate, pupil at the decisions of assigned trajectories.
+
+    The head's sample is the nearest one with a forward vector, at most `within` rows away, the earlier of two; the
+    movement is the central difference about the decision. A table of assignments is joined; Known ones need no join.
+    """
+    if isinstance(assignments, Known):
+        g = at_decisions(rows, decisions, assignments, within=within).where("branch >= 0")
+    else:
+        g = at_decisions(rows, decisions, within=within).join(assignments.where("branch >= 0").select(*KEYS, "branch"), list(KEYS))
+    return g.select(*KEYS, "branch", "decision_idx", *_yaw_columns())
 
 
 def physiology(rows: DataFrame, decisions: DataFrame | str, *, near: float = 2.0, far: float = 5.0) -> DataFrame:
     """trajectory, junction and baseline, decision and change of heart rate and pupil: means over [entry - far, entry - near] and over entry to decision."""
-    both = _decided(rows, decisions)
-    whole = Window.partitionBy(*KEYS)
-    at = lambda i: F.max(F.when(F.col("idx") == i, F.col("t"))).over(whole)
-    both = both.withColumns({"t_in": at(F.col("start")), "t_dec": at(F.col("decision_idx")), "pupil": _mean_pupil()})
-    base, choice = F.col("t").between(F.col("t_in") - far, F.col("t_in") - near), F.col("t").between(F.col("t_in"), F.col("t_dec"))
-    g = both.groupBy(*KEYS).agg(*[F.avg(F.when(when, F.col(c))).alias(f"{c}_{n}") for c in ("heart_rate", "pupil") for n, when in (("baseline", base), ("decision", choice))])
-    return g.withColumns({f"{c}_change": F.col(f"{c}_decision") - F.col(f"{c}_baseline") for c in ("heart_rate", "pupil")})
+    return at_decisions(rows, decisions, near=near, far=far).select(*KEYS, *_physiology_columns())
 
 
 def pupil_windows(rows: DataFrame, decisions: DataFrame | str, *, window: float = 3.0, last: int = 10) -> DataFrame:
     """trajectory, junction, pupil_baseline, pupil_decision, pupil_change: means over the decision's time plus and minus window, and over the last ten valid samples before that."""
-    both = _decided(rows, decisions).withColumn("pupil", _mean_pupil())
-    both = both.withColumn("t_dec", F.max(F.when(F.col("idx") == F.col("decision_idx"), F.col("t"))).over(Window.partitionBy(*KEYS)))
-    early = F.col("pupil").isNotNull() & (F.col("t") < F.col("t_dec") - window)
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "_early").orderBy(F.desc("idx")))
-    both = both.withColumn("_early", early).withColumn("_rank", rank)
-    near = F.col("t").between(F.col("t_dec") - window, F.col("t_dec") + window)
-    g = both.groupBy(*KEYS).agg(F.avg(F.when(F.col("_early") & (F.col("_rank") <= last), F.col("pupil"))).alias("pupil_baseline"), F.avg(F.when(near, F.col("pupil"))).alias("pupil_decision"))
-    return g.withColumn("pupil_change", F.col("pupil_decision") - F.col("pupil_baseline"))
+    return at_decisions(rows, decisions, window=window, last=last).select(*KEYS, *_pupil_columns())
 
 
 def consistency(yaws: DataFrame, *by: str, limit: float = 30.0) -> DataFrame:
@@ -73,8 +106,8 @@ def consistency(yaws: DataFrame, *by: str, limit: float = 30.0) -> DataFrame:
 
 def mismatches(points: DataFrame, assignments: DataFrame, centers: DataFrame, at: DataFrame) -> DataFrame:
     """junction, n, mismatch_rate: how often the centre nearest to a decision point's direction is not the assigned branch."""
-    both = points.where("intercept_x is not null").join(assignments.where("branch >= 0"), list(KEYS)).join(F.broadcast(at.select("junction", "cx", "cz")), "junction")
-    near = both.join(F.broadcast(centers.select("junction", F.col("branch").alias("center"), "ux", "uz")), "junction").withColumn("dot", (F.col("intercept_x") - F.col("cx")) * F.col("ux") + (F.col("intercept_z") - F.col("cz")) * F.col("uz"))
+    both = points.where("intercept_x is not null").join(assignments.where("branch >= 0"), list(KEYS)).join(at.select("junction", "cx", "cz"), "junction")
+    near = both.join(centers.select("junction", F.col("branch").alias("center"), "ux", "uz"), "junction").withColumn("dot", (F.col("intercept_x") - F.col("cx")) * F.col("ux") + (F.col("intercept_z") - F.col("cz")) * F.col("uz"))
     best = near.groupBy(*KEYS, "branch").agg((-F.max(F.struct("dot", (-F.col("center")).alias("turn")))["turn"]).alias("center"))
     return best.groupBy("junction").agg(F.count("*").alias("n"), F.avg((F.col("center") != F.col("branch")).cast("double")).alias("mismatch_rate"))
 
@@ -107,12 +140,12 @@ def movement_of_visits(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return both.select(*KEYS, "visit", "decision_idx", "n", (F.col("idx") / F.col("n")).alias("progress"), "movement_yaw", "approach_yaw", "exit_yaw", F.col("dist").alias("distance"), "x", "z", "t")
 
 
-def headlines(yaws: DataFrame, physio: DataFrame, pupils: DataFrame) -> DataFrame:
-    """Plain means over all rows with a value, also of angles: heart_rate_change, pupil_change, pupil_baseline, pupil_decision, head_yaw, yaw_difference; and measurements, the rows of physio."""
-    a = physio.agg(F.avg("heart_rate_change").alias("heart_rate_change"), F.count("*").alias("measurements"))
-    b = pupils.agg(*[F.avg(c).alias(c) for c in ("pupil_baseline", "pupil_decision", "pupil_change")])
-    c = yaws.agg(F.avg("head_yaw").alias("head_yaw"), F.avg("yaw_difference").alias("yaw_difference"))
-    return a.crossJoin(b).crossJoin(c)  # a row each
+def headlines(found: DataFrame) -> DataFrame:
+    """Plain means over all rows with a value, also of angles, of at_decisions() with Known branches: heart_rate_change, pupil_change, pupil_baseline, pupil_decision; of those with a branch head_yaw and yaw_difference; and measurements, the rows."""
+    assigned = lambda c: F.when(F.col("branch") >= 0, c)
+    named = dict(zip(("valid_idx", "head_yaw", "movement_yaw", "yaw_difference"), _yaw_columns()))
+    change = _physiology_columns()[4]
+    return found.agg(F.avg(change).alias("heart_rate_change"), F.count("*").alias("measurements"), *[F.avg(c).alias(n) for n, c in zip(("pupil_baseline", "pupil_decision", "pupil_change"), _pupil_columns())], *[F.avg(assigned(named[n])).alias(n) for n in ("head_yaw", "yaw_difference")])
 
 
 def sample_timing(rows: DataFrame, decisions: DataFrame | str, window: float = 3.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import direction, in_disc, in_tilted, turn
-from strideline.operators.decisions import KEYS, frame, with_steps
+from strideline.operators.decisions import KEYS, frame, per_pair, with_steps
 from strideline.plans.params import Decision, Junction, Zone
 
 
@@ -23,36 +23,49 @@ def in_zone(zone: Zone, x: Column | None = None, z: Column | None = None) -> Col
     return F.lit(False)
 
 
-def _at(index: Column, value: str = "t") -> Column:
-    """Aggregate: the value in the row whose idx is index."""
-    return F.max(F.when(F.col("idx") == index, F.col(value)))
-
-
 def timing(rows: DataFrame, mode: str = "pathlen") -> DataFrame:
-    """trajectory, junction, seconds, mode_used: from start to the decision.
+    """trajectory, junction, seconds, mode_used: from start to the decision, of a scan or a frame.
 
     pathlen counts to the sample before the path length is reached, radial to the crossing, hybrid radial, else pathlen.
     """
-    g = rows.groupBy(*KEYS).agg(_at(F.col("start")).alias("t0"), _at(F.col("radial_idx")).alias("tr"), _at(F.col("pathlen_idx") - 1).alias("tp"))
-    radial, pathlen = F.col("tr") - F.col("t0"), F.col("tp") - F.col("t0")
+    return per_pair(rows).select(*KEYS, *_timing(mode))
+
+
+def _timing(mode: str) -> list[Column]:
+    radial, pathlen = F.col("t_radial") - F.col("t_start"), F.col("t_before_pathlen") - F.col("t_start")
     value = {"radial": radial, "pathlen": pathlen, "hybrid": F.coalesce(radial, pathlen)}[mode]
     used = F.when(radial.isNotNull(), "radial").otherwise("pathlen") if mode == "hybrid" else F.lit(mode)
-    return g.select(*KEYS, value.alias("seconds"), used.alias("mode_used"))
+    return [value.alias("seconds"), used.alias("mode_used")]
 
 
 def between_regions(points: DataFrame, a: Zone, b: Zone) -> DataFrame:
     """trajectory, t_a, t_b, dt_ab: first times in two regions; the difference only if b is reached after a."""
+    return points.groupBy("trajectory").agg(*_region_facts(a, b)).select("trajectory", *_region_times())
+
+
+def _region_facts(a: Zone, b: Zone) -> list[Column]:
     first = lambda zone: F.min(F.when(in_zone(zone), F.struct("idx", "t")))
-    g = points.groupBy("trajectory").agg(first(a).alias("a"), first(b).alias("b"))
-    return g.select("trajectory", F.col("a.t").alias("t_a"), F.col("b.t").alias("t_b"), F.when(F.col("b.idx") > F.col("a.idx"), F.col("b.t") - F.col("a.t")).alias("dt_ab"))
+    return [first(a).alias("_a"), first(b).alias("_b")]
+
+
+def _region_times() -> list[Column]:
+    return [F.col("_a.t").alias("t_a"), F.col("_b.t").alias("t_b"), F.when(F.col("_b.idx") > F.col("_a.idx"), F.col("_b.t") - F.col("_a.t")).alias("dt_ab")]
 
 
 def totals(points: DataFrame) -> DataFrame:
     """trajectory, distance, duration, speed of whole trajectories; 0 where there is nothing to measure."""
     steps = with_steps(points)
-    g = steps.groupBy("trajectory").agg(F.sum("seg").alias("distance"), F.max(F.when(F.col("t").isNotNull(), F.struct("idx", "t"))).alias("last"), F.min(F.when(F.col("t").isNotNull(), F.struct("idx", "t"))).alias("first"))
-    d, s = F.coalesce("distance", F.lit(0.0)), F.coalesce(F.col("last.t") - F.col("first.t"), F.lit(0.0))
-    return g.select("trajectory", d.alias("distance"), s.alias("duration"), F.when((d > 0) & (s > 0), d / F.when(s > 0, s)).otherwise(0.0).alias("speed"))
+    return steps.groupBy("trajectory").agg(F.first("total").alias("total"), *_time_facts()).select("trajectory", *_totals())
+
+
+def _time_facts() -> list[Column]:
+    timed = F.when(F.col("t").isNotNull(), F.struct("idx", "t"))
+    return [F.min(timed).alias("_first"), F.max(timed).alias("_last")]
+
+
+def _totals() -> list[Column]:
+    d, s = F.col("total"), F.coalesce(F.col("_last.t") - F.col("_first.t"), F.lit(0.0))
+    return [d.alias("distance"), s.alias("duration"), F.when((d > 0) & (s > 0), d / F.when(s > 0, s)).otherwise(0.0).alias("speed")]
 
 
 def turns(steps: DataFrame) -> DataFrame:
@@ -64,19 +77,23 @@ def turns(steps: DataFrame) -> DataFrame:
 
 
 def speed_through(rows: DataFrame, mode: str = "pathlen") -> DataFrame:
-    """trajectory, junction, speed, status: path over time from start to the decision, or why there is none.
+    """trajectory, junction, speed, status: path over time from start to the decision, or why there is none, of a scan or a frame.
 
     The crossing of the ring needs two samples after start here.
     """
-    idx, start = F.col("idx"), F.col("start")
+    return per_pair(rows).select(*KEYS, *_speed_through(mode))
+
+
+def _speed_through(mode: str, speed: str = "speed", status: str = "status") -> list[Column]:
+    trend = F.col("trend_idx").isNotNull()
+    pick = lambda c: {"radial": F.col(f"{c}_trend"), "pathlen": F.col(f"{c}_pathlen"), "hybrid": F.when(trend, F.col(f"{c}_trend")).otherwise(F.col(f"{c}_pathlen"))}[mode]
     end = {"radial": F.col("trend_idx"), "pathlen": F.col("pathlen_idx"), "hybrid": F.coalesce("trend_idx", "pathlen_idx")}[mode]
-    rows = rows.withColumn("end", end)
-    g = rows.groupBy(*KEYS).agg(F.count("t").alias("timed"), F.first("end").alias("end"), F.first("trend_idx").alias("trend"), F.first("start").alias("start"), F.first("n").alias("n"), F.sum(F.when((idx > start) & (idx <= F.col("end")), F.col("seg"))).alias("path"), (_at(F.col("end")) - _at(start)).alias("time"))
-    used = F.when(F.col("trend").isNotNull(), "radial").otherwise("pathlen") if mode == "hybrid" else F.lit(mode)
+    time = pick("t") - F.col("t_start")
+    used = F.when(trend, "radial").otherwise("pathlen") if mode == "hybrid" else F.lit(mode)
     still = F.col("start") == F.col("n") - 1
     none = F.when(still & F.lit(mode == "pathlen"), "no_movement").when(still & F.lit(mode == "hybrid"), "hybrid_no_movement").otherwise(f"{mode}_not_reached")
-    status = F.when(F.col("timed") == 0, "no_time_data").when(F.col("end").isNull(), none).when(F.coalesce(F.col("time"), F.lit(0.0)) > 0, used).otherwise(F.concat(used, F.lit("_zero_time")))
-    return g.select(*KEYS, F.when((F.col("end").isNotNull()) & (F.col("time") > 0), F.col("path") / F.when(F.col("time") > 0, F.col("time"))).alias("speed"), status.alias("status"))
+    said = F.when(F.col("timed") == 0, "no_time_data").when(end.isNull(), none).when(F.coalesce(time, F.lit(0.0)) > 0, used).otherwise(F.concat(used, F.lit("_zero_time")))
+    return [F.when(end.isNotNull() & (time > 0), pick("path") / F.when(time > 0, time)).alias(speed), said.alias(status)]
 
 
 def transit(rows: DataFrame, near: float = 2.0, far: float = 5.0) -> DataFrame:
@@ -85,28 +102,39 @@ def transit(rows: DataFrame, near: float = 2.0, far: float = 5.0) -> DataFrame:
     Entry and exit are taken over far to near units of time before and after, from two samples on; all are null with
     fewer than three points or without two different points inside.
     """
-    idx = F.col("idx")
+    return _timed(rows).groupBy(*KEYS).agg(F.first("n").alias("n"), *_transit_facts(near, far)).select(*KEYS, *_transit())
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """A frame with the times of the first and last point inside, and of the point before."""
     whole = Window.partitionBy(*KEYS)
-    t_at = lambda c: F.max(F.when(idx == F.col(c), F.col("t"))).over(whole)
-    timed = rows.withColumns({"t_in": t_at("first_in"), "t_out": t_at("last_in"), "before": F.lag("t").over(whole.orderBy("idx"))})
-    entry = F.col("t").between(F.col("t_in") - far, F.col("t_in") - near) & (F.col("first_in") > 0)
-    leave = F.col("t").between(F.col("t_out") + near, F.col("t_out") + far) & (F.col("last_in") < F.col("n") - 1)
+    t_at = lambda c: F.max(F.when(F.col("idx") == F.col(c), F.col("t"))).over(whole)
+    return rows.withColumns({"t_in": t_at("first_in"), "t_out": t_at("last_in"), "before": F.lag("t").over(whole.orderBy("idx"))})
+
+
+def _transit_facts(near: float = 2.0, far: float = 5.0) -> list[Column]:
+    idx, t, before = F.col("idx"), F.col("t"), F.col("before")
+    early = lambda c: c.between(F.col("t_in") - far, F.col("t_in") - near)
+    late = lambda c: c.between(F.col("t_out") + near, F.col("t_out") + far)
+    entry, leave = early(t) & (F.col("first_in") > 0), late(t) & (F.col("last_in") < F.col("n") - 1)
     inside = (idx > F.col("first_in")) & (idx <= F.col("last_in"))
-    entry_prev = F.col("before").between(F.col("t_in") - far, F.col("t_in") - near)
-    leave_prev = F.col("before").between(F.col("t_out") + near, F.col("t_out") + far)
 
     def speed(name: str, of: Column, step: Column) -> list[Column]:
-        return [F.sum(F.when(step, F.col("seg"))).alias(f"{name}_path"), (F.max(F.when(of, F.col("t"))) - F.min(F.when(of, F.col("t")))).alias(f"{name}_time")]
+        return [F.sum(F.when(step, F.col("seg"))).alias(f"_{name}_path"), (F.max(F.when(of, t)) - F.min(F.when(of, t))).alias(f"_{name}_time")]
+
+    average = [F.sum(F.when(inside, F.col("seg"))).alias("_average_path"), F.max(F.col("t_out") - F.col("t_in")).alias("_average_time")]
+    return [*speed("entry", entry, entry & early(before)), *speed("exit", leave, leave & late(before)), *average, (F.first("last_in") > F.first("first_in")).alias("_through")]
+
 
-    g = timed.groupBy(*KEYS).agg(*speed("entry", entry, entry & entry_prev), *speed("exit", leave, leave & leave_prev), F.sum(F.when(inside, F.col("seg"))).alias("average_path"), F.max(F.col("t_out") - F.col("t_in")).alias("average_time"), (F.first("last_in") > F.first("first_in")).alias("through"), F.first("n").alias("n"))
-    ok = (F.col("n") >= 3) & F.col("through")
-    return g.select(*KEYS, *[F.when(ok & (F.col(f"{k}_time") > 0), F.col(f"{k}_path") / F.when(F.col(f"{k}_time") > 0, F.col(f"{k}_time"))).alias(f"{k}_speed") for k in ("entry", "exit", "average")])
+def _transit() -> list[Column]:
+    ok = (F.col("n") >= 3) & F.col("_through")
+    return [F.when(ok & (F.col(f"_{k}_time") > 0), F.col(f"_{k}_path") / F.when(F.col(f"_{k}_time") > 0, F.col(f"_{k}_time"))).alias(f"{k}_speed") for k in ("entry", "exit", "average")]
 
 
-def table(points: DataFrame, rows: DataFrame, mode: str = "pathlen", regions: tuple[Zone, Zone] | None = None) -> DataFrame:
-    """All metrics of each trajectory and junction in one row (speed_through is that of speed_through(), speed that of totals()), with region times if two regions are given."""
-    out = timing(rows, mode).join(speed_through(rows, mode).withColumnRenamed("speed", "speed_through"), list(KEYS)).join(transit(rows), list(KEYS)).join(totals(points), "trajectory")
-    return out.join(between_regions(points, *regions), "trajectory", "left") if regions else out
+def table(rows: DataFrame, mode: str = "pathlen", regions: tuple[Zone, Zone] | None = None) -> DataFrame:
+    """All metrics of each trajectory and junction of a frame in one row (speed_through is that of speed_through(), speed that of totals()), with region times if two regions are given; one aggregation makes them all."""
+    g = per_pair(_timed(rows), Decision(), *_transit_facts(), *_time_facts(), *(_region_facts(*regions) if regions else []))
+    return g.select(*KEYS, *_timing(mode), *_speed_through(mode, "speed_through"), *_transit(), *_totals(), *(_region_times() if regions else []))
 
 
 def adaptive(points: DataFrame, at: Sequence[Junction], how: Decision) -> DataFrame:
@@ -114,19 +142,18 @@ def adaptive(points: DataFrame, at: Sequence[Junction], how: Decision) -> DataFr
 
     pathlen: a twentieth of its length, from 0.1 to 10, and a hundredth (at least 0.01) where that gives no time; radial: a
     ring of a tenth, from 5 to 50, and a twentieth (at least 2); hybrid: as it is. Where a trajectory doesn't enter, the
-    values are null and the modes no_entry.
+    values are null and the modes no_entry. One frame and one aggregation give all, the second attempt too.
     """
     total, mode = F.col("total"), how.mode
     clamp = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     first = {"pathlen": {"path_length": clamp(0.05 * total, 0.1, 10.0)}, "radial": {"ring": clamp(0.10 * total, 5.0, 50.0)}, "hybrid": {}}[mode]
-    again = {"pathlen": {"path_length": F.greatest(0.01 * total, F.lit(0.01))}, "radial": {"ring": F.greatest(0.05 * total, F.lit(2.0))}, "hybrid": {}}[mode]
-    rows = frame(points, at, how, **first)
-    entered = rows.groupBy(*KEYS).agg(F.first("entered").alias("entered"))
-    speed = speed_through(rows, mode).withColumnRenamed("status", "speed_mode")
-    out = entered.join(timing(rows, mode), list(KEYS)).join(speed, list(KEYS)).join(transit(rows), list(KEYS))
+    again = {"pathlen": {"again_length": F.greatest(0.01 * total, F.lit(0.01))}, "radial": {"again_ring": F.greatest(0.05 * total, F.lit(2.0))}, "hybrid": {}}[mode]
+    rows = _timed(frame(points, at, how, **first, **again))
+    retry = [F.max(F.when(F.col("idx") == F.col("again_idx") - (1 if mode == "pathlen" else 0), F.col("t"))).alias("_t_again")] if again else []
+    g = per_pair(rows, how, *_transit_facts(), *retry)
+    out = g.select(*KEYS, "entered", "t_start", *[F.col(c) for c in ("_t_again",) if again], *_timing(mode), *_speed_through(mode, "speed", "speed_mode"), *_transit())
     if again:
-        retry = timing(frame(points, at, how, **again), mode).select(*KEYS, F.col("seconds").alias("_again"))
-        out = out.join(retry, list(KEYS)).withColumn("seconds", F.coalesce("seconds", "_again")).drop("_again")
+        out = out.withColumn("seconds", F.coalesce("seconds", F.col("_t_again") - F.col("t_start")))
     here = lambda c: F.when(F.col("entered"), F.col(c)).alias(c)
     named = lambda c: F.when(F.col("entered"), F.col(c)).otherwise("no_entry").alias(c)
     return out.select(*KEYS, here("seconds"), named("mode_used"), here("speed"), named("speed_mode"), here("entry_speed"), here("exit_speed"), here("average_speed"))

@@ -17,6 +17,7 @@ from strideline.sources.scratch import settled
 JUNCTIONS = [Junction(0, 0, 0, 60, 120), Junction(1, 100, 0, 60, 100), Junction(2, 0, 150, 60, 100), Junction(3, -150, -50, 60, 120)]
 #: Steps are multiples of 0.01, so this length is never met exactly.
 HOW = Decision(mode="hybrid", path_length=100.005)
+
 HOME, EAST = Zone("A", circle=(0.0, 0.0, 60.0)), Zone("B", rectangle=(80.0, 300.0, -200.0, 200.0))
 
 
@@ -28,8 +29,12 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.frame(_points(spark, sf_dir), JUNCTIONS, HOW)
 
 
+def _pairs(spark: SparkSession, sf_dir: str, how: Decision = HOW) -> DataFrame:
+    return decisions.scan(_points(spark, sf_dir), JUNCTIONS, how)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.directions(_frame(spark, sf_dir), HOW)
+    return decisions.directions(_pairs(spark, sf_dir), HOW)
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +54,11 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.decision_indices(_frame(spark, sf_dir), "hybrid")
+    return decisions.decision_indices(_pairs(spark, sf_dir), "hybrid")
 
 
 def _points_of_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.decision_points(_frame(spark, sf_dir), HOW)
+    return decisions.decision_points(_pairs(spark, sf_dir), HOW)
 
 
 def _centers(spark: SparkSession) -> DataFrame:
@@ -92,8 +97,12 @@ def _found(part: int, method: str):
     return lambda spark, sf_dir: branches.discover(_points(spark, sf_dir), JUNCTIONS, HOW, method=method)[part]
 
 
+def _known(spark: SparkSession) -> gaze.Known:
+    return gaze.Known(_centers(spark), HOW, 40.0)
+
+
 def _yaws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaze.head_yaw(_frame(spark, sf_dir), "hybrid", _labels(spark, sf_dir))
+    return gaze.head_yaw(_frame(spark, sf_dir), "hybrid", _known(spark))
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +116,7 @@ def _accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.table(_points(spark, sf_dir), _frame(spark, sf_dir), "hybrid", (HOME, EAST))
+    return metrics.table(_frame(spark, sf_dir), "hybrid", (HOME, EAST))
 
 
 def _adaptive(mode: str):
@@ -140,15 +149,15 @@ def queries() -> dict:
         "capabilities": lambda s, d: source.capabilities(_points(s, d)),
         "overview": lambda s, d: source.overview(_points(s, d)),
         "step_and_path_length": _query(lambda s, d: metrics.totals(_points(s, d))),
-        "junction_entry": lambda s, d: decisions.entries(_frame(s, d)),
+        "junction_entry": lambda s, d: decisions.entries(_pairs(s, d)),
         "circle_rect_membership": _membership,
         "zone_membership_tilted": _tilted,
-        "radial_decision_index": lambda s, d: decisions.decision_indices(_frame(s, d), "radial").select("trajectory", "junction", "decision_idx"),
-        "pathlen_decision_index": lambda s, d: decisions.decision_indices(_frame(s, d), "pathlen").select("trajectory", "junction", "decision_idx"),
+        "radial_decision_index": lambda s, d: decisions.decision_indices(_pairs(s, d), "radial").select("trajectory", "junction", "decision_idx"),
+        "pathlen_decision_index": lambda s, d: decisions.decision_indices(_pairs(s, d), "pathlen").select("trajectory", "junction", "decision_idx"),
         "hybrid_decision": _indices,
         "direction_vectors": _query(_vectors),
         "decision_points": _points_of_decision,
-        "first_within_ring": lambda s, d: decisions.first_within(_frame(s, d)),
+        "first_within_ring": lambda s, d: decisions.first_within(_pairs(s, d)),
         "near_ring_intercepts": lambda s, d: decisions.near_ring(_frame(s, d), 110.0),
         "clip_to_area": lambda s, d: decisions.clip_to_area(_frame(s, d)).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
         "clip_to_ring": lambda s, d: decisions.clip_to_ring(_frame(s, d)).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
@@ -162,12 +171,12 @@ def queries() -> dict:
         "dbscan_branches": _found(0, "dbscan"),
         "dbscan_centers": _query(_found(1, "dbscan")),
         "kmeans_branches": _found(0, "auto"),
-        "timing_modes": _query(lambda s, d: metrics.timing(_frame(s, d), "hybrid")),
+        "timing_modes": _query(lambda s, d: metrics.timing(_pairs(s, d), "hybrid")),
         "regions_dt": _query(lambda s, d: metrics.between_regions(_points(s, d), HOME, EAST)),
-        "speed_through_junction": _query(lambda s, d: metrics.speed_through(_frame(s, d), "hybrid")),
+        "speed_through_junction": _query(lambda s, d: metrics.speed_through(_pairs(s, d), "hybrid")),
         "transit_speed": _query(lambda s, d: metrics.transit(_frame(s, d))),
         "junction_estimate": _query(lambda s, d: metrics.estimate_junction(_points(s, d))),
-        "metric_summaries": _query(lambda s, d: metrics.summaries(metrics.timing(_frame(s, d), "hybrid"), "seconds", "junction")),
+        "metric_summaries": _query(lambda s, d: metrics.summaries(metrics.timing(_pairs(s, d), "hybrid"), "seconds", "junction")),
         "step_histogram": lambda s, d: metrics.histogram(decisions.with_steps(_points(s, d)), "seg").select("bin", "n"),
         "step_density": _query(lambda s, d: metrics.density(_steps(s, d), "seg"), 6, density=9),
         "fit_sums": _query(lambda s, d: metrics.fit_sums(decisions.with_steps(_points(s, d)).where("seg > 0"), "seg").select("n", "mean", "var", "n_pos", "mean_log", "var_log"), var=4),
@@ -194,7 +203,7 @@ def queries() -> dict:
         "split_outliers": lambda s, d: branches.split_small(labels(s, d), 0.2, outlier_min=200).where("branch >= 0").groupBy("junction", "branch").agg(F.max("is_small").alias("is_small"), F.max("main_branch").alias("main_branch")),
         "junction_heatmaps": _query(lambda s, d: gaze.junction_heatmaps(_frame(s, d), combine="max")),
         "heatmap_scale": lambda s, d: gaze.common_scale(_heat(s, d)),
-        "movement_patterns": _query(lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_frame(s, d)))),
+        "movement_patterns": _query(lambda s, d: gaze.movement(_frame(s, d), decisions.first_within(_pairs(s, d)))),
         "bottlenecks": _query(lambda s, d: enhanced.bottlenecks(labels(s, d), narrow=0.2, severe=0.3), 9),
         "balanced_routes": _query(lambda s, d: enhanced.balanced(labels(s, d)), 9),
         "flow_analysis": _query(lambda s, d: enhanced.flow_analysis(labels(s, d)).select("junction", "total", "entropy", F.to_json("flow").alias("flow")), 9),
@@ -204,18 +213,18 @@ def queries() -> dict:
         "overall_efficiency": _query(lambda s, d: enhanced.overall_efficiency(labels(s, d)), 9),
         "recommendations": lambda s, d: enhanced.recommendations(labels(s, d), narrow=0.2, severe=0.3),
         "enhanced_overview": _query(lambda s, d: enhanced.overview(labels(s, d)).drop("analysed_at"), 9),
-        "directions_radial": _query(lambda s, d: decisions.directions(_frame(s, d), Decision(mode="radial"))),
-        "directions_pathlen": _query(lambda s, d: decisions.directions(_frame(s, d), Decision(mode="pathlen"))),
+        "directions_radial": _query(lambda s, d: decisions.directions(_pairs(s, d, Decision(mode="radial")), Decision(mode="radial"))),
+        "directions_pathlen": _query(lambda s, d: decisions.directions(_pairs(s, d, Decision(mode="pathlen")), Decision(mode="pathlen"))),
         "diagnostics": lambda s, d: decisions.diagnostics(_points_of_decision(s, d)),
         "first_decisions": lambda s, d: decisions.first_decisions(_frame(s, d), Decision(mode="pathlen")),
         "first_decisions_hybrid": lambda s, d: decisions.first_decisions(_frame(s, d), HOW, wide=110.0),
         "searched_decisions": lambda s, d: decisions.searched(_frame(s, d), HOW, F.col("r")),
-        "nearest_points": lambda s, d: decisions.nearest_points(_frame(s, d)),
+        "nearest_points": lambda s, d: decisions.nearest_points(_pairs(s, d)),
         "clip_to_window": lambda s, d: decisions.clip_to_window(_frame(s, d), 70.0).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
         "thinned": lambda s, d: source.thinned(_points(s, d), 20).select("trajectory", "idx", "x", "z"),
         "with_signals": lambda s, d: source.with_signals(_points(s, d)).groupBy("trajectory").agg(F.count("*").alias("n")),
-        "timing_pathlen": _query(lambda s, d: metrics.timing(_frame(s, d), "pathlen")),
-        "timing_radial": _query(lambda s, d: metrics.timing(_frame(s, d), "radial")),
+        "timing_pathlen": _query(lambda s, d: metrics.timing(_pairs(s, d), "pathlen")),
+        "timing_radial": _query(lambda s, d: metrics.timing(_pairs(s, d), "radial")),
         "metrics_table": _query(_table),
         "adaptive_pathlen": _query(_adaptive("pathlen")),
         "adaptive_radial": _query(_adaptive("radial")),
@@ -234,7 +243,7 @@ def queries() -> dict:
         "sample_timing": lambda s, d: gaze.sample_timing(_frame(s, d), "hybrid"),
         "values_at_decisions": lambda s, d: gaze.values_at(_frame(s, d), "hybrid", "gaze_x", "gaze_y", "heart_rate"),
         "visit_movement": _query(lambda s, d: gaze.movement_of_visits(_frame(s, d), _visits(s, d))),
-        "gaze_headlines": _query(lambda s, d: gaze.headlines(_yaws(s, d), gaze.physiology(_frame(s, d), "hybrid"), gaze.pupil_windows(_frame(s, d), "hybrid"))),
+        "gaze_headlines": _query(lambda s, d: gaze.headlines(gaze.at_decisions(_frame(s, d), "hybrid", _known(s)))),
         "heatmap_statistics": _query(lambda s, d: gaze.heatmap_statistics(_heat(s, d))),
         "zone_points": lambda s, d: flows.zone_points(_points(s, d), [HOME], [EAST]),
         "flow_results": lambda s, d: flows.results(_flow(s, d), _visits(s, d)),
