@@ -1,7 +1,8 @@
 """Junction sequences, transitions and what is predicted from them.
 
-A point's node is one case expression over the (few) junctions and zones, so visits need a single shuffle by
-trajectory and no row for each point and junction; counts after that are partial aggregations over (origin, dest).
+A point's node is one case expression over a few junctions and zones, or for many an equality join on the cells of a grid,
+so visits need a single shuffle by trajectory and no row for each point and junction; counts after that are partial
+aggregations over (origin, dest).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import distance
+from strideline.operators import grid
 from strideline.operators.metrics import in_zone
 from strideline.plans.params import Junction, Zone
 
@@ -21,6 +23,24 @@ def node_of(at: Sequence[Junction]) -> Column:
     return F.coalesce(*[F.when(distance(F.col("x"), F.col("z"), float(j.cx), float(j.cz)) <= float(j.reach), j.junction) for j in at], F.lit(None).cast("int"))
 
 
+#: Junctions or zones that one expression tests; more are found through a grid.
+FEW = 32
+
+
+def with_node(points: DataFrame, at: Sequence[Junction]) -> DataFrame:
+    """points with junction: node_of() for any number of junctions."""
+    if len(at) <= FEW:
+        return points.withColumn("junction", node_of(at))
+    return grid.holding(points, grid.of_junctions(at)).withColumn("junction", F.get("_held", F.lit(0))["junction"]).drop("_held")
+
+
+def with_zone(points: DataFrame, zones: Sequence[Zone], as_: str) -> DataFrame:
+    """points with the name of the first listed zone that holds each; null for none."""
+    if len(zones) <= FEW:
+        return points.withColumn(as_, F.coalesce(*[F.when(in_zone(z), z.name) for z in zones], F.lit(None).cast("string")))
+    return grid.holding(points, grid.of_zones(zones), zones).withColumn(as_, F.get("_held", F.lit(0))["name"]).drop("_held")
+
+
 def _changes(nodes: DataFrame) -> DataFrame:
     """trajectory, visit, junction, idx: points whose node is another than the point's before, none being a node too."""
     w = Window.partitionBy("trajectory").orderBy("idx")
@@ -30,14 +50,13 @@ def _changes(nodes: DataFrame) -> DataFrame:
 
 def visits(points: DataFrame, at: Sequence[Junction]) -> DataFrame:
     """trajectory, visit, junction, idx: the junctions in the order of their visits; one left and entered again is visited twice."""
-    return _changes(points.select("trajectory", "idx", node_of(at).alias("junction")))
+    return _changes(with_node(points, at).select("trajectory", "idx", "junction"))
 
 
 def visits_with_zones(points: DataFrame, at: Sequence[Junction], starts: Sequence[Zone] = (), ends: Sequence[Zone] = ()) -> DataFrame:
     """visits() over junctions, start zones and end zones (in this order) as text nodes, begun by the start zone of the first point and ended by the end zone of the last, where there is one and the sequence does not have it there."""
-    name = lambda zones: F.coalesce(*[F.when(in_zone(z), z.name) for z in zones], F.lit(None).cast("string"))
-    junction = F.concat(F.lit("J"), node_of(at).cast("string"))
-    rows = points.select("trajectory", "idx", F.coalesce(junction, name(starts), name(ends)).alias("junction"), name(starts).alias("start"), name(ends).alias("end"))
+    rows = with_zone(with_zone(with_node(points.select("trajectory", "idx", "x", "z"), at), starts, "start"), ends, "end")
+    rows = rows.select("trajectory", "idx", F.coalesce(F.concat(F.lit("J"), F.col("junction").cast("string")), "start", "end").alias("junction"), "start", "end")
     seen = _changes(rows).select("trajectory", F.col("idx").cast("double").alias("place"), "junction")
     edge = rows.groupBy("trajectory").agg(F.min(F.struct("idx", "start")).alias("a"), F.max(F.struct("idx", "end")).alias("b"))
     ends_of = seen.groupBy("trajectory").agg(F.min(F.struct("place", "junction"))["junction"].alias("first"), F.max(F.struct("place", "junction"))["junction"].alias("last"))
@@ -80,8 +99,8 @@ def zone_flows(seen: DataFrame) -> DataFrame:
 
 def zone_points(points: DataFrame, starts: Sequence[Zone], ends: Sequence[Zone]) -> DataFrame:
     """start_points and end_points: points inside any start or end zone."""
-    inside = lambda zones: F.count(F.when(F.array_contains(F.array(*[F.coalesce(in_zone(z), F.lit(False)) for z in zones]), True), 1)) if zones else F.lit(0).cast("long")
-    return points.agg(inside(starts).alias("start_points"), inside(ends).alias("end_points"))
+    rows = with_zone(with_zone(points.select("x", "z"), starts, "start"), ends, "end")
+    return rows.agg(F.count("start").alias("start_points"), F.count("end").alias("end_points"))
 
 
 def strong(flow: DataFrame, least: float, share: str = "share") -> DataFrame:
@@ -91,21 +110,32 @@ def strong(flow: DataFrame, least: float, share: str = "share") -> DataFrame:
     return kept.crossJoin(F.broadcast(top)).withColumn("intensity", F.col(share) / F.col("_top")).drop("_top")
 
 
-def direct(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+def direct(points: DataFrame, at: Sequence[Junction], assigned: DataFrame) -> DataFrame:
     """origin, dest, n, share: trajectories that leave one junction's double radius before they first come into another's, touching no third in between.
 
-    rows is a decision frame; assigned (trajectory, junction, branch) says which junctions count for a trajectory.
+    assigned (trajectory, junction, branch) says which junctions count for a trajectory; all are touched alike.
+
+    A sweep over the points near junctions, which a grid finds: touches cut a trajectory into stretches, and a pair has no
+    touch between leaving and coming just when both lie in one stretch. A touch as the origin is left rules it out
+    unless it is the origin's own; a destination's own touches come later than its first point.
     """
-    w = F.col("dist") <= 2 * F.col("r")
-    mine = assigned.where("branch >= 0").select("trajectory", "junction")
-    g = rows.groupBy("trajectory", "junction").agg(F.max(F.when(w, F.col("idx"))).alias("last"), F.min(F.when(w, F.col("idx"))).alias("first")).join(mine, ["trajectory", "junction"], "left_semi")
-    a = g.select("trajectory", F.col("junction").alias("origin"), F.col("last").alias("leave"))
-    b = g.select("trajectory", F.col("junction").alias("dest"), F.col("first").alias("come"))
-    pairs = a.join(b, "trajectory").where("origin <> dest and leave < come")  # a trajectory has few junctions
-    touch = rows.where("inside").select("trajectory", F.col("junction").alias("third"), "idx")
-    between = pairs.join(touch, "trajectory").where("third <> origin and third <> dest and idx >= leave and idx < come").select("trajectory", "origin", "dest").distinct()
-    kept = counts(pairs.join(between, ["trajectory", "origin", "dest"], "left_anti"))
-    return kept.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    wide = grid.near(points.select("trajectory", "idx", "x", "z"), [grid.disc(k, j.junction, None, j.cx, j.cz, 2 * j.r) for k, j in enumerate(at)])
+    rows = wide.select("trajectory", "idx", "junction", (F.col("dist") <= F.col("radius") / 2).cast("int").alias("touch"))
+    each, here, run = Window.partitionBy("trajectory", "junction"), Window.partitionBy("trajectory", "idx"), Window.partitionBy("trajectory").orderBy("idx")
+    rows = rows.withColumns({"leave": F.max("idx").over(each), "come": F.min("idx").over(each), "touches": F.sum("touch").over(here), "turn": F.row_number().over(here.orderBy("junction"))})
+    upto = F.sum(((F.col("touches") > 0) & (F.col("turn") == 1)).cast("int")).over(run)  # rows of one point share it
+    rows = rows.withColumn("upto", upto)
+    origin = (F.col("idx") == F.col("leave")) & (F.col("touches") == F.col("touch"))
+    before = F.col("upto") - (F.col("touches") > 0).cast("int")
+    event = lambda when, stretch, kind: F.when(when, F.struct(stretch.alias("stretch"), F.lit(kind).alias("origin")))
+    events = rows.select("trajectory", "junction", "idx", F.explode(F.array(event(origin, F.col("upto"), True), event(F.col("idx") == F.col("come"), before, False))).alias("e")).where("e is not null")
+    counted = events.join(assigned.where("branch >= 0").select("trajectory", "junction"), ["trajectory", "junction"], "left_semi")
+    side = lambda kind: F.collect_list(F.when(F.col("e.origin") == kind, F.struct("junction", "idx")))  # noqa: E731  a trajectory has few junctions
+    both = counted.groupBy("trajectory", "e.stretch").agg(side(True).alias("from"), side(False).alias("to"))
+    pairs = both.select("to", F.explode("from").alias("o")).select("o", F.explode("to").alias("d")).where("o.junction <> d.junction and o.idx < d.idx")
+    kept = counts(pairs.select(F.col("o.junction").alias("origin"), F.col("d.junction").alias("dest")))
+    total = kept.agg(F.sum("n").alias("_all"))
+    return kept.crossJoin(F.broadcast(total)).select("origin", "dest", "n", (F.col("n") / F.col("_all")).alias("share"))  # one row
 
 
 def fan_out(flow: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def queries() -> dict:
         "flow_strength": _query(lambda s, d: flows.strength(flows.conditional(_flow(s, d)))),
         "flow_predictions": _query(lambda s, d: flows.predictions(flows.conditional(_flow(s, d))), 9),
         "flow_threshold": _query(lambda s, d: flows.strong(flows.overall(_flow(s, d), _points(s, d)), 0.1), 9),
-        "direct_flows": _query(lambda s, d: flows.direct(_frame(s, d), labels(s, d)), 9),
+        "direct_flows": _query(lambda s, d: flows.direct(_points(s, d), JUNCTIONS, labels(s, d)), 9),
         "second_order_after": _query(lambda s, d: flows.after(_visits(s, d))),
         "second_order_before": _query(lambda s, d: flows.before(_visits(s, d))),
         "route_patterns": _query(lambda s, d: flows.routes(branches.chain(labels(s, d).where("branch >= 0"), [j.junction for j in JUNCTIONS])), 9),
