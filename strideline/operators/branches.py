@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import circular_mean, length
 from strideline.operators import clustering
-from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decided, directions, scan
+from strideline.operators.decisions import KEYS, NO_BRANCH, NO_ENTRY, decided, scan
+from strideline.operators.ranks import ranked
 from strideline.plans.params import Decision, Junction
+from strideline.sources.scratch import settled
 
 
 def centers_table(spark: SparkSession, at: dict[int, Sequence[Sequence[float]]]) -> DataFrame:
@@ -89,49 +92,76 @@ def chain(assignments: DataFrame, junctions: Sequence[int]) -> DataFrame:
     return assignments.groupBy("trajectory").agg(*cells)
 
 
-def discover(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, method: str = "dbscan", k: int = 3, k_range: tuple[int, int] = (2, 6), seed: int = 0, eps: float = 15.0, min_samples: int = 5, min_separation: float = 12.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Discovery:
+    """What a density discovery found, and what later points need to go on from it without the earlier ones: vectors, a row for each trajectory and junction, and cells, the clusters' summary."""
+
+    assigned: DataFrame
+    centers: DataFrame
+    decided: DataFrame
+    vectors: DataFrame
+    cells: DataFrame
+
+
+def _discovered(found: DataFrame, vectors: DataFrame, cells: DataFrame, eps: float, min_samples: int) -> Discovery:
+    labels, centers = clustering.clusters(cells, eps=eps, min_samples=min_samples)
+    assigned = clustering.labelled(vectors, labels).select(*KEYS, _code().alias("branch"))
+    return Discovery(assigned, centers.drop("rank"), found, vectors, cells)
+
+
+def _code() -> Column:
+    return F.when(F.col("branch") >= 0, F.col("branch")).otherwise(F.when(~F.col("entered"), NO_ENTRY).otherwise(NO_BRANCH)).cast("int")
+
+
+def discovery(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, eps: float = 15.0, min_samples: int = 5) -> Discovery:
+    """The branches of all junctions by density, at any size: assignments (with -1 and -2), centres and decision points."""
+    found = settled(clustering.celled(decided(scan(points, at, how.checked(at)), how), eps), "directions")
+    return _discovered(found.drop("entered", "usable", "vx", "vz", "angle", "cell"), found, clustering.summary(found, min_samples), eps, min_samples)
+
+
+def discover(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, method: str = "dbscan", k: int = 3, k_range: tuple[int, int] = (2, 6), seed: int | dict[int, int] = 0, eps: float = 15.0, min_samples: int = 5, min_separation: float = 12.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Assignments (with -1 and -2), centres and decision points of all junctions in one pass.
 
-    Directions are clustered junction by junction: 'dbscan' relationally, at any size; 'kmeans' (k clusters) and 'auto'
-    (k by silhouette) on one row per trajectory in a group.
+    Directions are clustered junction by junction: 'dbscan' by density, 'kmeans' into k clusters, 'auto' into as many of
+    k_range as give the best silhouette; all three at any size.
     """
-    how = how.checked(at)
-    found = decided(scan(points, at, how), how)
     if method == "dbscan":
-        labels = clustering.dbscan(found, eps=eps, min_samples=min_samples)
-    elif method in ("kmeans", "auto"):
-        labels = clustering.kmeans(found.where("usable"), k=k, k_range=k_range if method == "auto" else None, seed=seed, min_separation=min_separation)
-    else:
+        d = discovery(points, at, how, eps=eps, min_samples=min_samples)
+        return d.assigned, d.centers, d.decided
+    if method not in ("kmeans", "auto"):
         raise ValueError("method must be dbscan, kmeans or auto")
+    found = settled(decided(scan(points, at, how.checked(at)), how), "directions")
+    labels = clustering.kmeans(found.where("usable"), k=k, k_range=k_range if method == "auto" else None, seed=seed, min_separation=min_separation)
     labels, centers = clustering.by_angle(labels)
-    if method != "dbscan":
-        labels = found.select(*KEYS, "entered").join(labels.select(*KEYS, "branch"), list(KEYS), "left")
-    rest = F.when(~F.col("entered"), NO_ENTRY).otherwise(NO_BRANCH)
-    assigned = labels.select(*KEYS, F.when(F.col("branch") >= 0, F.col("branch")).otherwise(rest).cast("int").alias("branch"))
-    return assigned, centers, found.drop("entered", "usable", "vx", "vz")
-
-
-def rediscover(points: DataFrame, known: DataFrame, at: Sequence[Junction], assigned: DataFrame, how: Decision, **settings) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """discover() over known and new points together, if the new ones that fit no centre form a cluster of their own; else None."""
-    lost = assigned.where(f"branch = {NO_BRANCH}").select(*KEYS)
-    vectors = directions(scan(points, at, how), how).where("usable").join(lost, list(KEYS), "left_semi")
-    new = clustering.dbscan(vectors, eps=settings.get("eps", 15.0), min_samples=settings.get("min_samples", 5))
-    if new.where("branch >= 0").isEmpty():
+    labels = found.select(*KEYS, "entered").join(labels.select(*KEYS, "branch"), list(KEYS), "left")
+    return labels.select(*KEYS, _code().alias("branch")), centers, found.drop("entered", "usable", "vx", "vz")
+
+
+def discover_chain(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, seed: int = 0, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A chain table (trajectory, branch_j0, branch_j1, ... in the order of the junctions) of discovered branches, the centres and the decision points. A junction's seed is that of its place, counted from seed."""
+    assigned, centers, spots = discover(points, at, how, seed={j.junction: seed + k for k, j in enumerate(at)}, **settings)
+    return chain(assigned, [j.junction for j in at]), centers, spots
+
+
+def rediscover(points: DataFrame, known: Discovery, at: Sequence[Junction], assigned: DataFrame, how: Decision, *, eps: float = 15.0, min_samples: int = 5) -> Discovery | None:
+    """The discovery of the known points and new ones together, if the new ones that fit no centre (-1 in assigned) form a cluster of their own; else None.
+
+    The summary of the known directions' cells and that of the new ones make the summary of both, from which the
+    clusters follow; the known points are not read again. eps and min_samples have to be those of the known discovery.
+    """
+    found = settled(clustering.celled(decided(scan(points, at, how.checked(at)), how), eps), "directions")
+    lost = found.where("usable").join(assigned.where(f"branch = {NO_BRANCH}").select(*KEYS), list(KEYS), "left_semi")
+    if clustering.clusters(clustering.summary(lost, min_samples), eps=eps, min_samples=min_samples)[1].isEmpty():
         return None
-    return discover(known.unionByName(points), at, how, **settings)
+    cells = settled(clustering.merged(known.cells, clustering.summary(found, min_samples), min_samples), "cells")
+    vectors = known.vectors.unionByName(found)
+    return _discovered(vectors.drop("entered", "usable", "vx", "vz", "angle", "cell"), vectors, cells, eps, min_samples)
 
 
 def numbered(assignments: DataFrame) -> DataFrame:
     """trajectory, number: trajectory ids that are whole numbers, numbered from 0 in their order. Other ids have none."""
     ids = assignments.select("trajectory", F.col("trajectory").try_cast("long").alias("_id")).where("_id is not null").distinct()
-    # The place within one of 65,536 equal parts of the ids' range, after the ids of the parts before: no window over all ids.
-    ends = ids.agg(F.min("_id").cast("double").alias("_lo"), F.max("_id").cast("double").alias("_hi"))
-    ids = ids.crossJoin(F.broadcast(ends))  # one row
-    block = F.floor((F.col("_id") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * 65536)
-    blocks = ids.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
-    before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_id", "trajectory")) - 1
-    return ids.withColumn("_block", block).withColumn("_place", place).join(before, "_block").select("trajectory", (F.col("_before") + F.col("_place")).alias("number"))
+    return ranked(ids, "_id", "trajectory", as_="number").select("trajectory", "number")
 
 
 def normalized(chains: DataFrame, decisions: DataFrame | None = None, junction: int | None = 0, *, junctions: Sequence[int] | None = None, known: DataFrame | None = None, outliers: bool = False, strict: bool = False, least: float = 0.95) -> tuple[DataFrame, DataFrame]:

@@ -234,23 +234,43 @@ def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return g.select("bin", (F.col("lo") + F.col("bin") * width).alias("left"), (F.col("lo") + (F.col("bin") + 1) * width).alias("right"), "n", F.when(width > 0, F.col("n") / (F.col("all") * F.when(width > 0, width))).alias("density"))
 
 
+#: Bins of a kernel's bandwidth, moments of a bin, and bandwidths beyond which a kernel is left out.
+BINS, MOMENTS, REACH = 8, 8, 9
+
+
 def density(values: DataFrame, column: str, grid: int = 200) -> DataFrame:
     """at, density: a Gaussian kernel estimate with bandwidth 1.06 * deviation * n^-0.2 at points from the 1st to the 99th percentile.
 
-    Values are first counted in 4096 bins over their range, so that the work is grid times bins at any size.
+    A bin an eighth of the bandwidth wide keeps the first eight moments of its values about its middle, from which
+    the kernels' sum at a distance x follows by Hermite's polynomials: exp(-(x - d)^2 / 2) is exp(-x^2 / 2) times the sum
+    of He_k(x) d^k / k!. With d up to 1/16 what is cut off is under 1.1 / 16^8 / sqrt(8!), 2e-12 of a kernel's peak. Bins
+    further than nine bandwidths from every point (3e-18 of a peak) are left out, so there are a bounded number of bins:
+    some tens of thousands for 10^12 values.
     """
     v = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    s = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    s = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd")).first()
     spark = values.sparkSession
     if not s["n"] or not s["sd"]:
         return spark.createDataFrame([], "at double, density double")
-    h, fine = 1.06 * s["sd"] * s["n"] ** -0.2, (s["hi"] - s["lo"]) / 4096 or 1.0
-    binned = v.groupBy(F.floor((F.col("v") - s["lo"]) / fine).alias("b")).agg(F.count("*").alias("n"), F.avg("v").alias("v"))
+    h = 1.06 * s["sd"] * s["n"] ** -0.2
     p = quantiles(v, "v", [0.01, 0.99]).first()
-    step = (p["q1"] - p["q0"]) / (grid - 1)
+    width, step = h / BINS, (p["q1"] - p["q0"]) / (grid - 1)
+    some = v.where(F.col("v").between(p["q0"] - REACH * h, p["q1"] + REACH * h)).withColumn("bin", F.floor((F.col("v") - p["q0"]) / width))
+    middle = F.lit(p["q0"]) + (F.col("bin") + 0.5) * width
+    d = (F.col("v") - middle) / h
+    power, powers = F.lit(1.0), []
+    for k in range(MOMENTS):
+        powers.append(F.sum(power).alias(f"m{k}"))
+        power = power * d
+    binned = some.groupBy("bin").agg(*powers).withColumn("c", middle)
     at = spark.range(grid).select((F.lit(p["q0"]) + F.col("id") * step).alias("at"))
-    u = (F.col("at") - F.col("v")) / h
-    return binned.crossJoin(F.broadcast(at)).groupBy("at").agg((F.sum(F.col("n") * F.exp(-0.5 * u * u)) / (s["n"] * h * math.sqrt(2 * math.pi))).alias("density"))
+    near = binned.crossJoin(F.broadcast(at)).withColumn("x", (F.col("at") - F.col("c")) / h)  # grid rows
+    x = F.col("x")
+    lower, he, total = F.lit(0.0), F.lit(1.0), F.lit(0.0)
+    for k in range(MOMENTS):
+        total = total + he * F.col(f"m{k}") / float(math.factorial(k))
+        lower, he = he, x * he - k * lower
+    return near.groupBy("at").agg((F.sum(F.exp(-0.5 * x * x) * total) / (s["n"] * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def fit_sums(values: DataFrame, column: str, *by: str) -> DataFrame:

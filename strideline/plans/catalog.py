@@ -25,6 +25,12 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.events_as_points(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points some of whose trajectories lack some signals."""
+    lacking = {"head_forward_z": (3, 0), "gaze_y": (4, 1), "pupil_l": (5, 2), "pupil_r": (7, 3), "heart_rate": (11, 4)}
+    return _points(spark, sf_dir).withColumns({c: F.when(F.col("trajectory").cast("long") % m != r, F.col(c)) for c, (m, r) in lacking.items()})
+
+
 def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.frame(_points(spark, sf_dir), JUNCTIONS, HOW)
 
@@ -146,7 +152,7 @@ def queries() -> dict:
         "flow_conditional": _query(lambda s, d: flows.conditional(_flow(s, d))),
         "scan_filter_scale": lambda s, d: _points(s, d).where("x is not null and z is not null").select("trajectory", "idx", *[(F.col(c) * 0.5).alias(c) for c in ("x", "z")]),
         "trim_static_prefix": _query(lambda s, d: source.trim_static(_points(s, d), 20.0).select("trajectory", "idx", "x", "z", "t"), 9),
-        "capabilities": lambda s, d: source.capabilities(_points(s, d)),
+        "capabilities": lambda s, d: source.capabilities(_sparse(s, d)),
         "overview": lambda s, d: source.overview(_points(s, d)),
         "step_and_path_length": _query(lambda s, d: metrics.totals(_points(s, d))),
         "junction_entry": lambda s, d: decisions.entries(_pairs(s, d)),
@@ -170,6 +176,7 @@ def queries() -> dict:
         "branch_silhouette": _query(_silhouette),
         "dbscan_branches": _found(0, "dbscan"),
         "dbscan_centers": _query(_found(1, "dbscan")),
+        "discovered_chain": lambda s, d: branches.discover_chain(_points(s, d), JUNCTIONS, HOW)[0],
         "kmeans_branches": _found(0, "auto"),
         "timing_modes": _query(lambda s, d: metrics.timing(_pairs(s, d), "hybrid")),
         "regions_dt": _query(lambda s, d: metrics.between_regions(_points(s, d), HOME, EAST)),
@@ -222,7 +229,7 @@ def queries() -> dict:
         "nearest_points": lambda s, d: decisions.nearest_points(_pairs(s, d)),
         "clip_to_window": lambda s, d: decisions.clip_to_window(_frame(s, d), 70.0).groupBy("trajectory", "junction").agg(F.count("*").alias("n")),
         "thinned": lambda s, d: source.thinned(_points(s, d), 20).select("trajectory", "idx", "x", "z"),
-        "with_signals": lambda s, d: source.with_signals(_points(s, d)).groupBy("trajectory").agg(F.count("*").alias("n")),
+        "with_signals": lambda s, d: source.with_signals(_sparse(s, d)).groupBy("trajectory").agg(F.count("*").alias("n")),
         "timing_pathlen": _query(lambda s, d: metrics.timing(_pairs(s, d), "pathlen")),
         "timing_radial": _query(lambda s, d: metrics.timing(_pairs(s, d), "radial")),
         "metrics_table": _query(_table),

@@ -24,6 +24,16 @@ ev AS (
   FROM pts WINDOW w AS (PARTITION BY trajectory ORDER BY idx)
 )"""
 
+#: Points some of whose trajectories lack some signals, and which have all of a kind.
+SPARSE = """
+sp AS (
+  SELECT trajectory, t, fx, CASE WHEN trajectory::BIGINT % 3 <> 0 THEN fz END AS fz, k % 10 AS gx, CASE WHEN trajectory::BIGINT % 4 <> 1 THEN k % 9 END AS gy,
+         CASE WHEN k % 13 <> 0 AND trajectory::BIGINT % 5 <> 2 THEN c END AS pl, CASE WHEN k % 13 <> 0 AND trajectory::BIGINT % 7 <> 3 THEN c END AS pr, CASE WHEN trajectory::BIGINT % 11 <> 4 THEN hr END AS hr
+  FROM pts
+), si AS (
+  SELECT trajectory, count(fx) > 0 AND count(fz) > 0 AND count(gx) > 0 AND count(gy) > 0 AS gaze, count(pl) > 0 AND count(pr) > 0 AND count(hr) > 0 AS physio FROM sp GROUP BY trajectory
+)"""
+
 JUNCTIONS = """
 jn(junction, cx, cz, r, ro) AS (
   VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 60.0::DOUBLE, 120.0::DOUBLE), (1, 100.0, 0.0, 60.0, 100.0), (2, 0.0, 150.0, 60.0, 100.0), (3, -150.0, -50.0, 60.0, 120.0)
@@ -167,7 +177,7 @@ QUERIES = {
         """,
         POINTS,
     ),
-    "capabilities": _with("SELECT trajectory, count(t) > 0 AS has_time, count(fx) > 0 AND count(fz) > 0 AS has_gaze, count(pupil) > 0 AS has_physio, count(fx) > 0 AND count(fz) > 0 AND count(pupil) > 0 AS has_headset FROM pts GROUP BY trajectory", POINTS),
+    "capabilities": _with("SELECT trajectory, count(t) > 0 AS has_time, bool_or(gaze) AS has_gaze, bool_or(physio) AS has_physio, bool_or(gaze AND physio) AS has_headset FROM sp JOIN si USING (trajectory) GROUP BY trajectory", POINTS, SPARSE),
     "overview": _with("SELECT count(DISTINCT trajectory) AS trajectories, count(*) AS points, min(x) AS x_min, max(x) AS x_max, min(z) AS z_min, max(z) AS z_max FROM pts", POINTS),
     "step_and_path_length": _with("SELECT trajectory, round(coalesce(sum(seg), 0), 6) AS distance, round(max(t) - min(t), 6) AS duration, round(CASE WHEN coalesce(sum(seg), 0) > 0 AND max(t) > min(t) THEN sum(seg) / (max(t) - min(t)) ELSE 0 END, 6) AS speed FROM st GROUP BY trajectory", POINTS),
     "junction_entry": _with("SELECT trajectory, junction, bool_or(entered) AS entered, max(start) AS start_idx FROM f1 GROUP BY trajectory, junction", *GEO),
@@ -337,7 +347,7 @@ QUERIES = {
     "first_decisions": _with("SELECT trajectory, junction, coalesce(min(idx) FILTER (WHERE abs(2 * (idx - nearest) + 1) <= 2 * least(100, n // 10, 50) AND dist <= 50.05), any_value(nearest)) AS decision_idx FROM f1 GROUP BY trajectory, junction", *GEO),
     "first_decisions_hybrid": _with("SELECT trajectory, junction, CASE WHEN any_value(ro) > 110 THEN min(idx) FILTER (WHERE dist <= ro) ELSE coalesce(min(idx) FILTER (WHERE abs(2 * (idx - nearest) + 1) <= 2 * least(100, n // 10, 50) AND dist <= 50.05), any_value(nearest)) END AS decision_idx FROM f1 GROUP BY trajectory, junction", *GEO),
     "thinned": _with("SELECT trajectory, idx, x, z FROM (SELECT *, count(*) OVER (PARTITION BY trajectory) AS m FROM pts) WHERE idx % greatest(1, m // 20) = 0", POINTS),
-    "with_signals": _with("SELECT trajectory, count(*) AS n FROM pts GROUP BY trajectory HAVING (count(fx) > 0 AND count(fz) > 0) OR count(pupil) > 0", POINTS),
+    "with_signals": _with("SELECT trajectory, count(*) AS n FROM sp JOIN si USING (trajectory) WHERE gaze OR physio GROUP BY trajectory", POINTS, SPARSE),
     "timing_pathlen": _with("SELECT trajectory, junction, round(max(t) FILTER (WHERE idx = pathlen_idx - 1) - max(t) FILTER (WHERE idx = start), 6) AS seconds, 'pathlen' AS mode_used FROM fr GROUP BY trajectory, junction", *GEO),
     "timing_radial": _with("SELECT trajectory, junction, round(max(t) FILTER (WHERE idx = radial_idx) - max(t) FILTER (WHERE idx = start), 6) AS seconds, 'radial' AS mode_used FROM fr GROUP BY trajectory, junction", *GEO),
     "best_fit": _with(
@@ -426,11 +436,9 @@ QUERIES = {
     "step_density": _with(
         """
         , v AS (SELECT seg AS v FROM st WHERE seg IS NOT NULL),
-        s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM v),
-        h AS (SELECT *, 1.06 * sd * n ** -0.2 AS h, (hi - lo) / 4096 AS fine FROM s),
-        bi AS (SELECT count(*) AS m, avg(v) AS v FROM v, h GROUP BY floor((v - lo) / fine)),
-        gr AS (SELECT a + g * ((b - a) / 199) AS at_ FROM h, range(200) r(g))
-        SELECT round(at_, 6) AS "at", round(sum(m * exp(-0.5 * ((at_ - bi.v) / h.h) ** 2)) / (any_value(n) * any_value(h.h) * sqrt(2 * pi())), 9) AS density FROM gr, bi, h GROUP BY at_
+        s AS (SELECT count(*) AS n, 1.06 * stddev_samp(v) * count(*) ** -0.2 AS h, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM v),
+        gr AS (SELECT a + g * ((b - a) / 199) AS at_, h, n FROM s, range(200) r(g))
+        SELECT round(at_, 6) AS "at", round(sum(exp(-0.5 * ((at_ - v.v) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM gr, v GROUP BY at_
         """,
         POINTS,
     ),
@@ -457,6 +465,7 @@ QUERIES = {
     "dbscan_branches": _with("SELECT ve.trajectory, ve.junction, CAST(CASE WHEN NOT entered THEN -2 ELSE coalesce(branch, -1) END AS INTEGER) AS branch FROM ve LEFT JOIN cl ON cl.trajectory = ve.trajectory AND cl.junction = ve.junction LEFT JOIN ck ON ck.junction = cl.junction AND ck.k = cl.k", *DIR, CLUSTERS),
     "dbscan_centers": _with("SELECT junction, branch, round(mx / sqrt(mx * mx + mz * mz), 6) AS ux, round(mz / sqrt(mx * mx + mz * mz), 6) AS uz FROM ck", *DIR, CLUSTERS),
 }
+QUERIES["discovered_chain"] = QUERIES["dbscan_branches"].replace("SELECT ve.trajectory, ve.junction, CAST(", ", db AS (SELECT ve.trajectory, ve.junction, CAST(") + ") SELECT trajectory, " + ", ".join(f"max(branch) FILTER (WHERE junction = {j}) AS branch_j{j}" for j in range(4)) + " FROM db GROUP BY trajectory"
 QUERIES["pupil_heatmap"] = _with(
     """
     , b AS (SELECT *, avg(pupil) OVER w AS mean, count(pupil) OVER w AS valid FROM pts WHERE pupil IS NOT NULL WINDOW w AS (PARTITION BY trajectory)),

@@ -124,10 +124,12 @@ def test_small_branches_and_rediscovery(spark):
     north = [np.outer(np.arange(40), [0.01 * k, 1]) for k in range(6)]
     how, at = Decision(mode="radial"), [Junction(0, 0, 0, 5, 20)]
     new = points(spark, north).withColumn("trajectory", F.concat(F.lit("n"), "trajectory"))
-    centers = branches.centers_table(spark, {0: [(1, 0)]})
-    assigned = branches.assign(decisions.directions(decisions.frame(new, at, how), how), centers)
-    out = branches.rediscover(new, points(spark, east), at, assigned, how)
-    assert out is not None and out[1].count() == 2
+    known = branches.discovery(points(spark, east), at, how)
+    assert [(round(r["ux"], 1), round(r["uz"], 1)) for r in known.centers.collect()] == [(1.0, 0.0)]
+    assigned = branches.assign(decisions.directions(decisions.frame(new, at, how), how), known.centers)
+    out = branches.rediscover(new, known, at, assigned, how)
+    assert out is not None and out.centers.count() == 2
+    assert branches.rediscover(points(spark, east[:3]).withColumn("trajectory", F.concat(F.lit("m"), "trajectory")), known, at, assigned, how) is None
 
 
 def test_normalised_assignments(spark):
