@@ -214,9 +214,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", *, out: str = "ids",
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", *, out: str = "decoded") -> DataFrame:
-    """encoded with out: the text of each row's ids, as the library decodes them. Null ids give null, none the empty text."""
-    schema = T.StructType([*(f for f in encoded.schema if f.name != out), T.StructField(out, T.StringType())])
-    place = encoded.columns.index(ids)
+    """encoded with out: the text of each row's ids, as the library decodes them. Null ids give null, none the empty text. A column named out before is replaced, ids too if it is that."""
+    rows = encoded if out == ids else encoded.drop(out)
+    place = rows.columns.index(ids)
+    rest = [k for k, c in enumerate(rows.columns) if c != out]
+    schema = T.StructType([*(rows.schema[k] for k in rest), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _pieces(model)
@@ -224,6 +226,6 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", *, out: str = "deco
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 texts = [None if x.values is None else coder.decode(x.values.to_pylist()) for x in part.column(place)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), pa.array(texts, pa.string())], names=schema.names)
 
-    return map_texts(encoded.drop(out), run, schema)
+    return map_texts(rows, run, schema)

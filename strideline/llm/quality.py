@@ -45,7 +45,7 @@ def _describe(texts: list[bytes]) -> np.ndarray:
         if n:
             more[i] = (sum(map(len, words)) / n, n / len(lines), sum(map(eq, words, words[1:])) / n, len(set(words)) / n, 1 - len(set(lines)) / len(lines), n)
     share = counts[:, 1:] / np.maximum(1, sizes)[:, None]
-    return np.column_stack((np.log1p(sizes), share, np.minimum(more[:, 0], 64), np.minimum(more[:, 1], 4096), more[:, 2:5]))
+    return np.column_stack((np.log1p(sizes), share, more[:, :5]))
 
 
 def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -75,7 +75,17 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, limit:
 
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", *, limit: int = 128 << 20) -> None:
-    """Writes docs as Parquet, one folder for each shard; a task writes whole shards, each of which fits the limit. Rows of one id lie in one shard."""
-    homes = shard(docs, doc_id, text, limit=limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
-    joined = docs.drop("shard").join(homes, docs[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Writes docs as Parquet, one folder for each shard; a task writes whole shards, each of which fits the limit. Rows of one id lie in one shard.
+
+    The folders' column is shard, with underscores before it where docs have a column of that name; all columns of docs
+    are written as they are.
+    """
+    folder = "shard"
+    while folder.lower() in (c.lower() for c in docs.columns):
+        folder = f"_{folder}"
+    number = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in number.items()])
+    key = number[doc_id]
+    homes = shard(plain, key, number[text], limit=limit).select(F.col("doc_id").alias("_id"), F.concat(F.lit("b"), "shard").alias("_home")).distinct()
+    joined = plain.join(homes, plain[key].eqNullSafe(homes["_id"])).repartition("_home")
+    joined.select(*[F.col(n).alias(c) for c, n in number.items()], F.col("_home").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -207,7 +207,7 @@ def links(distinct: DataFrame, *, bits: int, radius: int, column: str = "fingerp
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(some, t), pa.int32()), pa.array(np.maximum(some, t), pa.int32()), pa.array([t] * len(some), pa.int32()), pa.array([data.as_py()] * len(some), pa.binary())], names=["a", "b", "tile", "block"])
 
     tasks = max(4 * cores(spark), len(boxes) ** 2 // 64)  # in proportion to the tile pairs
-    dealt = blocks.mapInArrow(partners, "a int, b int, tile int, block binary").repartition(tasks, "a", "b")
+    dealt = map_texts(blocks, partners, "a int, b int, tile int, block binary").repartition(tasks, "a", "b")
     first, second = dealt.where("tile = a"), dealt.where("tile = b")
     pairs = first.select("a", "b", F.col("block").alias("left")).join(second.select("a", "b", F.col("block").alias("right")), ["a", "b"])
 
@@ -222,7 +222,7 @@ def links(distinct: DataFrame, *, bits: int, radius: int, column: str = "fingerp
                 names = one if same else np.concatenate((one, two))
                 yield pa.RecordBatch.from_arrays([hexes(names[rows]), hexes(names[roots])], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a string, b string")
+    return map_texts(pairs, compare, "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 5, bits: int = 64, radius: int = 4, seed: int = 42) -> DataFrame:

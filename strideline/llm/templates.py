@@ -26,49 +26,52 @@ def _mask(c: Column) -> Column:
     return F.regexp_replace(c, VARIABLE, MASK)
 
 
-def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leading: int, min_texts: int, similarity: float) -> DataFrame:
+def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leading: int, min_texts: int, long_tokens: int, similarity: float) -> DataFrame:
     """doc_id, body, at: the occurrences (line numbers from 0, of the text that hashes to body) that line_dedup() drops."""
     body = F.xxhash64(F.col(text))
     lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), body.alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), _mask(F.substring_index("line", " ", leading))))
-    many, _ = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf"), "leaves")
+    least = F.when(F.col("size") >= long_tokens, 2).otherwise(min_texts)  # a leaf's lines have one size
+    many, _ = materialize(lines.groupBy("leaf", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
     held, _ = materialize(lines.join(many.hint("merge"), "leaf").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
 
     texts = held.select("leaf", "size", "line", "body").distinct().groupBy("leaf", "size", "line").agg(F.count("*").alias("texts"))
     distinct, _ = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    tokens = distinct.select("id", "leaf", "texts", F.posexplode(F.split(_mask(F.col("line")), " ")).alias("place", "token"))
-    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("support")).where((F.col("support") >= min_texts) & (F.col("token") != MASK))
-    constant, _ = materialize(support.drop("support"), "constants")
+    tokens = distinct.select("id", "leaf", "size", "texts", F.posexplode(F.split(_mask(F.col("line")), " ")).alias("place", "token"))
+    support = tokens.groupBy("leaf", "size", "place", "token").agg(F.sum("texts").alias("support")).where((F.col("support") >= least) & (F.col("token") != MASK))
+    constant, _ = materialize(support.drop("support", "size"), "constants")
     kept = tokens.join(constant, ["leaf", "place", "token"]).groupBy("id").agg(F.count("*").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
     enough = (F.col("constants") >= min_tokens) & (F.col("constants") >= F.ceil(F.col("size") * similarity))
-    shaped, _ = materialize(distinct.join(kept, "id").where(enough).select("leaf", "line", F.xxhash64("leaf", "template").alias("template")), "templates")
-    found, _ = materialize(held.join(shaped.hint("merge"), ["leaf", "line"]).select("template", "doc_id", "body", "at"), "occurrences")
+    shaped, _ = materialize(distinct.join(kept, "id").where(enough).select("leaf", "size", "line", F.xxhash64("leaf", "template").alias("template")), "templates")
+    found, _ = materialize(held.drop("size").join(shaped.hint("merge"), ["leaf", "line"]).select("template", "size", "doc_id", "body", "at"), "occurrences")
 
     this = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "body", "at")
-    across = found.select("template", "body").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts)
-    first, _ = materialize(found.groupBy("template").agg(F.min(this).alias("first")).join(across.drop("n"), "template"), "recurring")
+    across = found.select("template", "size", "body").distinct().groupBy("template", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first, _ = materialize(found.groupBy("template").agg(F.min(this).alias("first")).join(across.select("template"), "template"), "recurring")
     return found.join(first.hint("merge"), "template").where(~this.eqNullSafe(F.col("first"))).select("doc_id", "body", "at")
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_tokens: int = 5, leading: int = 3, min_texts: int = 3, similarity: float = 0.8, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_tokens: int = 5, leading: int = 3, min_texts: int = 3, long_tokens: int = 50, similarity: float = 0.8, counts: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text (and, with counts, n_lines and dropped_lines).
 
-    A template recurs when its lines occur in min_texts different texts or more (exact copies of a text count once); its
-    first line, by doc_id and place, stays. A line's template needs min_tokens constant tokens and a share of similarity
-    of all its tokens; shorter lines always stay. Tokens are what stands between single spaces, lines what stands
-    between newlines. A null text stays null and has no lines; an empty one has one empty line; null ids come after
-    others; rows that repeat id and text lose the same lines. Other columns stay as they are; no rows give none.
+    A template recurs when its lines occur in min_texts different texts or more, or with long_tokens tokens in two (exact
+    copies of a text count once); its first line, by doc_id and place, stays. A line's template needs min_tokens constant
+    tokens and a share of similarity of all its tokens; shorter lines always stay. Tokens are what stands between single
+    spaces, lines what stands between newlines. A null text stays null and has no lines; an empty one has one empty line;
+    null ids come after others; rows that repeat id and text lose the same lines. Other columns, whatever their names,
+    stay as they are (with counts, those of its names are replaced); no rows give none.
     """
-    drops = recurring(docs, doc_id, text, min_tokens=min_tokens, leading=leading, min_texts=min_texts, similarity=similarity)
+    number = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in number.items()])
+    key, body = number[doc_id], number[text]
+    drops = recurring(plain, key, body, min_tokens=min_tokens, leading=leading, min_texts=min_texts, long_tokens=long_tokens, similarity=similarity)
     drops, _ = materialize(drops.groupBy("doc_id", "body").agg(F.collect_set("at").alias("_drop")), "drops")
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_drop")
-    joined = docs.join(drops.hint("merge"), docs[doc_id].eqNullSafe(drops["_id"]) & (F.xxhash64(docs[text]) == drops["_body"]), "left")
-    lines = F.split(F.col(text), "\n")
+    joined = plain.join(drops.hint("merge"), plain[key].eqNullSafe(drops["_id"]) & (F.xxhash64(plain[body]) == drops["_body"]), "left")
+    lines = F.split(F.col(body), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    cut = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = joined
-    if counts:
-        out = out.withColumns({"n_lines": F.coalesce(F.array_size(lines), F.lit(0)).cast("long"), "dropped_lines": F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long")})
-    more = ["n_lines", "dropped_lines"] if counts else []
-    return out.withColumn(text, cut).select(*docs.columns, *more)
+    cut = F.when(F.col("_drop").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    more = {"n_lines": F.coalesce(F.array_size(lines), F.lit(0)).cast("long"), "dropped_lines": F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long")} if counts else {}
+    kept = [(cut if c == text else F.col(n)).alias(c) for c, n in number.items() if c not in more]
+    return joined.select(*kept, *[c.alias(n) for n, c in more.items()])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.common import cores, materialize
+from strideline.llm.common import cores, map_texts, materialize
 
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK, SLICES = 8192, 1024, 4
 _BLOCK = "block int, ids binary, keys binary, cells binary, wide boolean, width int, cuts binary"
@@ -88,15 +88,28 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for k in range(len(batch)) for r in batch.slice(k, 1).to_pylist()):
             width = max(row["r_width"], row["q_width"])
             q, r = (_matrix(row[f"{p}_cells"], row[f"{p}_wide"], row[f"{p}_width"], width) for p in "qr")
             ints = lambda c: np.frombuffer(row[c], np.int64)  # noqa: E731, B023
             yield ints("q_ids"), ints("q_keys"), ints("r_ids"), _partial(q, r), np.frombuffer(row["q_cuts"]), row["r_block"]
 
 
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
 def _long(x: float | int) -> int:
-    return max(-(2**63), min(2**63 - 1, int(x)))
+    return max(LEAST, min(MOST, int(x)))
+
+
+def _beyond(x: float | int) -> bytes | None:
+    """What orders scores that _long() makes equal to its ends: bytes that compare as the scores do; None within."""
+    x = int(x)
+    if LEAST < x < MOST:
+        return None
+    size = (abs(x).bit_length() + 7) // 8
+    body = size.to_bytes(4, "big") + abs(x).to_bytes(size, "big")
+    return body if x > 0 else bytes(255 - b for b in body)
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", *, k: int = 10, scale: int = 1024, rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
@@ -104,9 +117,8 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
 
     Fewer than k candidates are all returned. Vectors of different lengths are compared as if the shorter went on in
     zeros. Rows with a null id or vector, or a null, NaN or infinite component, take no part. A repeated row is a
-    candidate each time; a query row repeated with the same vector is answered once. Scores beyond 64 bits are set to
-    the nearest 64-bit integer after ranking within their block. An empty table gives no rows; other columns are
-    ignored.
+    candidate each time; a query row repeated with the same vector is answered once. Scores beyond 64 bits are ranked
+    as they are and returned as the nearest 64-bit integer. An empty table gives no rows; other columns are ignored.
     """
     rows = integral(vectors, vec_id, embedding, scale).withColumn("key", F.monotonically_increasing_id())
     asked = integral(vectors.where(is_query), vec_id, embedding, scale).distinct().withColumn("key", F.monotonically_increasing_id())
@@ -127,10 +139,11 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
                 out.append(sums[:k])
             yield pa.RecordBatch.from_arrays([pa.array(q_keys), pa.array([block] * len(out), pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["key", "block", "scores"])
 
-    lists = _grid(blocks, _blocks(asked, n_queries), n_rows, n_queries).mapInArrow(first, "key long, block int, scores array<long>")
+    lists = map_texts(_grid(blocks, _blocks(asked, n_queries), n_rows, n_queries), first, "key long, block int, scores array<long>")
     merged = F.slice(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), 1, k).alias("scores")
     lists = lists.groupBy("key", F.pmod("block", F.lit(int(n_rows**0.5) + 1)).alias("lane")).agg(merged).groupBy("key").agg(merged)
-    cut = F.when(F.size("scores") == k, F.col("scores")[k - 1].cast("double"))
+    last = F.col("scores")[k - 1]
+    cut = F.when((F.size("scores") == k) & (last > LEAST), last.cast("double"))  # the least long may stand for less
     cutoffs, _ = materialize(lists.select("key", cut.alias("cutoff")), "cutoffs")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +165,10 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddin
                     sums = sum(p[i, some] for p in parts)
                     enough = np.flatnonzero((sums >= low).astype(bool))
                     some, sums = some[enough], sums[enough]
-                    lines += [(q_ids[i], q_keys[i], r_ids[some[j]], _long(sums[j])) for j in _best(sums, r_ids[some], k)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[c]) for x in lines], pa.int64()) for c in range(4)], names=["query_id", "key", "vec_id", "score"])
+                    lines += [(q_ids[i], q_keys[i], r_ids[some[j]], _long(sums[j]), _beyond(sums[j])) for j in _best(sums, r_ids[some], k)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x[c]) for x in lines], pa.int64()) for c in range(4)), pa.array([x[4] for x in lines], pa.binary())], names=["query_id", "key", "vec_id", "score", "beyond"])
 
     again = _blocks(asked.join(cutoffs, "key", "left"), n_queries, F.col("cutoff"))
-    found = _grid(blocks, again, n_rows, n_queries).mapInArrow(rest, "query_id long, key long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    found = map_texts(_grid(blocks, again, n_rows, n_queries), rest, "query_id long, key long, vec_id long, score long, beyond binary")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -129,3 +129,28 @@ def test_quality_statistics_by_hand(spark):
         if n:
             more = [min(64, sum(len(w.encode()) for w in words) / n), min(4096, n / len(lines)), sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, 1 - len(set(lines)) / len(lines)]
         assert np.allclose(found.loc[k].to_numpy(), [np.log1p(size), *shares, *more]), text
+
+
+@pytest.mark.parametrize("swap_weight", [0.0, 0.5])
+def test_lasso_is_at_its_optimum(swap_weight):
+    """Subgradient conditions of the convex loss that lasso_logistic() states."""
+    from strideline.llm.linear import lasso_logistic, sigmoid
+
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 25)) < rng.uniform(0.05, 0.6, 25)).astype(float)
+    y = (rng.random(300) < sigmoid(x @ np.where(np.arange(25) < 4, 2.0, 0.0) - 1.5)).astype(float)
+    rows, cols = np.nonzero(x)
+    change = rng.integers(-1, 2, (40, 25)) * (rng.random((40, 25)) < 0.1)
+    s_rows, s_cols = np.nonzero(change)
+    times = rng.integers(1, 4, 40).astype(float)
+    swaps = (s_rows, s_cols, change[s_rows, s_cols].astype(float), times)
+    l1, m = 0.01, times.sum()
+    b, w = lasso_logistic(rows, cols, 300, 25, y, l1=l1, swaps=swaps, swap_weight=swap_weight, steps=6000)
+    error = sigmoid(x @ w + b) - y
+    slope = x.T @ error / 300 + 2 * swap_weight / m * change.T @ (times * (change @ w))
+    share = x.mean(axis=0)
+    bend = np.maximum(share * (1 - share), 1 / 300) + (8 * swap_weight * np.bincount(s_cols, times[s_rows], 25) / m if swap_weight else 0)
+    bound = l1 * np.sqrt(bend)
+    assert abs(error.mean()) < 1e-6 and 0 < (w != 0).sum() < 25
+    assert np.abs(slope + np.sign(w) * bound)[w != 0].max() < 1e-6
+    assert (np.abs(slope)[w == 0] <= bound[w == 0] + 1e-6).all()

@@ -66,3 +66,14 @@ def test_frames(spark):
     assert len(rows) == len(ODD) + 2
     assert {r["doc_id"]: r["decoded"] for r in rows if r["doc_id"]} == {k: LIBRARY.decode(LIBRARY.encode(t or "", add_eos=True)) for k, t in enumerate(ODD) if k}
     assert pieces.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_decode_wherever_the_columns_stand(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    encoded = pieces.encode(docs, model).select(F.lit("old").alias("decoded"), "doc_id", "ids", F.lit(7).alias("more"))
+    found = pieces.decode(encoded, model)
+    assert found.columns == ["doc_id", "ids", "more", "decoded"]
+    assert {r["doc_id"]: r["decoded"] for r in found.collect()} == {1: "a text", 2: ""}
+    replaced = pieces.decode(encoded, model, out="ids")
+    assert replaced.columns == ["decoded", "doc_id", "more", "ids"] and {r["ids"] for r in replaced.collect()} == {"a text", ""}

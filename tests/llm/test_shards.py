@@ -59,6 +59,15 @@ def test_written(spark, tmp_path):
     assert back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 500
 
 
+def test_written_with_columns_of_the_same_names(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 13, "t" * 50, f"mine{k}", k, k, k) for k in range(40)], "doc_id long, text string, shard string, _id int, c0 int, _home int")
+    shards.write_shards(docs, f"{tmp_path}/out", limit=500)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == [*docs.columns, "_shard"]
+    assert sorted(map(tuple, back.drop("_shard").collect())) == sorted(map(tuple, docs.collect()))
+    assert back.select("doc_id", "_shard").distinct().count() == 13
+
+
 def test_native(spark):
     plan = shards.shard(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -46,3 +46,23 @@ def test_drops_what_recurs(spark):
     assert [x for x in found if x[0] != 17] == sorted(((k, expected[k]) for k, _ in data if k != 17), key=str)
     assert next(t for k, t in found if k == 17) == data[-1][1]
     assert templates.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_long_lines_recur_from_two_texts_on(spark):
+    long = " ".join(f"tok{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50))
+    short = " ".join(long.split(" ")[1:])
+    data = [(1, f"{long}\na"), (2, f"b\n{long}"), (3, f"{short}\nc"), (4, f"d\n{short}"), (5, "e"), (5, "e")]
+    found = {r["doc_id"]: r["text"] for r in templates.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found == dict(data) | {2: "b"}
+
+
+def test_columns_with_the_operators_own_names(spark):
+    names = ["_drop", "_id", "_body", "c0", "c1", "at", "body", "leaf", "size", "line", "template", "texts", "a.b"]
+    data = [(k, f"own {k}\n{PASSAGE}") for k in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    out = templates.line_dedup(docs)
+    assert out.columns == docs.columns
+    rows_ = sorted(out.collect())
+    assert [r["text"] for r in rows_] == [data[0][1], "own 1", "own 2", "own 3"] and all(list(r)[2:] == list(range(len(names))) for r in rows_)
+    counted = templates.line_dedup(docs.withColumn("n_lines", F.lit("mine")), counts=True)
+    assert counted.columns == [*docs.columns, "n_lines", "dropped_lines"] and {r["dropped_lines"] for r in counted.collect()} == {0, 1}

@@ -30,3 +30,16 @@ def test_edge_cases(spark, blocks):
         found = topk.top_k(df, F.col("vec_id") % 10 == 0, k=k, rows_per_block=blocks[0], queries_per_block=blocks[1])
         assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == brute(data, k, 10)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [(8192, 1024), (2, 1)])
+def test_scores_beyond_64_bits_are_ranked(spark, blocks):
+    big = [(k, [s * 1e30 * (1 + k / 16), 1e20]) for k in range(12) for s in (1 if k % 3 else -1,)] + [(50, [1.0, 1.0]), (60, [1e30, -1e30]), (70, [2.0**43, 0.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in big}
+    for k in (3, 20):
+        found = topk.top_k(df, F.col("vec_id") % 10 == 0, k=k, rows_per_block=blocks[0], queries_per_block=blocks[1])
+        got = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
+        for q in (i for i in whole if i % 10 == 0):
+            order = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+            assert [got[q, n + 1] for n in range(len(order))] == [i for _, i in order]
