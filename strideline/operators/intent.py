@@ -1,20 +1,25 @@
-"""Early intent: features of the approach at a distance before a junction, and models that predict the branch from them."""
+"""Early intent: features of the approach at a distance before a junction, and models that predict the branch from them.
+
+Forests for use are Spark's own. Boosted trees, and the many models that tell how well each junction's branch is foreseen
+from each distance, are grown by trees.grown(), all junctions, distances and folds in the same jobs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import length, number, turn
 from strideline.operators.decisions import KEYS
+from strideline.operators import trees
 from strideline.operators.gaze import _mean_pupil
+from strideline.operators.ranks import ranked
 from strideline.sources.scratch import settled
 
 FEATURES = ("distance", "approach_angle", "lateral_offset", "speed", "acceleration", "curvature", "sinuosity", "time_to_junction", "gaze_angle", "gaze_alignment", "head_variability", "heart_rate", "heart_rate_trend", "pupil", "pupil_trend", "previous_choice")
@@ -69,91 +74,121 @@ def features(rows: DataFrame, before: float, previous: DataFrame | None = None)
     return named.join(previous.select(*KEYS, F.col("branch").cast("double").alias("previous_choice")), list(KEYS), "left").fillna(-1.0, ["previous_choice"])
 
 
-def vectors(found: DataFrame) -> DataFrame:
-    """found with vector, the FEATURES in their order: NaN for nulls and infinities, -1 for an unknown previous choice."""
-    whole = found.fillna(-1.0, ["previous_choice"]).withColumns({f"_{c}": F.coalesce(number(F.col(c)), F.lit(float("nan"))) for c in FEATURES})
-    return VectorAssembler(inputCols=[f"_{c}" for c in FEATURES], outputCol="vector", handleInvalid="keep").transform(whole).drop(*[f"_{c}" for c in FEATURES])
-
-
 def _filled(rows: DataFrame) -> DataFrame:
     """Columns without any value get 0, as no median can be taken."""
     counts = rows.agg(*[F.count(c).alias(c) for c in FEATURES]).first()
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES if not counts[c]})
 
 
-def pipeline(model: str = "random_forest", seed: int = 42) -> Pipeline:
-    """Median imputation, scaling to mean 0 and deviation 1, and a forest (100 trees, depth 10) or boosted trees (100, depth 5, rate 0.1)."""
+def pipeline(seed: int = 42) -> Pipeline:
+    """Median imputation, scaling to mean 0 and deviation 1, and a forest of 100 trees of depth 10."""
     names = [f"{c}_i" for c in FEATURES]
-    if model == "random_forest":
-        last = RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=seed, labelCol="branch", featuresCol="scaled")
-    elif model == "gradient_boosting":
-        last = OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed, featuresCol="scaled", labelCol="branch"), featuresCol="scaled", labelCol="branch")
-    else:
-        raise ValueError("model must be random_forest or gradient_boosting")
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(FEATURES), outputCols=names), VectorAssembler(inputCols=names, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), last])
+    forest = RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=seed, labelCol="branch", featuresCol="scaled")
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=list(FEATURES), outputCols=names), VectorAssembler(inputCols=names, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), forest])
+
+
+#: What a model's name stands for where many are grown at once.
+KINDS = {"random_forest": trees.Forest(), "gradient_boosting": trees.Boosted()}
 
 
 def labelled(found: DataFrame, assignments: DataFrame) -> DataFrame:
     return found.join(assignments.where("branch >= 0").select(*KEYS, F.col("branch").cast("double").alias("branch")), list(KEYS))
 
 
-def train(rows: DataFrame, model: str = "random_forest") -> PipelineModel | None:
-    """A model from labelled features, or None from fewer than ten rows."""
-    return pipeline(model).fit(_filled(rows)) if rows.count() >= LEAST else None
+def train(rows: DataFrame, model: str | trees.Boosted = "random_forest") -> PipelineModel | trees.Model | None:
+    """A model from labelled features, or None from fewer than ten rows: Spark's forest, or boosted trees (100 of depth 5 and rate 0.1, or as given)."""
+    if model == "random_forest":
+        return pipeline().fit(_filled(rows)) if rows.count() >= LEAST else None
+    found = _grown(rows.withColumn("_g", F.lit(0)), _kind(model), (trees.WHOLE,))[1]
+    return found.get((0, trees.WHOLE))
+
+
+def _kind(model: str | trees.Forest | trees.Boosted) -> trees.Forest | trees.Boosted:
+    if isinstance(model, str) and model not in KINDS:
+        raise ValueError("model must be random_forest or gradient_boosting")
+    return KINDS[model] if isinstance(model, str) else model
+
 
+def _grown(rows: DataFrame, how: trees.Forest | trees.Boosted, held: Sequence[int], fold: str | None = None) -> tuple[DataFrame, dict]:
+    """The prepared rows, and a model for each group (_g) of ten rows or more and each held-out fold."""
+    data, bare = trees.prepared(rows, FEATURES, "branch", "_g", fold)
+    sizes = {r["g"]: r["n"] for r in data.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row for each group
+    bare = {g: m for g, m in bare.items() if sizes[g] >= LEAST}
+    some = data.where(F.col("g").isin(list(bare)))
+    return some, trees.grown(some, bare, held, how) if bare else {}
 
-def folds(rows: DataFrame, k: int = 5) -> DataFrame:
-    """rows with fold: the members of each branch dealt out in turn, in the order of their ids."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy("branch").orderBy(F.xxhash64("trajectory"), "trajectory")) - 1) % k)
 
+def folds(rows: DataFrame, k: int = 5, *by: str) -> DataFrame:
+    """rows with fold: the members of each branch (of each group of by) dealt out in turn, in the order of a hash of their ids."""
+    placed = ranked(rows.withColumn("_h", F.xxhash64("trajectory")), *by, "branch", "_h", "trajectory", as_="_place")
+    first = placed.groupBy(*by, "branch").agg(F.min("_place").alias("_first"))
+    return placed.join(first, [*by, "branch"]).withColumn("fold", ((F.col("_place") - F.col("_first")) % k).cast("int")).drop("_h", "_place", "_first")
 
-def cross_validate(rows: DataFrame, model: str = "random_forest", k: int = 5) -> list[float]:
-    """Accuracy on each of k stratified folds."""
-    dealt = folds(_filled(rows), k).persist()
-    judge = MulticlassClassificationEvaluator(labelCol="branch", metricName="accuracy")
-    found = [judge.evaluate(pipeline(model).fit(dealt.where(F.col("fold") != f)).transform(dealt.where(F.col("fold") == f))) for f in range(k)]
-    dealt.unpersist()
-    return found
 
+def cross_validate(rows: DataFrame, model: str | trees.Forest | trees.Boosted = "random_forest", k: int = 5) -> list[float]:
+    """Accuracy on each of k stratified folds; the k models are grown together."""
+    data, found = _grown(folds(rows.withColumn("_g", F.lit(0)), k), _kind(model), range(k), "fold")
+    return [r["hits"] / r["n"] for r in trees.held_out(data, found, range(k)).orderBy("fold").collect()] if found else []
 
-def importances(model: PipelineModel) -> dict[str, float]:
-    """Each feature's share in a forest's decisions."""
+
+def importances(model: PipelineModel | trees.Model) -> dict[str, float]:
+    """Each feature's share in a model's decisions."""
+    if isinstance(model, trees.Model):
+        return dict(zip(FEATURES, map(float, model.gain / max(model.gain.sum(), 1e-300)), strict=True))
     return dict(zip(FEATURES, map(float, model.stages[-1].featureImportances), strict=True))
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """trajectory, junction, predicted, confidence (the greatest probability) and probabilities (branch to probability); the last two are null for boosted trees."""
-    out = model.transform(rows.fillna(0.0, list(FEATURES)))
-    if "probability" not in out.columns:
-        out = out.withColumns({"_p": F.lit(None).cast("array<double>")})
-    else:
-        out = out.withColumn("_p", vector_to_array("probability"))
-    confidence: Column = F.array_max("_p")
-    by_branch = F.map_from_arrays(F.sequence(F.lit(0), F.size("_p") - 1), "_p")
-    return out.select(*KEYS, F.col("prediction").cast("int").alias("predicted"), confidence.alias("confidence"), F.when(F.col("_p").isNotNull(), by_branch).alias("probabilities"))
+def predict(model: PipelineModel | trees.Model, rows: DataFrame) -> DataFrame:
+    """trajectory, junction, predicted, confidence (the greatest probability) and probabilities (branch to probability)."""
+    if isinstance(model, trees.Model):
+        return _named(trees.scored(rows, {0: model}))
+    out = model.transform(rows.fillna(0.0, list(FEATURES))).withColumn("_p", vector_to_array("probability"))
+    return _named(out.withColumn("probabilities", F.map_from_arrays(F.sequence(F.lit(0), F.size("_p") - 1), "_p")))
 
 
-def train_by_distance(rows: DataFrame, assignments: DataFrame, distances: Sequence[float] = DISTANCES, model: str = "random_forest") -> dict[float, PipelineModel]:
-    """A model for each distance with enough rows."""
-    found = {d: train(labelled(features(rows, d), assignments), model) for d in distances}
-    return {d: m for d, m in found.items() if m is not None}
+def _named(out: DataFrame, *more: str) -> DataFrame:
+    """Of equal probabilities the lower branch is predicted."""
+    best = F.array_max(F.transform(F.map_entries("probabilities"), lambda e: F.struct(e["value"].alias("p"), (-e["key"]).alias("turn"))))
+    return out.select(*KEYS, *more, (-best["turn"]).cast("int").alias("predicted"), best["p"].alias("confidence"), "probabilities")
 
 
-def analyze(rows: DataFrame, assignments: DataFrame, *, distances: Sequence[float] = DISTANCES, model: str = "random_forest", folds_of: int = 5) -> DataFrame:
-    """junction, distance, accuracy and deviation (of the folds, in percent), samples, band: how well each junction's branch is foreseen from each distance, where ten rows or more have a branch.
+def _all_distances(rows: DataFrame, assignments: DataFrame | None, distances: Sequence[float]) -> DataFrame:
+    """features() at each distance (with assignments, labelled), and distance."""
+    out = None
+    for d in distances:
+        found = features(rows, d)
+        one = (found if assignments is None else labelled(found, assignments)).withColumn("distance_before", F.lit(float(d)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def train_by_distance(rows: DataFrame, assignments: DataFrame, distances: Sequence[float] = DISTANCES, model: str | trees.Boosted = "random_forest") -> dict[float, PipelineModel | trees.Model]:
+    """A model for each distance with enough rows; boosted trees of all distances are grown together."""
+    if model == "random_forest":
+        found = {d: train(labelled(features(rows, d), assignments)) for d in distances}
+        return {d: m for d, m in found.items() if m is not None}
+    known = settled(_all_distances(rows, assignments, distances), "features")
+    place = F.element_at(F.create_map(*[x for k, d in enumerate(distances) for x in (F.lit(float(d)), F.lit(k))]), F.col("distance_before"))
+    grown = _grown(known.withColumn("_g", place), _kind(model), (trees.WHOLE,))[1]
+    return {distances[g]: m for (g, _), m in sorted(grown.items())}
 
-    A driver's loop over junctions and distances, which are few; each fit is a Spark job.
+
+def analyze(rows: DataFrame, assignments: DataFrame, *, distances: Sequence[float] = DISTANCES, model: str | trees.Forest | trees.Boosted = "random_forest", folds_of: int = 5) -> DataFrame:
+    """junction, distance, accuracy and deviation (of the folds, in percent), samples, loss (the mean logarithmic loss of held-out rows), band: how well each junction's branch is foreseen from each distance, where ten rows or more have a branch.
+
+    The models of all junctions, distances and folds are grown together: the number of Spark jobs is that of one model.
     """
-    spark, found = rows.sparkSession, []
-    for d in distances:
-        known = settled(labelled(features(rows, d), assignments), "features")
-        for j, n in sorted(map(tuple, known.groupBy("junction").count().collect())):
-            if n >= LEAST:
-                scores = [100 * a for a in cross_validate(known.where(F.col("junction") == j), model, folds_of)]
-                mean = sum(scores) / len(scores)
-                found.append((j, float(d), mean, (sum((a - mean) ** 2 for a in scores) / len(scores)) ** 0.5, n))
-    out = spark.createDataFrame(found, "junction int, distance double, accuracy double, deviation double, samples long")
-    return out.withColumn("band", band(F.col("accuracy") / 100))
+    known = settled(_all_distances(rows, assignments, distances), "features")
+    pairs = [tuple(r) for r in known.select("junction", "distance_before").distinct().orderBy("junction", "distance_before").collect()]  # junctions times distances
+    groups = rows.sparkSession.createDataFrame([(j, d, k) for k, (j, d) in enumerate(pairs)], "junction int, distance_before double, _g int")
+    dealt = folds(known.join(F.broadcast(groups), ["junction", "distance_before"]), folds_of, "_g")
+    data, found = _grown(dealt, _kind(model), range(folds_of), "fold")
+    if not found:
+        return rows.sparkSession.createDataFrame([], "junction int, distance double, accuracy double, deviation double, samples long, loss double, band string")
+    each = trees.held_out(data, found, range(folds_of)).withColumn("a", 100 * F.col("hits") / F.col("n"))
+    g = each.groupBy("g").agg(F.avg("a").alias("accuracy"), F.stddev_pop("a").alias("deviation"), F.sum("n").alias("samples"), (F.sum("loss") / F.sum("n")).alias("loss"))
+    out = g.join(F.broadcast(groups), F.col("g") == F.col("_g"))
+    return out.select("junction", F.col("distance_before").alias("distance"), "accuracy", "deviation", "samples", "loss", band(F.col("accuracy") / 100).alias("band"))
 
 
 def junction_summary(found: DataFrame) -> DataFrame:
@@ -161,25 +196,47 @@ def junction_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("junction").agg(F.avg("accuracy").alias("accuracy"), F.max_by("samples", "distance").alias("samples"))
 
 
-def sample_predictions(models: dict[float, PipelineModel], rows: DataFrame, assignments: DataFrame, most: int = 10) -> DataFrame:
+def predict_by_distance(models: dict[float, PipelineModel | trees.Model], rows: DataFrame) -> DataFrame:
+    """predict() at every distance that has a model, with distance, in one pass over the features: all models are tables that rows are held against."""
+    every = _all_distances(rows, None, list(models))
+    return _named(walked(every, models), F.col("distance_before").alias("distance"))
+
+
+def walked(rows: DataFrame, models: dict[float, PipelineModel | trees.Model]) -> DataFrame:
+    """rows (features and distance_before) with probabilities by their distance's model."""
+    if any(isinstance(m, PipelineModel) for m in models.values()):
+        rows = rows.fillna(0.0, list(FEATURES))  # as predict() does
+    plain = {k: trees.of_forest(m, FEATURES) if isinstance(m, PipelineModel) else m for k, m in enumerate(models.values())}
+    place = F.element_at(F.create_map(*[x for k, d in enumerate(models) for x in (F.lit(float(d)), F.lit(k))]), F.col("distance_before"))
+    return trees.scored(rows.withColumn("_model", place), plain, "_model").drop("_model")
+
+
+def sample_predictions(models: dict[float, PipelineModel | trees.Model], rows: DataFrame, assignments: DataFrame, most: int = 10) -> DataFrame:
     """trajectory, junction, actual, distance, predicted, confidence, correct for the first trajectories, by id, that have a branch."""
     actual = assignments.where("branch >= 0").select(*KEYS, F.col("branch").alias("actual"))
     some = actual.join(actual.select("trajectory").distinct().orderBy("trajectory").limit(most), "trajectory", "left_semi")
-    out = None
-    for d, m in models.items():
-        one = predict(m, features(rows, d)).join(some, list(KEYS)).select(*KEYS, "actual", F.lit(float(d)).alias("distance"), "predicted", "confidence", (F.col("predicted") == F.col("actual")).alias("correct"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = predict_by_distance(models, rows).join(some, list(KEYS))
+    return found.select(*KEYS, "actual", "distance", "predicted", "confidence", (F.col("predicted") == F.col("actual")).alias("correct"))
 
 
-def save_models(models: dict[float, PipelineModel], path: str) -> None:
+def save_models(models: dict[float, PipelineModel | trees.Model], path: str) -> None:
+    """Each model under distance=<distance>: Spark's forests as Spark writes them, boosted trees as one row of JSON."""
+    spark = SparkSession.getActiveSession()
     for d, m in models.items():
-        m.write().overwrite().save(f"{path}/distance={d:g}")
+        if isinstance(m, trees.Model):
+            spark.createDataFrame([(m.to_json(),)], "model string").write.mode("overwrite").parquet(f"{path}/distance={d:g}/boosted")
+        else:
+            m.write().overwrite().save(f"{path}/distance={d:g}/forest")
 
 
-def load_model(path: str, distance: float) -> PipelineModel:
+def load_model(path: str, distance: float) -> PipelineModel | trees.Model:
     """A saved model; an unknown distance raises."""
-    return PipelineModel.load(f"{path}/distance={distance:g}")
+    spark = SparkSession.getActiveSession()
+    at = f"{path}/distance={distance:g}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/boosted")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return trees.Model.from_json(spark.read.parquet(f"{at}/boosted").first()["model"])
+    return PipelineModel.load(f"{at}/forest")
 
 
 def band(accuracy: Column) -> Column:
