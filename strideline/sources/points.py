@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions.geometry import length, number
 from strideline.plans.params import Junction, from_pairs, junctions
-from strideline.sources.files import parsed
+from strideline.sources.files import empty_files, parsed
 
 SIGNALS = ("head_forward_x", "head_forward_y", "head_forward_z", "head_up_x", "head_up_y", "head_up_z", "gaze_x", "gaze_y", "heart_rate", "pupil_l", "pupil_r")
 FIELDS = ("x", "z", "t", *SIGNALS)
@@ -43,14 +44,32 @@ class ColumnMapping:
         return from_pairs(cls, values)
 
 
+# Parts of a column's name that tell its signal. A side or axis counts outside the signal's own word, and
+# "hr" as a word of its own.
+_SIGNS = {
+    "pupil_l": (("pupil",), ("l", "left")), "pupil_r": (("pupil",), ("r", "right")), "heart_rate": (("heart", "hr"),),
+    "gaze_x": (("gaze",), ("x", "horizontal")), "gaze_y": (("gaze",), ("y", "vertical")),
+    "head_forward_x": (("head",), ("forward",), ("x",)), "head_forward_z": (("head",), ("forward",), ("z", "depth")),
+}
+
+
+def _words(name: str) -> list[str]:
+    """A column name's words: cut at marks and where a capital follows a small letter."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", re.sub(r"[^A-Za-z0-9]+", " ", name)).lower().split()
+
+
+def _has(words: list[str], part: str) -> bool:
+    """Whether a part of a name occurs: short ones as words, or as what a signal's own word leaves at either end."""
+    if len(part) > 2:
+        return any(part in w for w in words)
+    ends = [w.replace(own, " ").strip() for w in words for own in ("pupil", "gaze", "headset", "head", "forward", "dilation", "diameter", "size")]
+    return part in words or part in ends
+
+
 def detect_columns(columns: Sequence[str]) -> dict[str, str]:
     """Signals that column names suggest: for each the first name that holds one of each of its groups of parts, in any case."""
-    rules = {
-        "pupil_l": (("pupil",), ("l", "left")), "pupil_r": (("pupil",), ("r", "right")), "heart_rate": (("heart", "hr"),),
-        "gaze_x": (("gaze",), ("x", "horizontal")), "gaze_y": (("gaze",), ("y", "vertical")),
-        "head_forward_x": (("head",), ("forward",), ("x",)), "head_forward_z": (("head",), ("forward",), ("z", "depth")),
-    }
-    found = {k: next((c for c in columns if all(any(p in c.lower() for p in parts) for parts in groups)), None) for k, groups in rules.items()}
+    named = [(c, _words(c)) for c in columns]
+    found = {k: next((c for c, w in named if all(any(_has(w, p) for p in parts) for parts in groups)), None) for k, groups in _SIGNS.items()}
     return {k: c for k, c in found.items() if c}
 
 
@@ -71,19 +90,10 @@ def load_points(spark: SparkSession, path: str, pattern: str = "*.csv", mapping:
 
 
 def file_problems(spark: SparkSession, path: str, pattern: str = "*.csv", mapping: ColumnMapping | None = None, *, positional: bool = False) -> DataFrame:
-    """file and problem of the files that load_points() leaves out (but for those of no bytes, which Spark doesn't list)."""
-    return parsed(spark, path, pattern, asdict(mapping or ColumnMapping()), FIELDS, positional=positional).where("problem is not null").select("file", "problem")
-
-
-def cleaned_times(rows: DataFrame, text: str, out: str = "t") -> DataFrame:
-    """rows with out: seconds of a text column, chosen for each trajectory's whole column: some numbers, else some HH:MM:SS.mmm, else the first number in each."""
-    whole = Window.partitionBy("trajectory")
-    number_, stamp = F.col(text).try_cast("double"), r"^\s*(\d{2}):(\d{2}):(\d{2})\.(\d{3})"
-    part = lambda k: F.regexp_extract(text, stamp, k).try_cast("double")
-    stamps = part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000
-    first = F.regexp_extract(text, r"(\d+\.?\d*)", 1).try_cast("double")
-    chosen = F.when(F.count(number_).over(whole) > 0, number_).when(F.count(stamps).over(whole) > 0, stamps).otherwise(first)
-    return rows.withColumn(out, chosen)
+    """file and problem of the files that load_points() leaves out."""
+    wrong = parsed(spark, path, pattern, asdict(mapping or ColumnMapping()), FIELDS, positional=positional).where("problem is not null").select("file", "problem")
+    empty = empty_files(spark, path, pattern)
+    return wrong.unionByName(spark.createDataFrame([(f, "empty file") for f in empty], "file string, problem string")) if empty else wrong
 
 
 def clean(rows: DataFrame, *, require_time: bool = False, scale: float = 1.0, motion_threshold: float = 0.001, trim: bool = True) -> DataFrame:

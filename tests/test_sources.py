@@ -1,3 +1,4 @@
+import json
 import math
 
 import pandas as pd
@@ -110,7 +111,7 @@ def test_a_bad_file_spoils_no_other(spark, tmp_path):
     (tmp_path / "broken.parquet").write_bytes(b"PAR1 no")
     found = {(r["trajectory"], r["idx"]): (r["x"], r["z"]) for r in source.load_points(spark, str(tmp_path), trim=False).collect()}
     assert found == {("good", 0): (0, 0), ("good", 1): (1, 1), ("moved", 0): (1, 5), ("moved", 1): (2, 6)}
-    assert {r["file"] for r in source.file_problems(spark, str(tmp_path)).collect()} == {"other.csv", "text.csv", "empty.csv", "wide.csv"}
+    assert {r["file"] for r in source.file_problems(spark, str(tmp_path)).collect()} == {"other.csv", "text.csv", "empty.csv", "wide.csv", "nothing.csv"}
     assert [r["file"] for r in source.file_problems(spark, str(tmp_path), "*.parquet").collect()] == ["broken.parquet"]
     with pytest.raises(ValueError, match="broken"):
         source.load_points(spark, str(tmp_path), "*.parquet")
@@ -127,15 +128,62 @@ def test_a_bad_file_spoils_no_other(spark, tmp_path):
 
 
 def test_columns_of_times(spark):
-    columns = {"a": ["1", "2.5", None], "b": ["00:00:01.250", "x", "01:00:00.000"], "c": ["Time: 1.23", "4s", "none"], "d": ["3", "x", "00:00:01.000"]}
-    rows = [(k, i, v) for k, vs in columns.items() for i, v in enumerate(vs)]
-    got = source.cleaned_times(spark.createDataFrame(rows, "trajectory string, idx int, text string"), "text").orderBy("trajectory", "idx").collect()
-    expected = {"a": [1.0, 2.5, None], "b": [1.25, None, 3600.0], "c": [1.23, 4.0, None], "d": [3.0, None, None]}
-    assert {k: [r["t"] for r in got if r["trajectory"] == k] for k in columns} == expected
+    columns = {"a": ["1", "2.5", None], "b": ["00:00:01.250", "x", "01:00:00.000"], "c": ["Time: 1.23", "4s", "none"], "d": ["3", "x", "00:00:01.000"], "e": ["0 days 00:00:01.5", "00:00:02", None]}
+    expected = {"a": [1.0, 2.5, None], "b": [1.25, None, 3600.0], "c": [1.23, 4.0, None], "d": [3.0, None, None], "e": [1.5, 2.0, None]}
     for k, vs in columns.items():
         assert [None if v != v else v for v in column_seconds(pd.Series(vs, dtype=object)).astype(float)] == expected[k]
 
 
+def test_a_file_of_many_ranges(spark, tmp_path):
+    """Files in ranges of a few hundred bytes give the points and problems of files in one."""
+    times = {"clock": lambda i: f"00:{i // 60:02d}:{i % 60:02d}.250", "number": lambda i: str(i / 4), "mixed": lambda i: "x" if i == 350 else f"{i}", "lengths": lambda i: f"0 days 00:00:{i % 60:02d}"}
+    for name, t in times.items():
+        (tmp_path / f"{name}.csv").write_text("note,x,t,z\n" + "".join(f"a{i},{i * 0.5},{t(i)},{'' if i % 50 == 7 else -i}\n" for i in range(400)) + "short,1\n")
+    (tmp_path / "late text.csv").write_text("x,z\n" + "".join(f"{i},{i}\n" for i in range(300)) + "here,1\n" + "".join(f"{i},{i}\n" for i in range(300)))
+    (tmp_path / "late+wide.csv").write_text("x,z\r\n" + "".join(f"{i},{i}\r\n" for i in range(300)) + "1,2,3\r\n")
+    (tmp_path / "no z.csv").write_text("x,y\n" + "1,2\n" * 500)
+    (tmp_path / "nothing.csv").write_text("")
+    read = lambda: ({(r["trajectory"], r["idx"]): (r["x"], r["z"], r["t"]) for r in source.load_points(spark, str(tmp_path), trim=False).collect()}, sorted(map(tuple, source.file_problems(spark, str(tmp_path)).collect())))
+    whole = read()
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "700")
+    try:
+        assert spark.read.text(f"{tmp_path}/clock.csv").rdd.getNumPartitions() >= 10
+        ranges = read()
+        numbered = source.load_points(spark, str(tmp_path), "no z.csv", positional=True, count_time=True, trim=False)
+        assert [r["t"] for r in numbered.orderBy("idx").collect()] == [float(k) for k in range(500)]
+    finally:
+        spark.conf.unset(key)
+    assert ranges == whole
+    points, problems = whole
+    assert {f for f, _ in problems} == {"late text.csv", "late+wide.csv", "no z.csv", "nothing.csv"}
+    assert {k for k, _ in points} == set(times) and all(sum(k == name for k, _ in points) == 392 for name in times)
+    assert [points["clock", i][2] for i in (0, 1)] == [0.25, 1.25] and points["mixed", 345][2] is not None
+
+
+def test_detected_sides():
+    assert source.detect_columns(["PupilRight", "PupilLeft", "threshold"]) == {"pupil_l": "PupilLeft", "pupil_r": "PupilRight"}
+    assert source.detect_columns(["pupil_r", "pupil_l", "HR_bpm"]) == {"pupil_l": "pupil_l", "pupil_r": "pupil_r", "heart_rate": "HR_bpm"}
+    assert source.detect_columns(["RPupil", "LPupil", "heartbeat"]) == {"pupil_l": "LPupil", "pupil_r": "RPupil", "heart_rate": "heartbeat"}
+    assert source.detect_columns(["pupilL", "threshold", "gaze_pixel"]) == {"pupil_l": "pupilL"}
+
+
+def test_json_and_arguments(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, float("nan")), (2, float("inf"), None)], "k int, a double, b double")
+    source.save(df, f"{tmp_path}/out", "json")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{tmp_path}/out").collect())) == [(1, 0.5, None), (2, None, None)]
+    said = json.loads(source.run_arguments(at=[Junction(0, 1, 2, 3)], how=Decision(mode="radial"), path=tmp_path))
+    assert said["at"][0]["cx"] == 1 and said["how"]["mode"] == "radial" and said["path"] == str(tmp_path)
+
+
+def test_which_trajectories_are_sampled(spark):
+    df = spark.createDataFrame([(f"t{k}", 0) for k in range(50)], "trajectory string, idx int")
+    order = [r[0] for r in df.orderBy(F.xxhash64(F.lit(7), "trajectory")).collect()]
+    for k in (1, 2, 5, 13, 50):
+        spots = {int(i * 49 / max(1, k - 1)) for i in range(k)} if k > 1 else {0}
+        assert {r[0] for r in source.sampled(df, k, 7).collect()} == {order[i] for i in spots}
+
+
 def test_demo_and_samples(spark):
     p = source.demo_points(spark, 6, (20, 60))
     sizes = {r["trajectory"]: r["count"] for r in p.groupBy("trajectory").count().collect()}
