@@ -205,11 +205,20 @@ def missing_columns(chains: DataFrame, junctions: Sequence[int]) -> list[str]:
     return [c for c in (f"branch_j{j}" for j in junctions) if c not in chains.columns]
 
 
-def branch_directions(assignments: DataFrame, points: DataFrame, at: DataFrame) -> DataFrame:
-    """junction, branch, ux, uz, turn: the mean direction of each branch's decision points, and its place in their order by angle."""
+def branch_directions(assignments: DataFrame, points: DataFrame, at: DataFrame, centers: DataFrame | None = None) -> DataFrame:
+    """junction, branch, ux, uz, turn: the mean direction of each branch's decision points, and its place in their order by angle.
+
+    With centers (junction, branch, ux, uz), a branch of theirs without decision points has its centre's direction.
+    """
     both = assignments.where("branch >= 0").join(points.where("decision_idx is not null"), list(KEYS)).join(at.select("junction", "cx", "cz"), "junction")
     dx, dz = F.col("intercept_x") - F.col("cx"), F.col("intercept_z") - F.col("cz")
     g = both.groupBy("junction", "branch").agg(F.avg(dx).alias("mx"), F.avg(dz).alias("mz"), circular_mean(F.atan2(dx, dz)).alias("mean_yaw"))
     size = length(F.col("mx"), F.col("mz"))
+    g = g.select("junction", "branch", (F.col("mx") / F.when(size > 0, size)).alias("ux"), (F.col("mz") / F.when(size > 0, size)).alias("uz"), "mean_yaw")
+    if centers is not None:
+        own = centers.select("junction", "branch", F.col("ux").alias("_ux"), F.col("uz").alias("_uz"))
+        none = F.col("mean_yaw").isNull()
+        pick = lambda c: F.when(none, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        g = g.join(own, ["junction", "branch"], "full").select("junction", "branch", pick("ux"), pick("uz"), F.when(none, F.atan2("_ux", "_uz")).otherwise(F.col("mean_yaw")).alias("mean_yaw"))
     turn = F.row_number().over(Window.partitionBy("junction").orderBy("mean_yaw", "branch")) - 1
-    return g.select("junction", "branch", (F.col("mx") / F.when(size > 0, size)).alias("ux"), (F.col("mz") / F.when(size > 0, size)).alias("uz"), turn.alias("turn"))
+    return g.select("junction", "branch", "ux", "uz", turn.alias("turn"))

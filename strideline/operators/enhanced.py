@@ -1,22 +1,28 @@
 """Bottlenecks, risk and efficiency of junctions from branch assignments. The thresholds are fixed values.
 
-Every function takes a row for each trajectory and junction with a branch (below 0: none). A junction whose rows have no
-branch of 0 or more counts as one without routes; one without any row does not exist here.
+Every function takes a row for each trajectory and junction with a branch (below 0: none), or the profile() of such rows,
+which is one row for each junction. A junction whose rows have no branch of 0 or more counts as one without routes; one
+without any row does not exist here, but in the overall values if it is listed.
 """
 
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.sources.scratch import settled
+
 #: Shares from which a branch is a bottleneck and a severe one.
 NARROW, SEVERE = 0.6, 0.8
 
 
 def profile(assignments: DataFrame) -> DataFrame:
-    """junction, total, routes, top_share, entropy (bits), evenness (entropy over its most; 0 for one route or none), flow (branch to count; a junction has few branches)."""
+    """junction, total, routes, top_share, entropy (bits), evenness (entropy over its most; 0 for one route or none), flow (branch to count; a junction has few branches). A profile is returned as it is."""
+    if "evenness" in assignments.columns:
+        return assignments
     counts = assignments.groupBy("junction", "branch").agg(F.count("*").alias("n"))
     n = F.when(F.col("branch") >= 0, F.col("n"))
     g = counts.groupBy("junction").agg(
@@ -62,9 +68,17 @@ def risk(assignments: DataFrame, *, least: float = 0.0) -> DataFrame:
     return p.where(F.col("risk") >= least).select("junction", "risk", level.alias("level"), "concentration", "diversity", "crowding", "top_share", "routes", "total")
 
 
-def overall_risk(assignments: DataFrame) -> DataFrame:
-    """risk: the mean over all junctions."""
-    return risk(assignments).agg(F.avg("risk").alias("risk"))
+def _mean(found: DataFrame, column: str, name: str, junctions: Sequence[int] | None) -> DataFrame:
+    """The mean over the junctions that have rows, or over all that are listed, of which those without count as 0."""
+    if junctions is None:
+        return found.agg(F.avg(column).alias(name))
+    some = found.where(F.col("junction").isin(list(junctions)))
+    return some.agg((F.coalesce(F.sum(column), F.lit(0.0)) / F.lit(max(1, len(junctions)))).alias(name))
+
+
+def overall_risk(assignments: DataFrame, junctions: Sequence[int] | None = None) -> DataFrame:
+    """risk: the mean over all junctions with rows, or all listed ones."""
+    return _mean(risk(assignments), "risk", "risk", junctions)
 
 
 def efficiency(assignments: DataFrame) -> DataFrame:
@@ -72,9 +86,9 @@ def efficiency(assignments: DataFrame) -> DataFrame:
     return profile(assignments).select("junction", F.col("evenness").alias("route_efficiency"), F.least(F.col("total") / 100.0, F.lit(1.0)).alias("capacity"))
 
 
-def overall_efficiency(assignments: DataFrame) -> DataFrame:
-    """efficiency: the mean route efficiency over all junctions."""
-    return efficiency(assignments).agg(F.avg("route_efficiency").alias("efficiency"))
+def overall_efficiency(assignments: DataFrame, junctions: Sequence[int] | None = None) -> DataFrame:
+    """efficiency: the mean route efficiency over all junctions with rows, or all listed ones."""
+    return _mean(efficiency(assignments), "route_efficiency", "efficiency", junctions)
 
 
 def recommendations(assignments: DataFrame, *, narrow: float = NARROW, severe: float = SEVERE, even: float = 0.7) -> DataFrame:
@@ -85,6 +99,7 @@ def recommendations(assignments: DataFrame, *, narrow: float = NARROW, severe: f
     """
     found = bottlenecks(assignments, narrow=narrow, severe=severe)
     at = F.col("junction").cast("string")
+    # The messages.
     sign = F.format_string("Add directional signage at Junction %d to distribute traffic away from Branch %d (currently %.1f%% of traffic)", "junction", "branch", F.col("share") * 100)
     widen = F.format_string("Consider widening or adding alternative routes at Junction %d to reduce bottleneck risk", "junction")
     advice = F.explode(F.array(F.struct(F.lit("Signage").alias("type"), sign.alias("message")), F.struct(F.lit("Route Modification").alias("type"), widen.alias("message"))))
@@ -97,10 +112,11 @@ def recommendations(assignments: DataFrame, *, narrow: float = NARROW, severe: f
     return high.unionByName(low).unionByName(whole)
 
 
-def overview(assignments: DataFrame, *, at: datetime.datetime | None = None) -> DataFrame:
-    """overall_risk, bottlenecks, balanced, recommendations, at_risk (from 0.4), and analysed_at (now, or at)."""
+def overview(assignments: DataFrame, *, junctions: Sequence[int] | None = None, at: datetime.datetime | None = None) -> DataFrame:
+    """overall_risk, bottlenecks, balanced, recommendations, at_risk (from 0.4), and analysed_at (now, or at). The profile is made once."""
+    assignments = settled(profile(assignments), "profile")
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    rows = overall_risk(assignments).withColumnRenamed("risk", "overall_risk")
+    rows = overall_risk(assignments, junctions).withColumnRenamed("risk", "overall_risk")
     for df, name in ((bottlenecks(assignments), "bottlenecks"), (balanced(assignments), "balanced"), (recommendations(assignments), "recommendations"), (risk(assignments, least=0.4), "at_risk")):
         rows = rows.crossJoin(count(df, name))  # a row each
     return rows.withColumn("analysed_at", F.current_timestamp() if at is None else F.lit(at))

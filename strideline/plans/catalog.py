@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.functions.geometry import circular_mean, direction, in_disc, in_rectangle, in_tilted
-from strideline.operators import branches, clustering, decisions, enhanced, flows, gaze, intent, metrics
+from strideline.operators import branches, clustering, decisions, enhanced, flows, gaze, intent, metrics, trees
 from strideline.plans.params import Decision, Junction, Zone
 from strideline.plans.sql import QUERIES
 from strideline.sources import points as source
@@ -116,6 +116,11 @@ def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intent.predict(intent.train(rows), rows)
 
 
+def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = settled(intent.labelled(intent.features(_frame(spark, sf_dir), 50.0), _labels(spark, sf_dir)), "features")
+    return intent.predict(intent.train(rows, trees.Boosted(trees=20, depth=3, rate=0.3)), rows).drop("probabilities")
+
+
 def _accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = intent.analyze(_frame(spark, sf_dir), _labels(spark, sf_dir), distances=(50.0,), folds_of=3)
     return intent.junction_summary(found)
@@ -258,6 +263,7 @@ def queries() -> dict:
         "intent_accuracy": _accuracies,
         "intent_features": _query(lambda s, d: intent.features(_frame(s, d), 50.0), 5),
         "intent_random_forest": _forest,
+        "intent_boosted": _query(_boosted),
     }
 
 

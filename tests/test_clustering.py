@@ -156,3 +156,13 @@ def test_next_choice(spark):
     second = spark.createDataFrame(moves, "origin int, via int, dest int, n int, percent double")
     assert flows.next_choice(second, 1, 2) == ("J3", 0.6) and flows.next_choice(second, 5, 2) == ("J1", 0.5)
     assert flows.next_choice(second, 2, 1) == ("Unknown", 0.0)
+
+
+def test_branch_directions_fall_back_to_centres(spark):
+    a = spark.createDataFrame([("a", 0, 0), ("b", 0, 1), ("c", 0, -1)], "trajectory string, junction int, branch int")
+    p = spark.createDataFrame([("a", 0, 3, 11.0, 5.0), ("b", 0, None, None, None)], "trajectory string, junction int, decision_idx int, intercept_x double, intercept_z double")
+    at = spark.createDataFrame([(0, 1.0, 5.0)], "junction int, cx double, cz double")
+    centers = spark.createDataFrame([(0, 0, 0.0, 1.0), (0, 1, 0.0, -1.0), (0, 2, 0.6, 0.8)], "junction int, branch int, ux double, uz double")
+    assert [tuple(r) for r in branches.branch_directions(a, p, at).collect()] == [(0, 0, 1.0, 0.0, 0)]
+    found = {r["branch"]: (r["ux"], r["uz"], r["turn"]) for r in branches.branch_directions(a, p, at, centers).collect()}
+    assert found == {0: (1.0, 0.0, 1), 1: (0.0, -1.0, 2), 2: (0.6, 0.8, 0)}

@@ -54,3 +54,15 @@ def test_no_rows(spark):
     a = assignments(spark, j0={0: 1}).limit(0)
     assert enhanced.risk(a).count() == enhanced.bottlenecks(a).count() == enhanced.recommendations(a).count() == 0
     assert enhanced.overall_risk(a).first()["risk"] is None
+
+
+def test_overall_values_over_listed_junctions(spark):
+    a = assignments(spark, j0={0: 10, 1: 10}, j1={0: 150}, j2={0: 3, 1: 1})
+    one = enhanced.risk(a).where("junction = 1").first()["risk"]
+    rest = sum(r["risk"] for r in enhanced.risk(a).collect())
+    assert enhanced.overall_risk(a, [0, 1, 2, 7, 8]).first()["risk"] == pytest.approx(rest / 5)
+    assert enhanced.overall_risk(a, [1, 9]).first()["risk"] == pytest.approx(one / 2)
+    assert enhanced.overall_efficiency(a, [0, 1, 2, 3]).first()["efficiency"] == pytest.approx((1 + 0.8112781) / 4)
+    assert enhanced.overall_risk(a, []).first()["risk"] == 0.0
+    whole = enhanced.overview(a, junctions=[0, 1, 2, 3]).first()
+    assert whole["overall_risk"] == pytest.approx(rest / 4) and whole["bottlenecks"] == enhanced.bottlenecks(a).count()
