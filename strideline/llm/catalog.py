@@ -178,14 +178,16 @@ WITH l AS (
          unnest(range(size)) AS place
   FROM d
 ), s AS (
-  SELECT leaf, place, token FROM t WHERE token <> '<*>' GROUP BY leaf, size, place, token HAVING sum(texts) >= CASE WHEN size >= 50 THEN 2 ELSE 3 END
+  SELECT leaf, place, token FROM t WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(texts) >= 3
 ), k AS (
   SELECT leaf, line, size, leaf || list(place || ':' || token ORDER BY place)::VARCHAR AS template
   FROM t JOIN s USING (leaf, place, token)
   GROUP BY leaf, line, size
   HAVING count(*) >= 5 AND count(*) >= ceil(size * 0.8)
+), o2 AS (
+  SELECT * FROM k UNION ALL SELECT leaf, line, size, leaf || '=' || line FROM d ANTI JOIN k USING (leaf, line, size) WHERE size >= 50 AND texts >= 2
 ), f AS (
-  SELECT c.doc_id, c.text, c.spot, size, template FROM c JOIN k USING (leaf, line, size)
+  SELECT c.doc_id, c.text, c.spot, size, template FROM c JOIN o2 USING (leaf, line, size)
 ), r AS (
   SELECT template FROM f GROUP BY template, size HAVING count(DISTINCT text) >= CASE WHEN size >= 50 THEN 2 ELSE 3 END
 ), o AS (

@@ -33,18 +33,21 @@ def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leadi
     size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), _mask(F.substring_index("line", " ", leading))))
     least = F.when(F.col("size") >= long_tokens, 2).otherwise(min_texts)  # a leaf's lines have one size
-    many, _ = materialize(lines.groupBy("leaf", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
-    held, _ = materialize(lines.join(many.hint("merge"), "leaf").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
+    many = lines.groupBy("leaf", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    many, _ = materialize(many.select("leaf", (F.col("n") >= min_texts).alias("parsed")), "leaves")
+    held, _ = materialize(lines.join(many.hint("merge"), "leaf").select("doc_id", "body", "at", "leaf", "size", "line", "parsed"), "lines")
 
-    texts = held.select("leaf", "size", "line", "body").distinct().groupBy("leaf", "size", "line").agg(F.count("*").alias("texts"))
+    texts = held.select("leaf", "size", "line", "parsed", "body").distinct().groupBy("leaf", "size", "line", "parsed").agg(F.count("*").alias("texts"))
     distinct, _ = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    tokens = distinct.select("id", "leaf", "size", "texts", F.posexplode(F.split(_mask(F.col("line")), " ")).alias("place", "token"))
-    support = tokens.groupBy("leaf", "size", "place", "token").agg(F.sum("texts").alias("support")).where((F.col("support") >= least) & (F.col("token") != MASK))
-    constant, _ = materialize(support.drop("support", "size"), "constants")
+    tokens = distinct.where("parsed").select("id", "leaf", "texts", F.posexplode(F.split(_mask(F.col("line")), " ")).alias("place", "token"))
+    support = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("support")).where((F.col("support") >= min_texts) & (F.col("token") != MASK))
+    constant, _ = materialize(support.drop("support"), "constants")
     kept = tokens.join(constant, ["leaf", "place", "token"]).groupBy("id").agg(F.count("*").alias("constants"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("template"))
     enough = (F.col("constants") >= min_tokens) & (F.col("constants") >= F.ceil(F.col("size") * similarity))
-    shaped, _ = materialize(distinct.join(kept, "id").where(enough).select("leaf", "size", "line", F.xxhash64("leaf", "template").alias("template")), "templates")
-    found, _ = materialize(held.drop("size").join(shaped.hint("merge"), ["leaf", "line"]).select("template", "size", "doc_id", "body", "at"), "occurrences")
+    shaped, _ = materialize(distinct.join(kept, "id").where(enough).select("id", "leaf", "size", "line", F.xxhash64("leaf", "template").alias("template")), "shaped")
+    own = distinct.where((F.col("size") >= long_tokens) & (F.col("texts") >= 2)).join(shaped.select("id"), "id", "left_anti")
+    shaped, _ = materialize(shaped.drop("id").unionByName(own.select("leaf", "size", "line", F.xxhash64("leaf", "line").alias("template"))), "templates")
+    found, _ = materialize(held.drop("size", "parsed").join(shaped.hint("merge"), ["leaf", "line"]).select("template", "size", "doc_id", "body", "at"), "occurrences")
 
     this = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "body", "at")
     across = found.select("template", "size", "body").distinct().groupBy("template", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -56,8 +59,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, m
     """docs with the recurring lines taken out of text (and, with counts, n_lines and dropped_lines).
 
     A template recurs when its lines occur in min_texts different texts or more, or with long_tokens tokens in two (exact
-    copies of a text count once); its first line, by doc_id and place, stays. A line's template needs min_tokens constant
-    tokens and a share of similarity of all its tokens; shorter lines always stay. Tokens are what stands between single
+    copies of a text count once); its first line, by doc_id and place, stays. A token is constant at a place that min_texts
+    texts have it at. A line's template needs min_tokens constant tokens and a share of similarity of all its tokens; a
+    line of long_tokens without one is its own. Shorter lines always stay. Tokens are what stands between single
     spaces, lines what stands between newlines. A null text stays null and has no lines; an empty one has one empty line;
     null ids come after others; rows that repeat id and text lose the same lines. Other columns, whatever their names,
     stay as they are (with counts, those of its names are replaced); no rows give none.
