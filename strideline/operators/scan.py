@@ -190,16 +190,21 @@ def sweep(at: Sequence[Junction], how: Decision, key: pa.DataType, names: list[s
             finished: list[tuple] = []
             for a, b in zip(bounds, bounds[1:]):
                 row = {n: column[n][a] for n in WALK}
-                if column["idx"][a] == 0:
+                if (column["idx"][a] == 0) != (walk is None) or column["idx"][b - 1] - column["idx"][a] != b - 1 - a:
+                    raise ValueError("idx has to count a trajectory's points from 0 without gaps")
+                if walk is None:
                     walk = Walk(discs, how, row["wide"], row["far"])
                 last = bool(column["idx"][b - 1] == row["n"] - 1)
                 walk.add({n: column[n][a:b] for n in POINT}, last)
                 if last:
                     finished.append((batch.column("trajectory")[a].as_py(), walk, row))
+                    walk = None
                     if len(finished) * len(junctions) >= CELLS:
                         yield done(finished)
                         finished = []
             if finished:
                 yield done(finished)
+        if walk is not None:
+            raise ValueError("idx has to count a trajectory's points from 0 without gaps")
 
     return run

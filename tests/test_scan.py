@@ -49,6 +49,19 @@ def test_scan_equals_frame(spark, how, batch):
             assert a == b or (a is not None and b is not None and a == pytest.approx(b, abs=1e-9)), (k, name, a, b)
 
 
+@pytest.mark.parametrize("gone", ["idx <> 0", "idx <> 3", "not (trajectory = '2' and idx > 4)", "idx < 0"])
+def test_indices_have_no_gaps(spark, gone):
+    p = points(spark, [w for w in walks(6) if len(w) > 8])
+    rows = decisions.scan(p.where(gone), AT)
+    if gone == "idx < 0":
+        assert rows.count() == 0
+    elif gone.startswith("not"):
+        assert rows.where("trajectory = '2'").first()["n"] == 5  # a shorter trajectory is one like others
+    else:
+        with pytest.raises(Exception, match="without gaps"):
+            rows.collect()
+
+
 @pytest.mark.parametrize(("name", "share"), [("path_length", 0.3), ("ring", 0.2)])
 def test_lengths_and_rings_of_each_trajectory(spark, name, share):
     scaled = {name: share * F.col("total")}
