@@ -74,6 +74,11 @@ def features(rows: DataFrame, before: float, previous: DataFrame | None = None)
     return named.join(previous.select(*KEYS, F.col("branch").cast("double").alias("previous_choice")), list(KEYS), "left").fillna(-1.0, ["previous_choice"])
 
 
+def vectors(found: DataFrame) -> DataFrame:
+    """found with vector, the FEATURES in their order: null for nulls, NaN and infinities, -1 for an unknown previous choice."""
+    return found.withColumn("vector", trees.vector(FEATURES)).withColumn("vector", F.concat(F.slice("vector", 1, len(FEATURES) - 1), F.array(F.coalesce("previous_choice", F.lit(-1.0)))))
+
+
 def _filled(rows: DataFrame) -> DataFrame:
     """Columns without any value get 0, as no median can be taken."""
     counts = rows.agg(*[F.count(c).alias(c) for c in FEATURES]).first()

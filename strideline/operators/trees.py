@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.sources.scratch import remove, scratch_path, settled
@@ -167,13 +167,19 @@ def _chosen(tree: int, nodes: np.ndarray, width: int, seed: int) -> np.ndarray:
     return h.argsort(axis=1).argsort(axis=1) < few
 
 
+def vector(features: Sequence[str]) -> Column:
+    """Columns as an array of doubles in their order; null for what is no finite number."""
+    cells = [F.col(f).cast("double") for f in features]
+    return F.array(*[F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for c in cells])
+
+
 def prepared(rows: DataFrame, features: Sequence[str], label: str, group: str, fold: str | None = None) -> tuple[DataFrame, dict[int, Model]]:
     """The rows to learn from (row, g, fold, y, bins) and a bare model for each group: bins end midway between neighbouring quantiles of its rows, nulls are in the middle one.
 
     Rows without a label go; a feature without any value is 0 throughout. The driver holds each group's edges and classes.
     """
     known = rows.where(F.col(label).isNotNull())
-    named = known.select(F.col(group).cast("int").alias("g"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(label).cast("int").alias("y"), F.array(*[F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f).cast("double")) < float("inf")), F.col(f).cast("double")) for f in features]).alias("x"))
+    named = known.select(F.col(group).cast("int").alias("g"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(label).cast("int").alias("y"), vector(features).alias("x"))
     named = settled(named.withColumn("row", F.monotonically_increasing_id()), "samples")
     shares = F.array(*[F.lit(k / BINS) for k in range(BINS + 1)])
     cells = [f for k in range(len(features)) for f in (F.percentile_approx(F.col("x")[k], shares, 10_000).alias(f"e{k}"), F.percentile(F.col("x")[k], 0.5).alias(f"m{k}"))]
@@ -368,7 +374,7 @@ def _take(splits: pa.Table, models: dict, how: Forest | Boosted, size: int) -> d
 def scored(rows: DataFrame, models: dict[int, Model], group: str | None = None) -> DataFrame:
     """rows with probabilities, a map of each class of their group's model (the only one, without group) to its probability; null where there is no model."""
     features = next(iter(models.values())).features
-    named = rows.withColumns({"_g": F.col(group).cast("int") if group else F.lit(next(iter(models))), "_x": F.array(*[F.col(f).cast("double") for f in features])})
+    named = rows.withColumns({"_g": F.col(group).cast("int") if group else F.lit(next(iter(models))), "_x": vector(features)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -230,3 +230,11 @@ def test_saved_forests_in_one_pass(spark, three, tmp_path):
             mine = found[r["key"], d]
             assert [mine[k] for k in sorted(mine)] == pytest.approx(r["probability"].toArray().tolist(), abs=1e-12)
             assert max(mine, key=lambda k: (mine[k], -k)) == int(r["prediction"])
+
+
+def test_vectors_in_the_order_of_the_features(spark):
+    values = [float(k) for k in range(len(intent.FEATURES))]
+    rows_ = [("a", *values), ("b", float("nan"), float("inf"), None, *values[3:-1], None)]
+    df = spark.createDataFrame(rows_, "trajectory string, " + ", ".join(f"{f} double" for f in intent.FEATURES))
+    found = {r["trajectory"]: r["vector"] for r in intent.vectors(df).collect()}
+    assert found == {"a": values, "b": [None, None, None, *values[3:-1], -1.0]}
