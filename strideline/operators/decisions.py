@@ -52,8 +52,7 @@ def with_steps(points: DataFrame) -> DataFrame:
 def scan(points: DataFrame, at: Sequence[Junction], how: Decision = Decision(), *, path_length: Column | None = None, ring: Column | None = None) -> DataFrame:
     """A row for each trajectory and junction with the facts of per_pair(), from one pass over the points; parameters as for frame().
 
-    idx counts each trajectory's points from 0 without gaps, else it is an error.
-    The median step, from Spark's aggregate, holds a trajectory's different steps; all else is carried from batch to batch.
+    idx counts each trajectory's points from 0 without gaps, else it is an error. The median step, from Spark's aggregate, holds a trajectory's different steps; all else is carried from batch to batch.
     """
     steps = with_steps(points)
     whole = Window.partitionBy("trajectory")
