@@ -17,6 +17,7 @@ from strideline.sources.scratch import settled
 JUNCTIONS = [Junction(0, 0, 0, 60, 120), Junction(1, 100, 0, 60, 100), Junction(2, 0, 150, 60, 100), Junction(3, -150, -50, 60, 120)]
 #: Steps are multiples of 0.01, so this length is never met exactly.
 HOW = Decision(mode="hybrid", path_length=100.005)
+ALONG = Decision(mode="pathlen", path_length=HOW.path_length)
 
 HOME, EAST = Zone("A", circle=(0.0, 0.0, 60.0)), Zone("B", rectangle=(80.0, 300.0, -200.0, 200.0))
 
@@ -226,7 +227,7 @@ def queries() -> dict:
         "recommendations": lambda s, d: enhanced.recommendations(labels(s, d), narrow=0.2, severe=0.3),
         "enhanced_overview": _query(lambda s, d: enhanced.overview(labels(s, d)).drop("analysed_at"), 9),
         "directions_radial": _query(lambda s, d: decisions.directions(_pairs(s, d, Decision(mode="radial")), Decision(mode="radial"))),
-        "directions_pathlen": _query(lambda s, d: decisions.directions(_pairs(s, d, Decision(mode="pathlen")), Decision(mode="pathlen"))),
+        "directions_pathlen": _query(lambda s, d: decisions.directions(_pairs(s, d, ALONG), ALONG)),
         "diagnostics": lambda s, d: decisions.diagnostics(_points_of_decision(s, d)),
         "first_decisions": lambda s, d: decisions.first_decisions(_frame(s, d), Decision(mode="pathlen")),
         "first_decisions_hybrid": lambda s, d: decisions.first_decisions(_frame(s, d), HOW, wide=110.0),
