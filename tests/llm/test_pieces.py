@@ -77,3 +77,25 @@ def test_decode_wherever_the_columns_stand(spark):
     assert {r["doc_id"]: r["decoded"] for r in found.collect()} == {1: "a text", 2: ""}
     replaced = pieces.decode(encoded, model, out="ids")
     assert replaced.columns == ["decoded", "doc_id", "more", "ids"] and {r["ids"] for r in replaced.collect()} == {"a text", ""}
+
+
+def test_new_short_words_are_filled_together(coder, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeinrstolé☃ß'.,\n🙂") for _ in range(rng.randint(1, 30)))
+    texts = ["", *(" ".join(word() for _ in range(rng.randint(1, 9))) for _ in range(3000)), "x" * 200 + " y"]
+    alone = []
+    monkeypatch.setattr(coder, "table", lambda text, table=coder.table: alone.append(text) or table(text))
+    monkeypatch.setattr(pieces, "TOGETHER", 5000)
+    expected = [LIBRARY.encode(t, add_eos=True) for t in texts]
+    assert [list(memoryview(x).cast("i")) for x in coder.encode(texts)] == expected
+    assert "".join(alone) == "▁" + "x" * 200
+    assert coder.tables(["▁"]) == [b"".join(k.to_bytes(4, "little") for k in coder.table("▁"))]
+
+
+def test_pairs_stay_apart_as_merging_them_says(coder):
+    rng = random.Random(4)
+    tokens = [p for p in coder.piece if len(p) > 1]
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)]
+    pairs += [(p[:i], p[i:]) for p in rng.sample(tokens, 1000) for i in range(1, len(p)) if coder._merged(p[:i]) == [p[:i]] and coder._merged(p[i:]) == [p[i:]]]
+    found = [coder._fit(a, b) for a, b in pairs]
+    assert found == [coder._merged(a + b) == [a, b] for a, b in pairs] and True in found and False in found
