@@ -5,7 +5,8 @@ texts have at a place is a variable field; the line with its variable fields mas
 recur across texts and are constant enough are dropped from every document but the first that has them.
 
 All counting is by distinct line: a line that a third of all documents share is one row with a count, from partial
-aggregations. Leaves with too few lines go before any token is looked at. Where an occurrence must meet its line's
+aggregations. Leaves with too few lines go before any token is looked at, and the others
+have numbers. Where an occurrence must meet its line's
 decision, both sides are freshly exchanged tables, so that adaptive execution can split a hot line; these joins are
 merged at every size, as their smaller sides grow with the corpus.
 """
@@ -23,18 +24,27 @@ VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
 def _mask(c: Column) -> Column:
-    return F.regexp_replace(c, VARIABLE, MASK)
+    return F.when(c.rlike("[0-9]"), F.regexp_replace(c, VARIABLE, MASK)).otherwise(c)
+
+
+def _without(lines: Column, drop: Column) -> Column:
+    """The text of the lines that stay; lines is bound to a variable, as a lambda would split the text again for each of them."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    return F.get(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")), F.lit(0))
 
 
 def recurring(docs: DataFrame, doc_id: str, text: str, *, min_tokens: int, leading: int, min_texts: int, long_tokens: int, similarity: float) -> DataFrame:
     """doc_id, body, at: the occurrences (line numbers from 0, of the text that hashes to body) that line_dedup() drops."""
-    body = F.xxhash64(F.col(text))
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), body.alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    size = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("size", size).where(F.col("size") >= min_tokens).withColumn("leaf", F.concat_ws(" ", F.col("size").cast("string"), _mask(F.substring_index("line", " ", leading))))
+    bodies = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    lines = bodies.select("doc_id", "body", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    if min_tokens > 1:  # looks no further than it has to
+        lines = lines.where(F.octet_length(F.substring_index("line", " ", min_tokens - 1)) < F.octet_length("line"))
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("size", size).withColumn("words", F.concat_ws(" ", F.col("size").cast("string"), _mask(F.substring_index("line", " ", leading))))
     least = F.when(F.col("size") >= long_tokens, 2).otherwise(min_texts)  # a leaf's lines have one size
-    many, _ = materialize(lines.groupBy("leaf", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf"), "leaves")
-    held, _ = materialize(lines.join(many.hint("merge"), "leaf").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
+    many = lines.groupBy("words", "size").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    many, _ = materialize(many.select("words", F.monotonically_increasing_id().alias("leaf")), "leaves")
+    held, _ = materialize(lines.join(many.hint("merge"), "words").select("doc_id", "body", "at", "leaf", "size", "line"), "lines")
 
     texts = held.select("leaf", "size", "line", "body").distinct().groupBy("leaf", "size", "line").agg(F.count("*").alias("texts"))
     distinct, _ = materialize(texts.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -70,8 +80,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, m
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "_drop")
     joined = plain.join(drops.hint("merge"), plain[key].eqNullSafe(drops["_id"]) & (F.xxhash64(plain[body]) == drops["_body"]), "left")
     lines = F.split(F.col(body), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    cut = F.when(F.col("_drop").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    cut = F.when(F.col("_drop").isNull(), F.col(body)).otherwise(_without(lines, F.col("_drop")))
     more = {"n_lines": F.coalesce(F.array_size(lines), F.lit(0)).cast("long"), "dropped_lines": F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long")} if counts else {}
     kept = [(cut if c == text else F.col(n)).alias(c) for c, n in number.items() if c not in more]
     return joined.select(*kept, *[c.alias(n) for n, c in more.items()])

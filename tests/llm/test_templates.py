@@ -1,3 +1,4 @@
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,14 @@ def test_columns_with_the_operators_own_names(spark):
     assert [r["text"] for r in rows_] == [data[0][1], "own 1", "own 2", "own 3"] and all(list(r)[2:] == list(range(len(names))) for r in rows_)
     counted = templates.line_dedup(docs.withColumn("n_lines", F.lit("mine")), counts=True)
     assert counted.columns == [*docs.columns, "n_lines", "dropped_lines"] and {r["dropped_lines"] for r in counted.collect()} == {0, 1}
+
+
+def test_time_of_a_text_with_many_lines_grows_with_their_number(spark):
+    """Lines that stay are taken from one split of the text; a split for each took time with the square of their number."""
+    shared = [f"this shared line number x{chr(97 + k)} recurs here" for k in range(3)]
+    long = "\n".join([*shared, *(f"w{k}" for k in range(40_000))])
+    docs = spark.createDataFrame([(0, "\n".join(shared)), (1, "\n".join(["a", *shared])), (2, long)], "doc_id long, text string")
+    began = time.monotonic()
+    rows = {r["doc_id"]: r["text"] for r in templates.line_dedup(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert rows[0] == "\n".join(shared) and rows[1] == "a" and rows[2] == "\n".join(f"w{k}" for k in range(40_000))
