@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +33,7 @@ MARK = "▁"
 #: Words that a Python worker remembers at most.
 REMEMBERED = 1_000_000
 #: Bytes of text that are encoded at a time, and symbols of words whose tables are filled together.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 TOGETHER = 50_000
 #: Symbols of a word that is remembered and whose table is filled with others are fewer.
 SHORT = 64
@@ -64,7 +65,7 @@ class Pieces:
         self.fits: dict[tuple[str, str], bool] = {}
         self.apart = all(MARK not in p.lstrip(MARK) for p in text.values())
         self.touching = {p[i : i + 2] for p in text.values() for i in range(len(p) - 1)}
-        self.edges: dict[str, tuple[list, list]] = {}
+        self.edges: dict[str, list[tuple[float, str, str]]] = {}
         self.automaton = ahocorasick.Automaton()
         tokens = {k: p for k, p in text.items() if len(p) == 1 or self._merged(p) == [p]}  # others are never a result
         for k, p in tokens.items():
@@ -129,12 +130,11 @@ class Pieces:
             pass
         return symbols
 
-    def _edges(self, token: str) -> tuple[list, list]:
-        """A token's merges, each with the first symbol before it, and with the last."""
+    def _edges(self, token: str) -> list[tuple[float, str, str]]:
+        """A token's merges, each with the first and the last symbol before it."""
         known = self.edges.get(token)
         if known is None:
-            steps = [(NONE if s is None else s, symbols[0], symbols[-1]) for s, symbols in self._merges(token)]
-            known = self.edges[token] = [x[:2] for x in steps], [x[::2] for x in steps]
+            known = self.edges[token] = [(NONE if s is None else s, sys.intern(symbols[0]), sys.intern(symbols[-1])) for s, symbols in self._merges(token)]
         return known
 
     def _fit(self, a: str, b: str) -> bool:
@@ -147,9 +147,9 @@ class Pieces:
         return known
 
     def _stay_apart(self, a: str, b: str) -> bool:
-        lefts, rights, i, j = self._edges(a)[1], self._edges(b)[0], 0, 0
+        lefts, rights, i, j = self._edges(a), self._edges(b), 0, 0
         while True:
-            (left, x), (right, y) = lefts[i], rights[j]
+            (left, _, x), (right, y, _) = lefts[i], rights[j]
             across = self.score.get(x + y, NONE)
             if left >= across and left >= right and left > NONE:
                 i += 1
